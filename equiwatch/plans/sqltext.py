@@ -141,3 +141,54 @@ report AS ({gaps("rates", keys, threshold)})
 
 def r6(c: str, alias: str | None = None) -> str:
     return f"round({c}, 6) AS {alias or c}"
+
+
+def row_key(*cols: str) -> str:
+    return " || '-' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+
+
+_KEY = row_key("l_orderkey", "l_linenumber")
+_CENTS = "CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)"
+_DOLLARS = f"({_CENTS} // 100)"
+_MONEY = (f"'$' || (CASE WHEN {_DOLLARS} >= 1000 THEN CAST({_DOLLARS} // 1000 AS VARCHAR) || ',' || "
+          f"lpad(CAST({_DOLLARS} % 1000 AS VARCHAR), 3, '0') ELSE CAST({_DOLLARS} AS VARCHAR) END)"
+          f" || '.' || lpad(CAST({_CENTS} % 100 AS VARCHAR), 2, '0')")
+
+DIRTY = f"""
+SELECT {_KEY} AS row_key,
+  CASE WHEN {hash_draw(_KEY, 11)} < 0.05 THEN NULL WHEN {hash_draw(_KEY, 11)} < 0.13 THEN 'x'
+       WHEN {hash_draw(_KEY, 11)} < 0.15 THEN '12d' ELSE {_MONEY} END AS money,
+  CASE WHEN {hash_draw(_KEY, 12)} < 0.05 THEN NULL WHEN {hash_draw(_KEY, 12)} < 0.15 THEN 'n/a'
+       ELSE CAST(CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' END AS pct,
+  CASE WHEN {hash_draw(_KEY, 13)} < 0.05 THEN NULL WHEN {hash_draw(_KEY, 13)} < 0.15 THEN 'maybe'
+       WHEN l_linestatus = 'O' THEN ' Yes' ELSE 'no ' END AS yn,
+  CASE WHEN {hash_draw(_KEY, 14)} < 0.35 THEN 'about ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
+       ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS qty_txt,
+  l_returnflag AS flag,
+  CASE WHEN {hash_draw(_KEY, 15)} < 0.02 THEN CAST('nan' AS DOUBLE) WHEN {hash_draw(_KEY, 15)} < 0.04
+       THEN CAST('inf' AS DOUBLE) WHEN {hash_draw(_KEY, 15)} < 0.06 THEN CAST('-inf' AS DOUBLE)
+       ELSE l_tax END AS ratio,
+  l_quantity * 3 AS qty3,
+  l_shipdate AS ship_ts
+FROM lineitem
+"""
+
+from ..functions.columns import FALSY, NUMERIC_PATTERN, TRUTHY  # noqa: E402
+
+
+def sql_list(vals) -> str:
+    return ", ".join(f"'{v}'" for v in vals)
+
+
+def is_boolish(c: str) -> str:
+    return f"COALESCE(lower(trim(CAST({c} AS VARCHAR))) IN ({sql_list(TRUTHY + FALSY)}), false)"
+
+
+def boolish_value(c: str) -> str:
+    low = f"lower(trim(CAST({c} AS VARCHAR)))"
+    return f"(CASE WHEN {low} IN ({sql_list(TRUTHY)}) THEN 1 WHEN {low} IN ({sql_list(FALSY)}) THEN 0 END)"
+
+
+def parse_number(c: str) -> str:
+    t = f"trim(replace(regexp_replace(CAST({c} AS VARCHAR), '[\\$,]', '', 'g'), '%', ''))"
+    return f"(CASE WHEN regexp_matches({t}, '{NUMERIC_PATTERN}') THEN TRY_CAST({t} AS DOUBLE) END)"

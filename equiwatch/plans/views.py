@@ -106,3 +106,52 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"),
         F.col("l_shipdate").alias("ship_ts"),
     )
+
+
+def row_key(*cols: str) -> F.Column:
+    """Text key ``a-b-...`` from integer key columns (same text in any SQL engine)."""
+    parts = []
+    for i, c in enumerate(cols):
+        if i:
+            parts.append(F.lit("-"))
+        parts.append(F.col(c).cast("string"))
+    return F.concat(*parts)
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem rendered as messy text: money, percent, yes/no, mixed, non-finite.
+
+    Junk and NULL cells are placed by the keyed hash draw, so any engine with
+    md5 reproduces the same cells.
+    """
+    from ..functions.columns import hash_draw
+
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate")
+    key = row_key("l_orderkey", "l_linenumber")
+    d1, d2, d3, d4, d5 = (hash_draw(key, s) for s in (11, 12, 13, 14, 15))
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
+    dollars = F.floor(cents / 100).cast("long")
+    dollar_txt = F.when(dollars >= 1000, F.concat(F.floor(dollars / 1000).cast("long").cast("string"), F.lit(","),
+                                                  F.lpad((dollars % 1000).cast("string"), 3, "0"))) \
+        .otherwise(dollars.cast("string"))
+    money_txt = F.concat(F.lit("$"), dollar_txt, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    pct_txt = F.concat(F.floor(F.col("l_discount") * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
+    qty = F.col("l_quantity").cast("long").cast("string")
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    return li.select(
+        key.alias("row_key"),
+        F.when(d1 < 0.05, F.lit(None).cast("string")).when(d1 < 0.13, F.lit("x"))
+         .when(d1 < 0.15, F.lit("12d")).otherwise(money_txt).alias("money"),
+        F.when(d2 < 0.05, F.lit(None).cast("string")).when(d2 < 0.15, F.lit("n/a"))
+         .otherwise(pct_txt).alias("pct"),
+        F.when(d3 < 0.05, F.lit(None).cast("string")).when(d3 < 0.15, F.lit("maybe"))
+         .when(F.col("l_linestatus") == "O", F.lit(" Yes")).otherwise(F.lit("no ")).alias("yn"),
+        F.when(d4 < 0.35, F.concat(F.lit("about "), qty)).otherwise(qty).alias("qty_txt"),
+        F.col("l_returnflag").alias("flag"),
+        F.when(d5 < 0.02, nan).when(d5 < 0.04, inf).when(d5 < 0.06, -inf)
+         .otherwise(F.col("l_tax")).alias("ratio"),
+        (F.col("l_quantity") * 3).alias("qty3"),
+        F.col("l_shipdate").alias("ship_ts"),
+    )
