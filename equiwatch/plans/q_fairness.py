@@ -54,3 +54,123 @@ def q_fairness_report(spark, sf):
 def q_fairness_report_docs(spark, sf):
     rep = fz.fairness_report(docs_scored(spark, sf), protected=DOCS_PROTECTED, threshold=0.10)
     return finish(rep)
+
+
+# ---------------------------------------------------------------------------
+# Replay in batches (FAIR-6..12): 35% of the scored orders (keyed draw, seed 7)
+# in draw order, sliced into batches of 100 rows.
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import sampling as SM  # noqa: E402
+from ..operators.smoothing import ema  # noqa: E402
+
+BATCH_SIZE = 100
+REPLAY_SQL = f"""
+SELECT *, CAST((row_number() OVER (ORDER BY draw, o_orderkey) - 1) // {BATCH_SIZE} + 1 AS BIGINT) AS batch
+FROM (SELECT * FROM (SELECT *, {S.hash_draw('o_orderkey', 7)} AS draw FROM ({S.ORDERS_SCORED})) WHERE draw < 0.35)
+"""
+_BATCH = S.fairness_ctes(REPLAY_SQL, ORDERS_PROTECTED, keys=("batch",))
+
+
+def replay(spark, sf, batch_size: int = BATCH_SIZE):
+    s = orders_scored(spark, sf)
+    d = SM.sample_fraction(s, "o_orderkey", 0.35, 7)
+    return SM.assign_batches(d, ["draw", "o_orderkey"], batch_size)
+
+
+def _batch_report(spark, sf, threshold: float = 0.10):
+    return fz.fairness_report(replay(spark, sf), protected=ORDERS_PROTECTED, threshold=threshold, keys=["batch"])
+
+
+@register("fairness_by_batch", "FAIR-6", _BATCH + f"SELECT batch, {_REPORT_COLS} FROM report")
+def q_fairness_by_batch(spark, sf):
+    return finish(_batch_report(spark, sf))
+
+
+_SUMMARY = ("summary AS (SELECT batch, COALESCE(max(dp_diff), 0.0) AS max_dp_diff, "
+            "COALESCE(max(eo_diff), 0.0) AS max_eo_diff, COALESCE(bool_or(alert), false) AS alert "
+            "FROM report GROUP BY batch)")
+
+
+@register("batch_summary", "FAIR-7", _BATCH + f", {_SUMMARY} "
+          "SELECT batch, round(max_dp_diff, 6) AS max_dp_diff, round(max_eo_diff, 6) AS max_eo_diff, alert FROM summary")
+def q_batch_summary(spark, sf):
+    return finish(fz.batch_summary(_batch_report(spark, sf)))
+
+
+_WORST = f"""
+, ranked AS (SELECT *, greatest(dp_diff, eo_diff) AS severity,
+    row_number() OVER (PARTITION BY batch ORDER BY greatest(dp_diff, eo_diff) DESC,
+                       CASE target WHEN 'RTS' THEN 1 WHEN 'RTP' THEN 2 ELSE 3 END,
+                       CASE attribute {" ".join(f"WHEN '{a}' THEN {i + 1}" for i, a in enumerate(ORDERS_PROTECTED))}
+                       ELSE 99 END, attribute) AS rk
+  FROM report)
+"""
+
+
+@register("worst_driver", "FAIR-8", _BATCH + _WORST + """
+SELECT batch, protected_attr, round(dp_diff, 6) AS dp_diff, round(eo_diff, 6) AS eo_diff, round(severity, 6) AS severity,
+       CASE WHEN dp_diff >= eo_diff THEN 'Demographic Parity' ELSE 'Equalized Odds' END AS driver,
+       severity <= 0.1 AS stable
+FROM ranked WHERE rk = 1
+""")
+def q_worst_driver(spark, sf):
+    w = fz.worst_driver(_batch_report(spark, sf), 0.10, ["batch"], attribute_order=ORDERS_PROTECTED)
+    return finish(w.drop("message"))
+
+
+def _ema_sql(v: str) -> str:
+    return (f"round(sum(CASE WHEN b.batch = 1 THEN b.{v} ELSE CAST(0.25 AS DOUBLE) * b.{v} END"
+            f" * pow(CAST(0.75 AS DOUBLE), CAST(a.batch - b.batch AS DOUBLE))), 6) AS {v}_smoothed")
+
+
+@register("ema_smooth", "FAIR-9", _BATCH + f", {_SUMMARY} " + f"""
+SELECT a.batch, round(a.max_dp_diff, 6) AS max_dp_diff, round(a.max_eo_diff, 6) AS max_eo_diff,
+       {_ema_sql('max_dp_diff')}, {_ema_sql('max_eo_diff')}
+FROM summary a JOIN summary b ON b.batch <= a.batch
+GROUP BY a.batch, a.max_dp_diff, a.max_eo_diff
+""")
+def q_ema_smooth(spark, sf):
+    summ = fz.batch_summary(_batch_report(spark, sf)).drop("alert")
+    return finish(ema(summ, ["max_dp_diff", "max_eo_diff"], step="batch", alpha=0.25))
+
+
+@register("severity_bands", "FAIR-10", _BATCH + """
+, sev AS (SELECT batch, protected_attr, greatest(dp_diff, eo_diff) AS severity FROM report)
+SELECT batch, protected_attr, round(severity, 6) AS severity,
+       CASE WHEN severity > 0.1 THEN 'bad' WHEN severity > 0.1 * 0.7 THEN 'warn' ELSE 'good' END AS mood,
+       round(least(severity / 0.1, 1.0) * 100.0, 6) AS severity_pct,
+       CASE WHEN severity <= 0.1 THEN 'OK' ELSE 'ALERT' END AS status
+FROM sev
+""")
+def q_severity_bands(spark, sf):
+    rep = _batch_report(spark, sf)
+    sev = rep.select("batch", "protected_attr", F.greatest("dp_diff", "eo_diff").alias("severity"))
+    return finish(fz.severity_bands(sev, 0.10))
+
+
+def _r3(x: str) -> str:
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)"
+
+
+@register("attr_summary", "FAIR-11", _BATCH + f"""
+SELECT batch, protected_attr, {_r3('dp_diff')} AS dp, {_r3('eo_diff')} AS eo,
+       {_r3('greatest(dp_diff, eo_diff)')} AS severity,
+       CASE WHEN greatest(dp_diff, eo_diff) <= 0.1 THEN 'OK' ELSE 'ALERT' END AS status
+FROM report
+""")
+def q_attr_summary(spark, sf):
+    return fz.attr_summary(_batch_report(spark, sf), 0.10, ["batch"])
+
+
+@register("group_breakdown", "FAIR-12", _BATCH + """
+SELECT batch, target, attribute, grp, n, round(selection_rate, 6) AS selection_rate, round(tpr, 6) AS tpr,
+       round(fpr, 6) AS fpr, round(accuracy, 6) AS accuracy
+FROM rates WHERE batch = (SELECT max(batch) FROM rates)
+""")
+def q_group_breakdown(spark, sf):
+    rates = fz.group_report(replay(spark, sf), protected=ORDERS_PROTECTED, keys=["batch"])
+    last = rates.agg(F.max("batch").alias("_last"))
+    out = rates.join(F.broadcast(last), rates.batch == last._last).drop("_last", "tp", "tn", "fp", "fn")
+    return finish(out)
