@@ -190,5 +190,5 @@ def boolish_value(c: str) -> str:
 
 
 def parse_number(c: str) -> str:
-    t = f"trim(replace(regexp_replace(CAST({c} AS VARCHAR), '[\\$,]', '', 'g'), '%', ''))"
+    t = f"trim(translate(CAST({c} AS VARCHAR), '$,%', ''))"
     return f"(CASE WHEN regexp_matches({t}, '{NUMERIC_PATTERN}') THEN TRY_CAST({t} AS DOUBLE) END)"
