@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import null_group_label, safe_rate
+from ..functions.columns import null_group_label, safe_rate  # noqa: F401  (re-exported)
 
 
 @dataclass(frozen=True)

@@ -1 +1,102 @@
-"""Registered queries."""
+"""Registered streaming queries (FAIR-13..15).
+
+Stream sources are files Spark writes from the test tables into the shared
+scratch folder; each query runs its stream to completion (``availableNow``)
+and returns what the sink holds.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from ..operators import fairness as fz
+from ..session import scratch_path
+from ..streaming import monitor as SM
+from . import sqltext as S
+from .q_fairness import _BATCH, _REPORT_COLS, _SUMMARY, _ema_sql, replay
+from .registry import finish, register
+from .views import EVENTS_PROTECTED, ORDERS_PROTECTED, events_scored
+
+N_FILES = 4
+
+
+def _write_groups(df, path: str, group_col, n_files: int = N_FILES) -> None:
+    """Write ``df`` as ``n_files`` append jobs, one per group, so the file source
+    sees them in that order and every group lands in exactly one file."""
+    for g in range(n_files):
+        df.where(group_col == g).coalesce(1).write.mode("append").parquet(path)
+
+
+@register("fairness_stream", "FAIR-13", _BATCH + f"SELECT batch, {_REPORT_COLS} FROM report")
+def q_fairness_stream(spark, sf):
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    rows = replay(spark, sf).drop("draw", "position")
+    # Consecutive batch ranges per file: every micro-batch holds whole batches.
+    n_batches = rows.agg(F.max("batch")).first()[0] or 0
+    per_file = max(1, -(-n_batches // N_FILES))
+    _write_groups(rows, src, F.floor((F.col("batch") - 1) / per_file))
+    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
+    q = SM.fairness_stream(stream, sink, ckpt, protected=ORDERS_PROTECTED, keys=["batch"], run_id="run-1")
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return finish(out.select("batch", "target", "attribute", "n_groups", "dp_diff", "eo_diff",
+                             "protected_attr", "alert"))
+
+
+@register("ema_stream", "FAIR-14", _BATCH + f", {_SUMMARY} " + f"""
+SELECT a.batch, round(a.max_dp_diff, 6) AS max_dp_diff, round(a.max_eo_diff, 6) AS max_eo_diff,
+       {_ema_sql('max_dp_diff')}, {_ema_sql('max_eo_diff')}
+FROM summary a JOIN summary b ON b.batch <= a.batch
+GROUP BY a.batch, a.max_dp_diff, a.max_eo_diff
+""")
+def q_ema_stream(spark, sf):
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("ema-src", "ema-sink", "ema-ckpt"))
+    summary = fz.batch_summary(fz.fairness_report(replay(spark, sf), protected=ORDERS_PROTECTED,
+                                                  keys=["batch"])).drop("alert")
+    n_batches = summary.agg(F.max("batch")).first()[0] or 0
+    per_file = max(1, -(-n_batches // N_FILES))
+    _write_groups(summary, src, F.floor((F.col("batch") - 1) / per_file))
+    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
+    out = SM.ema_stream(stream, ["max_dp_diff", "max_eo_diff"], step="batch")
+    q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return finish(spark.read.parquet(sink))
+
+
+_WINDOW_SQL = S.fairness_ctes(
+    f"SELECT *, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start FROM ({S.EVENTS_SCORED})",
+    EVENTS_PROTECTED, keys=("window_start",))
+
+
+@register("fairness_window", "FAIR-15", _WINDOW_SQL + f"SELECT window_start, {_REPORT_COLS} FROM report")
+def q_fairness_window(spark, sf):
+    ev = events_scored(spark, sf, cast_ts=False)
+    return finish(SM.fairness_window(ev, "ts", "1 day", protected=EVENTS_PROTECTED))
+
+
+def window_stream_counts(spark, sf, watermark: str = "1 day"):
+    """Streaming form of FAIR-15 over events files; returns the sink's counts."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("win-src", "win-sink", "win-ckpt"))
+    ev = events_scored(spark, sf, cast_ts=False)
+    day = F.dayofmonth("ts")
+    _write_groups(ev, src, F.floor((day - 1) / 8))
+    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
+    counts = SM.windowed_confusion(stream, "ts", "1 day", fz.DEFAULT_TARGETS, EVENTS_PROTECTED, watermark)
+    q = (counts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@register("fairness_window_stream", "FAIR-15", _WINDOW_SQL + f"""
+SELECT window_start, {_REPORT_COLS} FROM report
+WHERE window_start + 86400 <= (SELECT epoch(max(ts)) FROM events) - 86400
+""")
+def q_fairness_window_stream(spark, sf):
+    return finish(SM.report_from_window_counts(window_stream_counts(spark, sf)))
+
+
+_ = os

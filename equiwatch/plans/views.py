@@ -72,13 +72,14 @@ def docs_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events: purchase/click labels against value rules; ts cast to ``timestamp``."""
+def events_scored(spark: SparkSession, sf_dir: str, cast_ts: bool = False) -> DataFrame:
+    """events: purchase/click labels against value rules.  ``ts`` stays
+    ``timestamp_ntz`` unless ``cast_ts`` (then it is read in the session zone)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("long")
     rts_pred = _i(F.col("value") >= 35)
     return ev.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", (F.col("ts").cast("timestamp") if cast_ts else F.col("ts")).alias("ts"),
         _i(F.col("event_type") == "purchase").alias("rts_true"),
         rts_pred.alias("rts_pred"),
         _i(F.col("event_type").isin("purchase", "click")).alias("rtp_true"),
