@@ -1 +1,261 @@
-"""Registered queries."""
+"""Registered preparation / model / explanation queries (PREP, ML, EVAL on
+models, SINK-2, SHAP) and the end-to-end monitored replay.
+
+Model queries train on the readiness view: labels from the rule chain, the
+features left after the default drop list, 80/20 split by keyed draw.  Library
+defaults equal the monitored application's settings (250 boosting rounds, 300
+forest trees); the registry uses ``REGISTRY_ROUNDS`` / ``REGISTRY_TREES`` so the
+whole registry verifies in bounded time.  Trained models are memoised per
+session and data folder, so the queries below train each model once.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..operators import explain as X
+from ..operators import fairness as fz
+from ..operators import labels as L
+from ..operators import metrics as M
+from ..operators import models as MD
+from ..operators import names as N
+from ..operators import prep as P
+from ..operators import sampling as SM
+from ..operators.cleaning import datetime_to_epoch
+from ..operators.ordering import global_rank
+from ..session import scratch_path
+from . import sqltext as S
+from .q_health import docs_labels
+from .registry import finish, register
+from .views import readiness, row_key
+
+REGISTRY_ROUNDS = 30
+REGISTRY_TREES = 30
+KEYS = ("row_id",)              # unique; (l_orderkey, l_linenumber) repeats in lineitem
+SOURCE_KEYS = ("l_orderkey", "l_linenumber")
+ML_PROTECTED = ("priority", "status")
+
+# ---------------------------------------------------------------------------
+# PREP-1..4 on documents ⟕ labels (missing labels), fitted on the train split
+# ---------------------------------------------------------------------------
+
+_DOC_NUM = ("n_chars", "quality", "toxic")
+_DOC_SPLIT = f"CASE WHEN {S.hash_draw('doc_id', 42)} < 0.2 THEN 'test' ELSE 'train' END"
+_DOCS_SQL = f"""
+WITH t AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic, {_DOC_SPLIT.replace('doc_id', 'd.doc_id')} AS split
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+m AS (SELECT {", ".join(f"median(CAST({c} AS DOUBLE)) FILTER (WHERE split = 'train') AS med_{c}" for c in _DOC_NUM)} FROM t),
+i AS (SELECT t.doc_id, t.lang, t.source, t.split,
+             {", ".join(f"COALESCE(CAST(t.{c} AS DOUBLE), m.med_{c}) AS {c}" for c in _DOC_NUM)} FROM t, m)
+"""
+
+
+def _docs_split(spark, sf):
+    return SM.split_hash(docs_labels(spark, sf).drop("text"), "doc_id", 0.2, 42)
+
+
+@register("impute_median", "PREP-1", _DOCS_SQL + f"""
+SELECT doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in _DOC_NUM)} FROM i
+""")
+def q_impute_median(spark, sf):
+    d = _docs_split(spark, sf)
+    med = P.medians(d.where("split = 'train'"), _DOC_NUM)
+    return finish(P.impute_median(d.select("doc_id", *_DOC_NUM), med))
+
+
+@register("standardize", "PREP-2", _DOCS_SQL + f"""
+, s AS (SELECT {", ".join(f"avg({c}) FILTER (WHERE split = 'train') AS a_{c}, "
+                          f"stddev_pop({c}) FILTER (WHERE split = 'train') AS s_{c}" for c in _DOC_NUM)} FROM i)
+SELECT doc_id, {", ".join(f"round((({c}) - s.a_{c}) / (CASE WHEN s.s_{c} IS NULL OR s.s_{c} = 0 THEN 1.0 ELSE s.s_{c} END), 6) AS {c}"
+                          for c in _DOC_NUM)}
+FROM i, s
+""")
+def q_standardize(spark, sf):
+    d = _docs_split(spark, sf)
+    med = P.medians(d.where("split = 'train'"), _DOC_NUM)
+    imp = P.impute_median(d.select("doc_id", "split", *_DOC_NUM), med)
+    mom = P.moments(imp.where("split = 'train'"), _DOC_NUM)
+    return finish(P.standardize(imp, mom).drop("split"))
+
+
+@register("impute_mode", "PREP-3", f"""
+WITH t AS (SELECT lang, source FROM documents WHERE {S.hash_draw('doc_id', 42)} >= 0.2),
+l AS (SELECT 'lang' AS "column", lang AS value FROM t UNION ALL SELECT 'source', source FROM t),
+c AS (SELECT "column", value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY "column", value),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC) AS rank FROM c)
+SELECT "column" AS column_name, value AS mode, count FROM r WHERE rank = 1
+""")
+def q_impute_mode(spark, sf):
+    d = _docs_split(spark, sf).where("split = 'train'")
+    t = P.mode_table(d, ["lang", "source"]).where("rank = 1")
+    return t.select(F.col("column").alias("column_name"), F.col("value").alias("mode"), "count")
+
+
+@register("one_hot", "PREP-4", """
+SELECT doc_id, """ + ", ".join(f"CASE WHEN lang = '{k}' THEN 1.0 ELSE 0.0 END AS lang_{k}" for k in ("de", "en", "es", "fr"))
+          + " FROM documents")
+def q_one_hot(spark, sf):
+    d = _docs_split(spark, sf)
+    train = d.where("split = 'train'")
+    mode = P.modes(train, ["lang"])
+    cats = P.categories(train.select("lang"), ["lang"])
+    return d.select("doc_id", *P.one_hot_exprs("lang", cats["lang"], mode["lang"]))
+
+
+# ---------------------------------------------------------------------------
+# Models on the readiness view
+# ---------------------------------------------------------------------------
+
+_MEMO: dict = {}
+
+
+def ml_frame(spark, sf):
+    """Readiness rows with derived, gated labels, epoch-converted times, a split
+    (keyed draw on the source key) and a unique ``row_id`` (distributed rank
+    over all columns; fully identical rows are interchangeable)."""
+    r = readiness(spark, sf)
+    lab = L.derive_labels(r, row_key(*SOURCE_KEYS))
+    lab = datetime_to_epoch(lab, ["ship_ts"])
+    lab = SM.split_hash(lab, row_key(*SOURCE_KEYS), 0.2, 42)
+    return global_rank(lab, [F.col(c) for c in lab.columns], out="row_id")
+
+
+def ml_features(df) -> list[str]:
+    m = N.default_mapping(df.columns)
+    skip = set(KEYS) | set(SOURCE_KEYS) | {m.rts_target, m.rtp_target, "split"} | set(m.drop)
+    return [c for c in df.columns if c not in skip]
+
+
+def trained(spark, sf, kind: str = "gbt"):
+    key = (id(spark), sf, kind)
+    if key not in _MEMO:
+        data = ml_frame(spark, sf).cache()
+        feats = ml_features(data)
+        train = data.where("split = 'train'")
+        guard = SM.class_guard(train, ["rts", "rtp"])
+        SM.require_both_classes(guard)
+        prep = P.fit_prep(train, feats)
+        params = {"max_iter": REGISTRY_ROUNDS} if kind == "gbt" else {"num_trees": REGISTRY_TREES}
+        models = {t: MD.fit_target(train, t.upper(), t, feats, kind=kind, prep=prep, **params) for t in ("rts", "rtp")}
+        _MEMO[key] = (data, feats, prep, models)
+    return _MEMO[key]
+
+
+def _scored(spark, sf, kind: str = "gbt", split: str | None = "test"):
+    data, _, _, models = trained(spark, sf, kind)
+    rows = data if split is None else data.where(F.col("split") == split)
+    out = models["rts"].predict(rows, "rts_pred", "rts_prob")
+    out = models["rtp"].predict(out.drop("features", *[c for c in out.columns if c.startswith("__f")]),
+                                "rtp_pred_raw", "rtp_prob")
+    return out.withColumn("rtp_pred", ((F.col("rts_pred") == 1) & (F.col("rtp_pred_raw") == 1)).cast("int"))
+
+
+def _model_metrics(spark, sf, kind):
+    s = _scored(spark, sf, kind)
+    targets = [fz.Target("RTS", "rts", "rts_pred"), fz.Target("RTP", "rtp", "rtp_pred")]
+    cm = M.classification_metrics(s, targets)
+    auc_rts = M.roc_auc(s, "rts", "rts_prob").select(F.lit("RTS").alias("target"), "auc")
+    auc_rtp = M.roc_auc(s, "rtp", "rtp_prob").select(F.lit("RTP").alias("target"), "auc")
+    return finish(cm.join(auc_rts.unionByName(auc_rtp), "target"))
+
+
+@register("train_gbt", "ML-1/EVAL")
+def q_train_gbt(spark, sf):
+    return _model_metrics(spark, sf, "gbt")
+
+
+@register("train_rf", "ML-2/EVAL")
+def q_train_rf(spark, sf):
+    return _model_metrics(spark, sf, "rf")
+
+
+@register("class_weights", "ML-3", f"""
+WITH r AS ({S.READINESS}),
+l AS (SELECT l_orderkey, l_linenumber,
+             CAST(COALESCE(COALESCE(CAST(injury_indicator AS DOUBLE), 1.0) = 0 AND acl_risk_score <= 55
+                  AND fatigue_score <= 5 AND recovery_days >= 1, false) AS INTEGER) AS rts FROM r
+      WHERE {S.hash_draw(S.row_key('l_orderkey', 'l_linenumber'), 42)} >= 0.2),
+c AS (SELECT rts, count(*) AS n_cls FROM l GROUP BY rts)
+SELECT l.l_orderkey, l.l_linenumber, l.rts,
+       round(CAST((SELECT count(*) FROM l) AS DOUBLE) / (2.0 * c.n_cls), 6) AS class_weight
+FROM l JOIN c ON l.rts = c.rts
+""")
+def q_class_weights(spark, sf):
+    r = L.derive_labels(readiness(spark, sf), row_key(*SOURCE_KEYS))
+    train = SM.split_hash(r, row_key(*SOURCE_KEYS), 0.2, 42).where("split = 'train'").select(*SOURCE_KEYS, "rts")
+    return finish(MD.class_weights(train, "rts").select(*SOURCE_KEYS, "rts", F.col("class_weight").cast("double")))
+
+
+@register("prep_pipeline", "PREP-5")
+def q_prep_pipeline(spark, sf):
+    data, _, prep, _ = trained(spark, sf)
+    enc = prep.transform(data)
+    return enc.select(*KEYS, vector_to_array("features").alias("features"))
+
+
+@register("predict", "ML-4")
+def q_predict(spark, sf):
+    s = _scored(spark, sf)
+    return finish(s.select(*KEYS, "rts_pred", "rts_prob", "rtp_pred_raw", "rtp_prob"))
+
+
+@register("predict_gated", "ML-5")
+def q_predict_gated(spark, sf):
+    return _scored(spark, sf).select(*KEYS, "rts_pred", "rtp_pred")
+
+
+@register("model_save_load", "SINK-2")
+def q_model_save_load(spark, sf):
+    data, _, _, models = trained(spark, sf)
+    path = scratch_path(spark, "model-bundle")
+    MD.save_target_model(models["rtp"], path)
+    back = MD.load_target_model(spark, path)
+    test = data.where("split = 'test'")
+    # Both models score the same rows in one chained plan (no join needed).
+    a = models["rtp"].predict(test, "pred_a", "prob_a")
+    a = a.drop("features", *[c for c in a.columns if c.startswith("__f")])
+    j = back.predict(a, "pred_b", "prob_b")
+    return finish(j.select(*KEYS, F.col("pred_b").alias("pred"), F.col("prob_b").alias("prob"),
+                           ((F.col("pred_a") == F.col("pred_b")) & (F.col("prob_a") == F.col("prob_b"))).alias("same")))
+
+
+def _attributions(spark, sf):
+    data, _, prep, models = trained(spark, sf)
+    enc = prep.transform(data)
+    return enc, X.tree_attributions(enc, models["rtp"].model, list(KEYS)), prep.feature_names
+
+
+@register("tree_attributions", "SHAP-1")
+def q_tree_attributions(spark, sf):
+    _, attr, _ = _attributions(spark, sf)
+    total = F.aggregate("attributions", F.lit(0.0), lambda acc, v: acc + v)
+    return finish(attr.select(*KEYS, "expected_value", "model_output", total.alias("attribution_sum"),
+                              F.abs(total + F.col("expected_value") - F.col("model_output")).alias("additivity_error")))
+
+
+@register("global_importance", "SHAP-2")
+def q_global_importance(spark, sf):
+    _, attr, names = _attributions(spark, sf)
+    return finish(X.global_importance(attr, names, list(KEYS)))
+
+
+@register("contribution_table", "SHAP-3")
+def q_contribution_table(spark, sf):
+    enc, attr, names = _attributions(spark, sf)
+    first = SM.sample_n(enc.select("row_id"), "row_id", 1, 42).first()[0]
+    return finish(X.contribution_table(enc, attr, names, "row_id", first))
+
+
+@register("monitor_model", "FAIR-6 (model)")
+def q_monitor_model(spark, sf):
+    """The monitored replay with real models: 35% of all rows (seed 7), batches of
+    100 in draw order, both predictions, gating, per-batch fairness by the
+    protected columns (they stay in the features, as in the application)."""
+    s = _scored(spark, sf, split=None)
+    rows = SM.sample_fraction(s.select(*KEYS, "rts", "rtp", "rts_pred", "rtp_pred", *ML_PROTECTED),
+                              "row_id", 0.35, 7)
+    b = SM.assign_batches(rows, ["draw", *KEYS], 100)
+    targets = [fz.Target("RTS", "rts", "rts_pred"), fz.Target("RTP", "rtp", "rtp_pred")]
+    rep = fz.fairness_report(b, targets, ML_PROTECTED, 0.10, ["batch"])
+    return finish(fz.batch_summary(rep))
