@@ -30,11 +30,13 @@ def _c(name: str):
     return F.col(f"`{name}`")
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """Exact medians (even counts average the middle pair) in one aggregate."""
+def medians(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict[str, float | None]:
+    """Exact medians (even counts average the middle pair), all columns at once;
+    large-cardinality columns go through the distributed sort (see labels)."""
     if not cols:
         return {}
-    row = df.agg(*[F.median(_c(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    from .labels import percentiles
+    row = percentiles(df, {f"m{i}": (_c(c).cast("double"), 0.5) for i, c in enumerate(cols)}, method).first()
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
@@ -63,14 +65,16 @@ def standardize(df: DataFrame, mom: dict[str, tuple[float, float]]) -> DataFrame
 
 
 def mode_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, count, rank) for every text column at once: one unpivot
-    and one grouped count (partial aggregation handles hot values)."""
+    """(column, value, count, rank=1) — the most frequent value per text column,
+    ties to the smallest value.  Aggregates only (no window over a column's
+    values, so a high-cardinality column never lands in one task): counts per
+    (column, value), the top count per column, then the smallest value at it."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("value"))
                                          for c in cols])).alias("_cv")).select("_cv.*")
     counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    return counts.withColumn("rank", F.row_number().over(w))
+    top = counts.groupBy("column").agg(F.max("count").alias("count"))
+    best = counts.join(top, ["column", "count"]).groupBy("column", "count").agg(F.min("value").alias("value"))
+    return best.select("column", "value", "count", F.lit(1).alias("rank"))
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:

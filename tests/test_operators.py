@@ -143,3 +143,18 @@ def test_binary_target_check(spark):
     CL.binary_target_check(spark.createDataFrame([("1",), ("0",), (None,)], "t string"), "t")
     with pytest.raises(ValueError):
         CL.binary_target_check(spark.createDataFrame([(2,), (0,)], "t int"), "t")
+
+
+def test_percentile_methods_agree(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003 / 7.0).alias("x"), (F.col("id") % 13).alias("y"))
+    specs = {"p1": (F.col("x"), 0.35), "p2": (F.col("y"), 0.8), "p3": (F.col("x"), 0.5)}
+    exact = L.percentiles(df, specs, "exact").first().asDict()
+    dist = L.percentiles(df, specs, "distributed").first().asDict()
+    auto_small = L.percentiles(df, specs, "auto", max_exact_distinct=10).first().asDict()
+    assert exact == dist == auto_small
+
+
+def test_mode_ties_smallest(spark):
+    from equiwatch.operators import prep as P
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), ("b", "y"), ("a", None)], "s string, t string")
+    assert P.modes(df, ["s", "t"]) == {"s": "a", "t": "x"}
