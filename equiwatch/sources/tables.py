@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SMALL_DIMENSIONS = ("region", "nation")
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -36,6 +38,25 @@ def read_parquet(spark: SparkSession, path: str, normalize: bool = True) -> Data
     return normalize_missing(df) if normalize else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, normalize: bool = True) -> DataFrame:
-    """One of the test tables under ``sf_dir`` (``<sf_dir>/<name>.parquet``)."""
-    return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"), normalize)
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that planned fewer input splits than the cluster has
+    cores (e.g. a single-row-group file), so per-row work runs in parallel.
+
+    The decision reads only the planned split count (no job).  Large inputs
+    have far more splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, normalize: bool = True,
+          parallel: bool = True) -> DataFrame:
+    """One of the test tables under ``sf_dir`` (``<sf_dir>/<name>.parquet``).
+
+    Dimension tables (a few rows by definition) are not spread."""
+    df = read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"), normalize)
+    if parallel and name not in SMALL_DIMENSIONS:
+        df = spread(df)
+    return df
