@@ -99,8 +99,13 @@ def group_rates(conf: DataFrame) -> DataFrame:
             .withColumn("accuracy", safe_rate(tp + tn, tp + tn + fp + fn)))
 
 
-def fairness_gaps(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """dp = max−min selection rate; eo = max(tpr gap, fpr gap); 0 with < 2 groups."""
+def fairness_gaps(rates: DataFrame, keys: Sequence[str] = (), min_group_n: int = 1) -> DataFrame:
+    """dp = max−min selection rate; eo = max(tpr gap, fpr gap); 0 with < 2 groups.
+
+    ``min_group_n`` > 1 leaves groups with fewer rows out of the gaps (small
+    batches make tiny groups noisy); the default keeps every group."""
+    if min_group_n > 1:
+        rates = rates.where(F.col("n") >= F.lit(int(min_group_n)))
     g = (rates.groupBy(*keys, "target", "attribute")
          .agg(F.count(F.lit(1)).alias("n_groups"),
               (F.max("selection_rate") - F.min("selection_rate")).alias("_dp"),
@@ -120,10 +125,11 @@ def fairness_alert(gaps: DataFrame, threshold: float = 0.10) -> DataFrame:
 
 def fairness_report(df: DataFrame, targets: Sequence[Target] = DEFAULT_TARGETS,
                     protected: Sequence[str] = (), threshold: float = 0.10,
-                    keys: Sequence[str] = (), null_label: str = "Unknown") -> DataFrame:
+                    keys: Sequence[str] = (), null_label: str = "Unknown",
+                    min_group_n: int = 1) -> DataFrame:
     """One row per (keys, target, attribute): n_groups, dp_diff, eo_diff, alert."""
     rates = group_rates(confusion_by_group(df, targets, protected, keys, null_label))
-    return fairness_alert(fairness_gaps(rates, keys), threshold)
+    return fairness_alert(fairness_gaps(rates, keys, min_group_n), threshold)
 
 
 def group_report(df: DataFrame, targets: Sequence[Target] = DEFAULT_TARGETS,

@@ -66,10 +66,17 @@ from ..operators import sampling as SM  # noqa: E402
 from ..operators.smoothing import ema  # noqa: E402
 
 BATCH_SIZE = 100
-REPLAY_SQL = f"""
-SELECT *, CAST((row_number() OVER (ORDER BY draw, o_orderkey) - 1) // {BATCH_SIZE} + 1 AS BIGINT) AS batch
+LARGE_BATCH_SIZE = 10_000
+
+
+def replay_sql(batch_size: int = BATCH_SIZE) -> str:
+    return f"""
+SELECT *, CAST((row_number() OVER (ORDER BY draw, o_orderkey) - 1) // {batch_size} + 1 AS BIGINT) AS batch
 FROM (SELECT * FROM (SELECT *, {S.hash_draw('o_orderkey', 7)} AS draw FROM ({S.ORDERS_SCORED})) WHERE draw < 0.35)
 """
+
+
+REPLAY_SQL = replay_sql()
 _BATCH = S.fairness_ctes(REPLAY_SQL, ORDERS_PROTECTED, keys=("batch",))
 
 
@@ -79,8 +86,9 @@ def replay(spark, sf, batch_size: int = BATCH_SIZE):
     return SM.assign_batches(d, ["draw", "o_orderkey"], batch_size)
 
 
-def _batch_report(spark, sf, threshold: float = 0.10):
-    return fz.fairness_report(replay(spark, sf), protected=ORDERS_PROTECTED, threshold=threshold, keys=["batch"])
+def _batch_report(spark, sf, threshold: float = 0.10, batch_size: int = BATCH_SIZE):
+    return fz.fairness_report(replay(spark, sf, batch_size), protected=ORDERS_PROTECTED, threshold=threshold,
+                              keys=["batch"])
 
 
 @register("fairness_by_batch", "FAIR-6", _BATCH + f"SELECT batch, {_REPORT_COLS} FROM report")
@@ -88,6 +96,13 @@ def q_fairness_by_batch(spark, sf):
     return finish(_batch_report(spark, sf))
 
 
+@register("fairness_by_batch_large", "FAIR-6",
+          S.fairness_ctes(replay_sql(LARGE_BATCH_SIZE), ORDERS_PROTECTED, keys=("batch",))
+          + f"SELECT batch, {_REPORT_COLS} FROM report")
+def q_fairness_by_batch_large(spark, sf):
+    return finish(_batch_report(spark, sf, batch_size=LARGE_BATCH_SIZE))
+
+
 _SUMMARY = ("summary AS (SELECT batch, COALESCE(max(dp_diff), 0.0) AS max_dp_diff, "
             "COALESCE(max(eo_diff), 0.0) AS max_eo_diff, COALESCE(bool_or(alert), false) AS alert "
             "FROM report GROUP BY batch)")

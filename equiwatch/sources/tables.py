@@ -45,8 +45,11 @@ def spread(df: DataFrame) -> DataFrame:
     The decision reads only the planned split count (no job).  Large inputs
     have far more splits than cores and pass through untouched.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
         return df
     return df.repartition(cores)
 
