@@ -35,6 +35,10 @@ def class_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataF
 def train_gbt(train: DataFrame, label: str, features_col: str = "features", max_iter: int = 250,
               step_size: float = 0.05, max_depth: int = 3, seed: int = 42,
               checkpoint_interval: int = 10) -> GBTClassificationModel:
+    # Boosting rounds grow the lineage; MLlib checkpoints every
+    # ``checkpoint_interval`` rounds into the shared checkpoint folder.
+    from ..session import checkpoint_dir
+    checkpoint_dir(train.sparkSession)
     gbt = GBTClassifier(labelCol=label, featuresCol=features_col, maxIter=max_iter, stepSize=step_size,
                         maxDepth=max_depth, seed=seed, checkpointInterval=checkpoint_interval,
                         cacheNodeIds=True)

@@ -158,3 +158,30 @@ def test_mode_ties_smallest(spark):
     from equiwatch.operators import prep as P
     df = spark.createDataFrame([("b", "x"), ("a", "x"), ("b", "y"), ("a", None)], "s string, t string")
     assert P.modes(df, ["s", "t"]) == {"s": "a", "t": "x"}
+
+
+def test_column_types(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "i int, s string, d double")
+    assert [tuple(r) for r in H.column_types(df).collect()] == [("i", "int"), ("s", "string"), ("d", "double")]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(pairs=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 1)), min_size=1, max_size=30))
+def test_gated_rtp_never_exceeds_rts(spark, pairs):
+    df = spark.createDataFrame(pairs, "rts int, rtp int")
+    out = L.label_gate(df).collect()
+    assert all(r["rtp"] <= r["rts"] for r in out)
+
+
+@settings(max_examples=8, deadline=None)
+@given(n=st.integers(1, 400), size=st.integers(1, 120))
+def test_batch_sizes_sum_to_n(spark, n, size):
+    b = SM.assign_batches(spark.range(n), ["id"], size)
+    counts = {r["batch"]: r["count"] for r in b.groupBy("batch").count().collect()}
+    assert sum(counts.values()) == n
+    assert all(c == size for k, c in counts.items() if k < max(counts))
+    assert max(counts) == -(-n // size)
