@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import NA_STRINGS
+from ..functions.columns import NA_STRINGS, NUMERIC_PATTERN
 from .tables import normalize_missing
 
+INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+
 REPLACEMENT_CHAR = "�"
 SUPPORTED = (".csv",)
 
@@ -45,6 +47,33 @@ def na_to_null(df: DataFrame) -> DataFrame:
     return normalize_missing(df.select(*cols))
 
 
+def refine_types(df: DataFrame) -> DataFrame:
+    """After NA spellings became NULL, a text column whose non-null values are all
+    integers becomes ``long``, all numbers ``double`` (one aggregate pass).
+    Spark inferred ``string`` for such columns because of the NA text."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df
+    aggs = []
+    for i, c in enumerate(text):
+        v = F.trim(F.col(f"`{c}`"))
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"),
+                 F.count_if(v.rlike(INTEGER_PATTERN)).alias(f"i{i}"),
+                 F.count_if(v.rlike(NUMERIC_PATTERN)).alias(f"d{i}")]
+    row = df.agg(*aggs).first()
+    casts = {}
+    for i, c in enumerate(text):
+        n = row[f"n{i}"]
+        if n and row[f"i{i}"] == n:
+            casts[c] = "long"
+        elif n and row[f"d{i}"] == n:
+            casts[c] = "double"
+    if not casts:
+        return df
+    return df.select(*[F.trim(F.col(f"`{f.name}`")).cast(casts[f.name]).alias(f.name) if f.name in casts
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def read_csv_infer(spark: SparkSession, path: str, schema: T.StructType | None = None,
                    sampling_ratio: float = 1.0) -> DataFrame:
     """Read CSV as UTF-8; if any string cell holds U+FFFD (undecodable bytes),
@@ -60,4 +89,5 @@ def read_csv_infer(spark: SparkSession, path: str, schema: T.StructType | None =
             bad = bad | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
         if df.where(bad).limit(1).count() > 0:
             df = _read(spark, path, "ISO-8859-1", schema, sampling_ratio)
-    return na_to_null(df)
+    out = na_to_null(df)
+    return refine_types(out) if schema is None else out

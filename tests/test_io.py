@@ -77,3 +77,13 @@ def test_stream_windows_equal_batch_closed_windows(spark):
 
 
 _ = os
+
+
+def test_na_text_does_not_block_numeric_types(spark, tmp_path):
+    p = tmp_path / "n.csv"
+    p.write_text("a,b,c\n1,2.5,x\nNA,null,y\n3,N/A,z\n")
+    df = CSV.read_csv_infer(spark, str(p))
+    types = dict(df.dtypes)
+    assert types["a"] == "bigint" and types["b"] == "double" and types["c"] == "string"
+    rows = {r["c"]: (r["a"], r["b"]) for r in df.collect()}
+    assert rows == {"x": (1, 2.5), "y": (None, None), "z": (3, None)}
