@@ -48,16 +48,28 @@ def _write_epoch(df: DataFrame, sink: str, run_id: str, epoch_id: int) -> None:
 def fairness_stream(stream: DataFrame, sink: str, checkpoint: str,
                     targets: Sequence[fz.Target] = fz.DEFAULT_TARGETS, protected: Sequence[str] = (),
                     threshold: float = 0.10, keys: Sequence[str] = (), run_id: str | None = None,
-                    available_now: bool = True, processing_time: str | None = None):
+                    available_now: bool = True, processing_time: str | None = None,
+                    batch_size: int | None = None, order_by: Sequence[str] = ()):
     """Start the monitor; returns the ``StreamingQuery``.
 
     ``keys`` are row columns to report by inside each micro-batch (e.g. a batch
     number carried by the rows); without keys each micro-batch is one report.
+    ``batch_size`` (with a total ``order_by``) slices every micro-batch into
+    row batches of that size first (distributed rank), reported per
+    ``(epoch_id, batch)``.
     """
     run = run_id or uuid.uuid4().hex[:12]
+    if batch_size and not order_by:
+        raise ValueError("row batches inside a micro-batch need an explicit order_by")
 
     def per_batch(batch_df: DataFrame, epoch_id: int) -> None:
-        rep = fz.fairness_report(batch_df, targets, protected, threshold, keys)
+        report_keys = list(keys)
+        data = batch_df
+        if batch_size:
+            from ..operators.sampling import assign_batches
+            data = assign_batches(batch_df, order_by, batch_size)
+            report_keys.append("batch")
+        rep = fz.fairness_report(data, targets, protected, threshold, report_keys)
         _write_epoch(rep, sink, run, epoch_id)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)

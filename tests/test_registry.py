@@ -69,3 +69,19 @@ def test_stream_restart_is_idempotent(spark):
     batch = fz.fairness_report(rows, protected=ORDERS_PROTECTED, keys=["batch"])
     assert out.count() == batch.count()
     assert out.select("epoch_id").distinct().count() == 2
+
+
+def test_stream_row_batches_inside_micro_batches(spark):
+    from equiwatch.plans.views import ORDERS_PROTECTED, orders_scored
+    from equiwatch.session import scratch_path
+    from equiwatch.streaming import monitor as SM
+
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("rb-src", "rb-sink", "rb-ckpt"))
+    rows = orders_scored(spark, SF_SMALL)
+    rows.coalesce(1).write.parquet(src)
+    q = SM.fairness_stream(SM.file_stream(spark, src, spark.read.parquet(src).schema), sink, ckpt,
+                           protected=ORDERS_PROTECTED, batch_size=500, order_by=["o_orderkey"])
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    n = rows.count()
+    assert out.select("batch").distinct().count() == -(-n // 500)
