@@ -50,6 +50,25 @@ def check_protected(df: DataFrame, protected: Sequence[str]) -> list[str]:
     return list(protected)
 
 
+MAX_GROUPS_HINT = 1000
+
+
+def protected_cardinality(df: DataFrame, protected: Sequence[str]) -> DataFrame:
+    """One row: approximate distinct count per protected column (HyperLogLog)."""
+    return df.agg(*[F.approx_count_distinct(F.col(a)).alias(a) for a in protected])
+
+
+def warn_high_cardinality(df: DataFrame, protected: Sequence[str], limit: int = MAX_GROUPS_HINT) -> list[str]:
+    """Warn (and return the names) when a protected column has more than ``limit``
+    groups — usually an id picked by mistake.  One aggregate pass."""
+    import warnings
+    row = protected_cardinality(df, protected).first()
+    wide = [a for a in protected if (row[a] or 0) > limit]
+    if wide:
+        warnings.warn(f"protected columns with more than {limit} groups: {wide}", stacklevel=2)
+    return wide
+
+
 def long_form(df: DataFrame, targets: Sequence[Target], protected: Sequence[str],
               keys: Sequence[str] = (), null_label: str = "Unknown") -> DataFrame:
     """Rows → (*keys, target, attribute, grp, y, y_hat), one per target × attribute."""

@@ -168,6 +168,8 @@ def fit_prep(train: DataFrame, features: Sequence[str], output_col: str = "featu
     categorical = [c for c in features if isinstance(fields[c], T.StringType)]
     sub = train.select(*[_c(c) for c in numeric + categorical])
     med = medians(sub, numeric)
+    # A numeric column with no value in the training rows carries no feature.
+    numeric = [c for c in numeric if med.get(c) is not None]
     mom = moments(impute_median(sub.select(*[_c(c) for c in numeric]), med), numeric) if numeric else {}
     mode = modes(sub, categorical)
     filled = sub.select(*[F.coalesce(_c(c).cast("string"), F.lit(mode[c])).alias(c) if mode.get(c) is not None

@@ -18,7 +18,7 @@ _LINEITEM_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_qua
 
 def docs_labels(spark, sf):
     docs = table(spark, sf, "documents")
-    labels = table(spark, sf, "labels")
+    labels = table(spark, sf, "labels", parallel=False)
     return docs.join(labels, "doc_id", "left").select(*_DOCS_LABELS_COLS)
 
 

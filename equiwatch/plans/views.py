@@ -36,7 +36,7 @@ def orders_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     # joins stay broadcast (25 and 5 rows by definition of the schema).
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    customer = table(spark, sf_dir, "customer").select(
+    customer = table(spark, sf_dir, "customer", parallel=False).select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -58,7 +58,7 @@ def orders_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def docs_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents ⋈ labels: small groups (20 sources), exercises the tpr=0 rule."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    labels = table(spark, sf_dir, "labels", parallel=False).select("doc_id", "quality", "toxic")
     j = docs.join(labels, "doc_id")
     rts_pred = _i(F.col("n_chars") >= 500)
     return j.select(
@@ -94,7 +94,7 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_shipdate")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority",
+    o = table(spark, sf_dir, "orders", parallel=False).select("o_orderkey", "o_totalprice", "o_orderpriority",
                                               "o_orderstatus")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(

@@ -110,3 +110,9 @@ def test_report_properties(spark, rows):
     renamed = df.withColumn("g", F.concat(F.lit("x_"), F.coalesce("g", F.lit("Unknown"))))
     rep3 = fz.fairness_report(renamed, T1, ["g"]).collect()[0]
     assert (rep["dp_diff"], rep["eo_diff"]) == (rep3["dp_diff"], rep3["eo_diff"])
+
+
+def test_high_cardinality_warning(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("pid"), (F.col("id") % 2).cast("string").alias("g"))
+    with pytest.warns(UserWarning):
+        assert fz.warn_high_cardinality(df, ["pid", "g"]) == ["pid"]

@@ -98,3 +98,9 @@ def test_save_load_same_predictions(spark, data, tmp_path):
     a = {r["id"]: (r["pred"], r["prob"]) for r in tm.predict(data).select("id", "pred", "prob").collect()}
     b = {r["id"]: (r["pred"], r["prob"]) for r in back.predict(data).select("id", "pred", "prob").collect()}
     assert a == b
+
+
+def test_all_null_numeric_column_dropped(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, z double")
+    pm = P.fit_prep(df, ["x", "z"])
+    assert pm.feature_names == ["num__x"]
