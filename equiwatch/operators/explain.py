@@ -35,12 +35,16 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 
+MAX_TABLE_FEATURES = 10    # leaves with more distinct path features use the polynomial per batch
+
+
 @dataclass
 class Leaf:
     value: float
     features: np.ndarray        # distinct feature indices on the path
     zero: np.ndarray            # zero fraction per feature
     conds: list                 # per feature: list of (kind, threshold-or-cats, go_left)
+    table: np.ndarray | None = None   # φ for every 0/1 pattern of the one fractions (2^m, m)
 
 
 def _tree_leaves(nodes: dict[int, dict], value_of, cover_of) -> list[Leaf]:
@@ -73,8 +77,20 @@ def _tree_leaves(nodes: dict[int, dict], value_of, cover_of) -> list[Leaf]:
     return leaves
 
 
+_ENSEMBLES: dict[str, tuple] = {}
+
+
 def read_ensemble(model, path: str | None = None) -> tuple[list[list[Leaf]], np.ndarray, str]:
-    """Leaves of every tree, tree weights, and the output kind ("margin"/"probability")."""
+    """Leaves of every tree, tree weights, and the output kind ("margin"/"probability").
+    Read once per model (keyed by its uid)."""
+    if model.uid in _ENSEMBLES:
+        return _ENSEMBLES[model.uid]
+    out = _read_ensemble(model, path)
+    _ENSEMBLES[model.uid] = out
+    return out
+
+
+def _read_ensemble(model, path: str | None = None) -> tuple[list[list[Leaf]], np.ndarray, str]:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     path = path or scratch_path(spark, "tree-model")
@@ -107,9 +123,26 @@ def read_ensemble(model, path: str | None = None) -> tuple[list[list[Leaf]], np.
     else:
         raise TypeError("tree attributions need a GBT or random forest classification model")
     trees = [_tree_leaves(by_tree[t], value_of, cover_of) for t in sorted(by_tree)]
+    for leaves in trees:
+        for leaf in leaves:
+            leaf.table = pattern_table(leaf)
     return trees, weights, kind
 
 
+def pattern_table(leaf: Leaf) -> np.ndarray | None:
+    """Attributions of one leaf for each of the 2^m one-fraction patterns.
+
+    One fractions are 0 or 1, so a row's contribution from this leaf depends
+    only on which path features it follows; the table is computed once (on the
+    driver, bounded by 2^m·m per leaf) and rows just look their pattern up."""
+    m = len(leaf.features)
+    if m == 0 or m > MAX_TABLE_FEATURES:
+        return None
+    codes = np.arange(2 ** m)
+    patterns = ((codes[:, None] >> np.arange(m)[None, :]) & 1).astype(float)
+    return leaf_attribution(patterns, leaf.zero, leaf.value)
+
+
 def _follows(x: np.ndarray, conds: list) -> np.ndarray:
     ok = np.ones(x.shape[0], dtype=bool)
     for kind, arg, left in conds:
@@ -152,20 +185,32 @@ def leaf_attribution(one: np.ndarray, zero: np.ndarray, value: float) -> np.ndar
 def ensemble_attributions(x: np.ndarray, trees, weights) -> tuple[np.ndarray, float, np.ndarray]:
     """(φ (n, F), expected value, model output (n,)) for a batch of rows."""
     n, nf = x.shape
-    phi = np.zeros((n, nf))
+    phi_t = np.zeros((nf, n))          # feature-major: each update is a contiguous 1-D add
     expected = 0.0
     output = np.zeros(n)
+    cols = [np.ascontiguousarray(x[:, f]) for f in range(nf)]
     for leaves, wt in zip(trees, weights):
         for leaf in leaves:
             expected += wt * leaf.value * float(np.prod(leaf.zero)) if len(leaf.zero) else wt * leaf.value
             if len(leaf.features) == 0:
                 output += wt * leaf.value
                 continue
-            one = np.stack([_follows(x[:, f], c) for f, c in zip(leaf.features, leaf.conds)], axis=1).astype(float)
-            reach = one.prod(axis=1)
-            output += wt * leaf.value * reach
-            phi[:, leaf.features] += wt * leaf_attribution(one, leaf.zero, leaf.value)
-    return phi, expected, output
+            follows = [_follows(cols[f], c) for f, c in zip(leaf.features, leaf.conds)]
+            if leaf.table is not None:
+                code = np.zeros(n, dtype=np.int64)
+                for j, o in enumerate(follows):
+                    code |= o.astype(np.int64) << j
+                output[code == (1 << len(follows)) - 1] += wt * leaf.value
+                scaled = wt * leaf.table
+                for j, f in enumerate(leaf.features):
+                    phi_t[f] += scaled[:, j][code]
+            else:
+                one = np.stack(follows, axis=1).astype(float)
+                output += wt * leaf.value * one.prod(axis=1)
+                contrib = wt * leaf_attribution(one, leaf.zero, leaf.value)
+                for j, f in enumerate(leaf.features):
+                    phi_t[f] += contrib[:, j]
+    return phi_t.T, expected, output
 
 
 def tree_attributions(df: DataFrame, model, key: str | Sequence[str], features_col: str = "features",
