@@ -93,7 +93,8 @@ def q_impute_mode(spark, sf):
 
 
 @register("one_hot", "PREP-4", """
-SELECT doc_id, """ + ", ".join(f"CASE WHEN lang = '{k}' THEN 1.0 ELSE 0.0 END AS lang_{k}" for k in ("de", "en", "es", "fr"))
+SELECT doc_id, """ + ", ".join(f"CAST(CASE WHEN lang = '{k}' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS lang_{k}"
+                                for k in ("de", "en", "es", "fr"))
           + " FROM documents")
 def q_one_hot(spark, sf):
     d = _docs_split(spark, sf)
