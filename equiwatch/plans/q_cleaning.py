@@ -98,15 +98,19 @@ def q_bin_column(spark, sf):
 
 # A readiness score over the readiness view (weights of the generator's clearance
 # formula, applied to the view's 0–10 style signals).
-_SCORE_TERMS = (
-    ("inv", F.col("acl_risk_score") / 10, 0.22, 10),
-    ("inv", "fatigue_score", 0.18, 10),
-    ("ratio", "recovery_days", 0.14, 30),
-    ("raw", "load_balance_score", 0.12),
-    ("inv", F.col("injury_indicator") * 10, 0.10, 10),
-    ("in", "priority", -0.15, ("1-URGENT", "2-HIGH")),
-    ("eq", "status", -0.08, "F"),
-)
+def _score_terms():
+    """Built on call: Columns need an active session, the registry must import without one."""
+    return (
+        ("inv", F.col("acl_risk_score") / 10, 0.22, 10),
+        ("inv", "fatigue_score", 0.18, 10),
+        ("ratio", "recovery_days", 0.14, 30),
+        ("raw", "load_balance_score", 0.12),
+        ("inv", F.col("injury_indicator") * 10, 0.10, 10),
+        ("in", "priority", -0.15, ("1-URGENT", "2-HIGH")),
+        ("eq", "status", -0.08, "F"),
+    )
+
+
 _SCORE_THRESHOLD = 4.0
 _SCORE_SQL = ("(((((((0.0 + (10.0 - CAST(acl_risk_score / 10 AS DOUBLE)) * CAST(0.22 AS DOUBLE))"
               " + (10.0 - CAST(fatigue_score AS DOUBLE)) * CAST(0.18 AS DOUBLE))"
@@ -126,7 +130,7 @@ FROM r
 """)
 def q_linear_score_label(spark, sf):
     r = readiness(spark, sf)
-    score = C.linear_score(_SCORE_TERMS)
+    score = C.linear_score(_score_terms())
     return finish(r.select("l_orderkey", "l_linenumber", score.alias("score"),
                            C.threshold_label(score, _SCORE_THRESHOLD).alias("label")))
 

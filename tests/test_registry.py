@@ -85,3 +85,14 @@ def test_stream_row_batches_inside_micro_batches(spark):
     out = spark.read.parquet(sink)
     n = rows.count()
     assert out.select("batch").distinct().count() == -(-n // 500)
+
+
+def test_registry_imports_without_a_session():
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "print(len(E.queries()), len(E.oracle_sql()))" % E.__file__.rsplit("/", 1)[0])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    n_q, n_sql = map(int, out.stdout.split())
+    assert n_q >= 80 and n_sql >= 70
