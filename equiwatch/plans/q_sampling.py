@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import hash_draw
 from ..operators import fairness as fz
 from ..operators import labels as L
 from ..operators import names as N
@@ -196,5 +195,3 @@ def q_global_quantiles(spark, sf):
              "median_team": (F.col("team_contribution"), 0.5)}
     return finish(L.percentiles(r, specs, method="distributed"))
 
-
-_ = hash_draw  # re-exported for notebooks

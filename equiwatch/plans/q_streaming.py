@@ -7,8 +7,6 @@ and returns what the sink holds.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import fairness as fz
@@ -98,5 +96,3 @@ WHERE window_start + 86400 <= (SELECT epoch(max(ts)) FROM events) - 86400
 def q_fairness_window_stream(spark, sf):
     return finish(SM.report_from_window_counts(window_stream_counts(spark, sf)))
 
-
-_ = os

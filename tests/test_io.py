@@ -1,7 +1,5 @@
 """CSV source (encoding retry, NA spellings, extension check), history sinks, windows."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,8 +74,6 @@ def test_stream_windows_equal_batch_closed_windows(spark):
     assert a == b
 
 
-_ = os
-
 
 def test_na_text_does_not_block_numeric_types(spark, tmp_path):
     p = tmp_path / "n.csv"
