@@ -42,7 +42,11 @@ def roc_auc(df: DataFrame, label: str, score: str, key: str | None = None) -> Da
     base = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"),
                      *([F.col(key).alias("_key")] if key else []))
     base = base.where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
-    ranked = global_rank(base, ["_s", *(["_key"] if key else [])], out="_r")
+    if not key:
+        # Tie order does not matter (ties get their average rank), but a tiebreaker
+        # lets the range partitioner split a hot score across partitions.
+        base = base.withColumn("_key", F.monotonically_increasing_id())
+    ranked = global_rank(base, ["_s", "_key"], out="_r")
     ties = (ranked.groupBy("_s")
             .agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"),
                  F.count_if(F.col("_y") == 1).alias("_pos"), F.count(F.lit(1)).alias("_cnt")))

@@ -80,8 +80,11 @@ def quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]]) -> DataFram
         spec_rows.append((name, index[key], float(p)))
     long = (df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), e.alias("_v"))
                                           for k, e in enumerate(exprs)])).alias("_kv"))
-            .select("_kv._k", "_kv._v").where(F.col("_v").isNotNull()))
-    ranked = global_rank(long, ["_v"], out="_r", groups=["_k"])
+            .select("_kv._k", "_kv._v").where(F.col("_v").isNotNull())
+            # tiebreaker: a value held by a third of the rows still spreads over
+            # several range partitions (order among equal values is irrelevant)
+            .withColumn("_tb", F.monotonically_increasing_id()))
+    ranked = global_rank(long, ["_v", "_tb"], out="_r", groups=["_k"])
     counts = ranked.groupBy("_k").agg(F.max("_r").alias("_n"))
     sp = spark.createDataFrame(spec_rows, "_name string, _k int, _p double")
     pos = (F.col("_n") - 1).cast("double") * F.col("_p")

@@ -185,3 +185,17 @@ def test_batch_sizes_sum_to_n(spark, n, size):
     assert sum(counts.values()) == n
     assert all(c == size for k, c in counts.items() if k < max(counts))
     assert max(counts) == -(-n // size)
+
+
+def test_hot_value_is_split_across_range_partitions(spark):
+    # A third of the rows share one score; ranks and AUC stay exact.
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id") / 3000.0).alias("s"),
+                                  (F.col("id") % 2).cast("int").alias("y"))
+    auc = M.roc_auc(df, "y", "s").first()["auc"]
+    rows = [(r["y"], r["s"]) for r in df.collect()]
+    pos = [s for y, s in rows if y == 1]
+    neg = [s for y, s in rows if y == 0]
+    want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert abs(auc - want) < 1e-12
+    q = L.percentiles(df, {"m": (F.col("s"), 0.5)}, "distributed").first()["m"]
+    assert q == L.percentiles(df, {"m": (F.col("s"), 0.5)}, "exact").first()["m"]
