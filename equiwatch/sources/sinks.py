@@ -28,14 +28,9 @@ def append_history(summary: DataFrame, path: str, run_id: str, epoch_col: str =
     replaces its rows instead of duplicating them.  Batches of one run must be
     written together, or keyed by ``epoch_col`` in a finer partition.
     """
-    spark = summary.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (summary.withColumn("run_id", F.lit(run_id))
-         .write.mode("overwrite").partitionBy("run_id", epoch_col).parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (summary.withColumn("run_id", F.lit(run_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", epoch_col).parquet(path))
 
 
 def read_history(spark, path: str) -> DataFrame:

@@ -35,14 +35,10 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 
 def _write_epoch(df: DataFrame, sink: str, run_id: str, epoch_id: int) -> None:
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("run_id", F.lit(run_id)).withColumn("epoch_id", F.lit(int(epoch_id)))
-         .write.mode("overwrite").partitionBy("run_id", "epoch_id").parquet(sink))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    """Replace exactly this (run, epoch) partition — a replayed epoch never duplicates."""
+    (df.withColumn("run_id", F.lit(run_id)).withColumn("epoch_id", F.lit(int(epoch_id)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "epoch_id").parquet(sink))
 
 
 def fairness_stream(stream: DataFrame, sink: str, checkpoint: str,
