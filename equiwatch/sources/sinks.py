@@ -21,12 +21,13 @@ def export_history_csv(summary: DataFrame, path: str) -> DataFrame:
 
 
 def append_history(summary: DataFrame, path: str, run_id: str, epoch_col: str = "batch") -> None:
-    """Append (run_id, batch) rows to a parquet table partitioned by ``run_id``.
+    """Append rows to a parquet table partitioned by ``(run_id, epoch_col)``.
 
-    The write overwrites exactly the ``run_id`` partitions present in this
-    frame (dynamic partition overwrite), so re-running an epoch after a failure
-    replaces its rows instead of duplicating them.  Batches of one run must be
-    written together, or keyed by ``epoch_col`` in a finer partition.
+    The write replaces exactly the ``(run_id, epoch)`` partitions present in
+    this frame (dynamic partition overwrite), so re-running an epoch after a
+    failure replaces its rows instead of duplicating them, and other epochs and
+    runs are untouched.  Pass a coarse ``epoch_col`` (a micro-batch id) when the
+    batch numbers are very many.
     """
     (summary.withColumn("run_id", F.lit(run_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
