@@ -263,6 +263,15 @@ def global_importance(attr: DataFrame, feature_names: Sequence[str], key: str |
             .orderBy(F.col("mean_abs_contribution").desc(), F.col("feature")))
 
 
+def model_feature_importance(spark, model, feature_names: Sequence[str]) -> DataFrame:
+    """MLlib's split-gain importances (the cheap alternative to attributions):
+    (feature, importance), largest first.  One value per encoded feature."""
+    imp = model.featureImportances.toArray().tolist()
+    rows = [(n, float(v)) for n, v in zip(feature_names, imp)]
+    return (spark.createDataFrame(rows, "feature string, importance double")
+            .orderBy(F.col("importance").desc(), F.col("feature")))
+
+
 def contribution_table(encoded: DataFrame, attr: DataFrame, feature_names: Sequence[str],
                        key: str, key_value, features_col: str = "features") -> DataFrame:
     """For one row: feature, encoded value, contribution — by |contribution| desc."""

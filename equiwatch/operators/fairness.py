@@ -2,9 +2,9 @@
 
 Shape of the computation (any number of targets, attributes and batches):
 
-1. ``long_form``: one ``unpivot`` (an ``Expand`` inside the scan stage) turns
-   each row into one row per (target, attribute) with the group value, the
-   actual and the predicted label.
+1. ``long_form``: ``inline`` over a fixed-size array (a ``Generate`` inside the
+   scan stage) turns each row into one row per (target, attribute) with the
+   group value, the actual and the predicted label.
 2. ``confusion_by_group``: one hash aggregate on
    ``(*keys, target, attribute, grp)``.  The partial aggregate runs before the
    shuffle, so each task ships at most ``keys × targets × attributes × groups``
@@ -71,27 +71,18 @@ def warn_high_cardinality(df: DataFrame, protected: Sequence[str], limit: int =
 
 def long_form(df: DataFrame, targets: Sequence[Target], protected: Sequence[str],
               keys: Sequence[str] = (), null_label: str = "Unknown") -> DataFrame:
-    """Rows → (*keys, target, attribute, grp, y, y_hat), one per target × attribute."""
+    """Rows → (*keys, target, attribute, grp, y, y_hat), one per target × attribute.
+
+    ``inline`` over a literal-sized array of structs (a ``Generate`` fused into
+    the scan stage's generated code); only the key, label and protected columns
+    are read, so pruning still reaches the scan."""
     check_protected(df, protected)
-    values = []
-    for t in targets:
-        for a in protected:
-            values.append(F.struct(
-                null_group_label(a, null_label).alias("grp"),
-                F.col(t.actual).cast("int").alias("y"),
-                F.col(t.predicted).cast("int").alias("y_hat"),
-            ).alias(f"{t.name}\u0001{a}"))
-    # Keep only the columns the unpivot needs: pruning reaches the scan.
-    base = df.select(*keys, *values)
-    long = base.unpivot(list(keys), [f"`{t.name}\u0001{a}`" for t in targets for a in protected],
-                        "_ta", "_v")
-    parts = F.split(F.col("_ta"), "\u0001")
-    return long.select(*keys,
-                       parts.getItem(0).alias("target"),
-                       parts.getItem(1).alias("attribute"),
-                       F.col("_v.grp").alias("grp"),
-                       F.col("_v.y").alias("y"),
-                       F.col("_v.y_hat").alias("y_hat"))
+    rows = F.array(*[F.struct(F.lit(t.name).alias("target"), F.lit(a).alias("attribute"),
+                              null_group_label(a, null_label).alias("grp"),
+                              F.col(t.actual).cast("int").alias("y"),
+                              F.col(t.predicted).cast("int").alias("y_hat"))
+                     for t in targets for a in protected])
+    return df.select(*keys, F.inline(rows))
 
 
 def confusion_by_group(df: DataFrame, targets: Sequence[Target] = DEFAULT_TARGETS,

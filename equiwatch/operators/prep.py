@@ -134,6 +134,10 @@ class PrepModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
 
+    def transform_vector_only(self, df: DataFrame) -> DataFrame:
+        """The input columns plus the feature vector (named feature columns dropped)."""
+        return self.transform(df).drop(*self.feature_names)
+
 
 def prep_statement(numeric, categorical, med, mom, mode, cats) -> tuple[str, list[str], list[str]]:
     exprs, cols, names = [], [], []
@@ -144,19 +148,19 @@ def prep_statement(numeric, categorical, med, mom, mode, cats) -> tuple[str, lis
         mean, std = mom.get(c, (0.0, 1.0))
         x = f"(({x} - {_lit(mean)}) / {_lit(std)})"
         x = f"(CASE WHEN isnan({x}) OR abs({x}) = double('inf') THEN 0.0 ELSE COALESCE({x}, 0.0) END)"
-        out = f"__f{len(cols)}"
-        exprs.append(f"{x} AS {out}")
+        out = f"num__{c}"
+        exprs.append(f"{x} AS {_q(out)}")
         cols.append(out)
-        names.append(f"num__{c}")
+        names.append(out)
     for c in categorical:
         v = f"CAST({_q(c)} AS STRING)"
         if mode.get(c) is not None:
             v = f"COALESCE({v}, {_lit(mode[c])})"
         for k in cats.get(c, []):
-            out = f"__f{len(cols)}"
-            exprs.append(f"(CASE WHEN {v} = {_lit(k)} THEN 1.0 ELSE 0.0 END) AS {out}")
+            out = f"cat__{c}_{k}"
+            exprs.append(f"(CASE WHEN {v} = {_lit(k)} THEN 1.0 ELSE 0.0 END) AS {_q(out)}")
             cols.append(out)
-            names.append(f"cat__{c}_{k}")
+            names.append(out)
     return "SELECT *, " + ", ".join(exprs) + " FROM __THIS__", cols, names
 
 
@@ -176,8 +180,8 @@ def fit_prep(train: DataFrame, features: Sequence[str], output_col: str = "featu
                           else _c(c) for c in categorical]) if categorical else None
     cats = categories(filled, categorical) if categorical else {}
     stmt, cols, names = prep_statement(numeric, categorical, med, mom, mode, cats)
-    # Helper columns ``__f<i>`` stay next to the vector (any later frame with
-    # the training columns can be transformed; nothing is dropped by name).
+    # The named feature columns (``num__x``, ``cat__s_v``) stay next to the
+    # vector, and the assembler records the same names in the vector metadata.
     pipe = Pipeline(stages=[SQLTransformer(statement=stmt),
                             VectorAssembler(inputCols=cols, outputCol=output_col)]).fit(train)
     return PrepModel(numeric, categorical, med, mom, mode, cats, names, pipe)

@@ -147,7 +147,7 @@ def _scored(spark, sf, kind: str = "gbt", split: str | None = "test"):
     data, _, _, models = trained(spark, sf, kind)
     rows = data if split is None else data.where(F.col("split") == split)
     out = models["rts"].predict(rows, "rts_pred", "rts_prob")
-    out = models["rtp"].predict(out.drop("features", *[c for c in out.columns if c.startswith("__f")]),
+    out = models["rtp"].predict(out.drop("features", *models["rts"].prep.feature_names),
                                 "rtp_pred_raw", "rtp_prob")
     return out.withColumn("rtp_pred", ((F.col("rts_pred") == 1) & (F.col("rtp_pred_raw") == 1)).cast("int"))
 
@@ -215,7 +215,7 @@ def q_model_save_load(spark, sf):
     test = data.where("split = 'test'")
     # Both models score the same rows in one chained plan (no join needed).
     a = models["rtp"].predict(test, "pred_a", "prob_a")
-    a = a.drop("features", *[c for c in a.columns if c.startswith("__f")])
+    a = a.drop("features", *models["rtp"].prep.feature_names)
     j = back.predict(a, "pred_b", "prob_b")
     return finish(j.select(*KEYS, F.col("pred_b").alias("pred"), F.col("prob_b").alias("prob"),
                            ((F.col("pred_a") == F.col("pred_b")) & (F.col("prob_a") == F.col("prob_b"))).alias("same")))
@@ -235,6 +235,12 @@ def q_tree_attributions(spark, sf):
                               F.abs(total + F.col("expected_value") - F.col("model_output")).alias("additivity_error")))
 
 
+@register("feature_importance", "SHAP-2 (model)")
+def q_feature_importance(spark, sf):
+    _, _, prep, models = trained(spark, sf)
+    return finish(X.model_feature_importance(spark, models["rtp"].model, prep.feature_names))
+
+
 @register("global_importance", "SHAP-2")
 def q_global_importance(spark, sf):
     _, attr, names = _attributions(spark, sf)
@@ -248,15 +254,24 @@ def q_contribution_table(spark, sf):
     return finish(X.contribution_table(enc, attr, names, "row_id", first))
 
 
-@register("monitor_model", "FAIR-6 (model)")
-def q_monitor_model(spark, sf):
+def _monitor(spark, sf, kind: str):
     """The monitored replay with real models: 35% of all rows (seed 7), batches of
     100 in draw order, both predictions, gating, per-batch fairness by the
     protected columns (they stay in the features, as in the application)."""
-    s = _scored(spark, sf, split=None)
+    s = _scored(spark, sf, kind, split=None)
     rows = SM.sample_fraction(s.select(*KEYS, "rts", "rtp", "rts_pred", "rtp_pred", *ML_PROTECTED),
                               "row_id", 0.35, 7)
     b = SM.assign_batches(rows, ["draw", *KEYS], 100)
     targets = [fz.Target("RTS", "rts", "rts_pred"), fz.Target("RTP", "rtp", "rtp_pred")]
     rep = fz.fairness_report(b, targets, ML_PROTECTED, 0.10, ["batch"])
     return finish(fz.batch_summary(rep))
+
+
+@register("monitor_model", "FAIR-6 (boosting)")
+def q_monitor_model(spark, sf):
+    return _monitor(spark, sf, "gbt")
+
+
+@register("monitor_model_rf", "FAIR-6 (forest)")
+def q_monitor_model_rf(spark, sf):
+    return _monitor(spark, sf, "rf")

@@ -145,15 +145,8 @@ def windowed_confusion(df: DataFrame, ts: str, window: str, targets: Sequence[fz
     base = df.withColumn("_event_ts", t)
     if watermark:
         base = base.withWatermark("_event_ts", watermark)
-    fz.check_protected(df, protected)
-    # Long form by ``inline`` (a Generate) rather than ``unpivot`` (an Expand):
-    # the stateful streaming aggregate compiles with it.
-    rows = F.array(*[F.struct(F.lit(t_.name).alias("target"), F.lit(a).alias("attribute"),
-                              fz.null_group_label(a, null_label).alias("grp"),
-                              F.col(t_.actual).cast("int").alias("y"),
-                              F.col(t_.predicted).cast("int").alias("y_hat"))
-                     for t_ in targets for a in protected])
-    long = base.select(F.window("_event_ts", window).alias("_win"), F.inline(rows))
+    long = fz.long_form(base.withColumn("_win", F.window("_event_ts", window)), targets, protected,
+                        keys=["_win"], null_label=null_label)
     y, p = F.col("y"), F.col("y_hat")
     return (long.groupBy("_win", "target", "attribute", "grp")
             .agg(F.count(F.lit(1)).alias("n"),

@@ -104,3 +104,11 @@ def test_all_null_numeric_column_dropped(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, z double")
     pm = P.fit_prep(df, ["x", "z"])
     assert pm.feature_names == ["num__x"]
+
+
+def test_vector_metadata_has_feature_names(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
+    pm = P.fit_prep(df, ["x", "s"])
+    meta = pm.transform(df).schema["features"].metadata["ml_attr"]["attrs"]
+    names = [a["name"] for group in meta.values() for a in group]
+    assert sorted(names) == sorted(pm.feature_names) == ["cat__s_a", "cat__s_b", "num__x"]
