@@ -55,13 +55,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, normalize: bool = True,
-          parallel: bool = False) -> DataFrame:
+          parallel: bool = True) -> DataFrame:
     """One of the test tables under ``sf_dir`` (``<sf_dir>/<name>.parquet``).
 
-    ``parallel=True`` spreads a scan with fewer splits than cores (see
-    ``spread``); off by default — on the single-row-group test files the extra
-    exchange costs about what the parallelism gains, and large inputs never
-    need it.  Dimension tables are never spread."""
+    ``parallel`` spreads a scan with fewer splits than cores (see ``spread``):
+    measured at sf0.1 the headline set runs in 59 s with it and 87 s without
+    (per-row hashing and parsing were stuck in one task).  Large inputs have
+    more splits than cores and are never touched; tables used as broadcast
+    build sides pass ``parallel=False``; dimension tables are never spread."""
     df = read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"), normalize)
     if parallel and name not in SMALL_DIMENSIONS:
         df = spread(df)
