@@ -109,10 +109,11 @@ def fit_cleaning(df: DataFrame, columns: Sequence[str] | None = None) -> Cleanin
 
 def clean_lazy(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The same decision without leaving the plan: the one-row share aggregate is
-    cross-joined (a broadcast of exactly one row) and each column picks its rule
-    with ``CASE``; output type is double for every cleaned column."""
+    read as scalar subqueries and each column picks its rule with ``CASE``;
+    output type is double for every cleaned column."""
+    from .constants import with_constants
     stats = share_stats(df, columns)
-    j = df.crossJoin(F.broadcast(stats))
+    j = with_constants(df, stats)
     out = []
     keep = set(columns)
     for f in df.schema.fields:
@@ -138,7 +139,8 @@ def label_to_int(df: DataFrame, column: str, out: str | None = None) -> DataFram
     plain = F.trim(c.cast("string"))
     number = F.when(plain.rlike(NUMERIC_PATTERN), plain.try_cast("double"))
     val = F.when(F.col("_bshare") > F.lit(BOOLISH_SHARE), boolish_value(c).cast("double")).otherwise(number)
-    return (df.crossJoin(F.broadcast(stats))
+    from .constants import with_constants
+    return (with_constants(df, stats)
             .withColumn(out or column, F.coalesce(val, F.lit(0.0)).cast("int"))
             .drop("_bshare"))
 

@@ -28,7 +28,8 @@ def class_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataF
     per-class counts (one row per class: a bounded broadcast)."""
     counts = df.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_ncls"))
     tot = counts.agg(F.sum("_ncls").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(tot).select("_cls", (F.col("_n") / (F.col("_k") * F.col("_ncls"))).alias(out))
+    from .constants import with_constants
+    w = with_constants(counts, tot).select("_cls", (F.col("_n") / (F.col("_k") * F.col("_ncls"))).alias(out))
     return df.join(F.broadcast(w), df[label] == w["_cls"], "left").drop("_cls")
 
 

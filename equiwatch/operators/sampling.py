@@ -38,7 +38,8 @@ def sample_fraction(df: DataFrame, key: str | Column, fraction: float = 0.35, se
     ranked = global_rank(d, ["draw", *(key_order or [key])], out="_srank")
     n = ranked.agg(F.count(F.lit(1)).alias("_n"))
     keep = F.bround(F.col("_n").cast("double") * F.lit(float(fraction)), 0)
-    return (ranked.crossJoin(F.broadcast(n)).where(F.col("_srank") <= keep)
+    from .constants import with_constants
+    return (with_constants(ranked, n).where(F.col("_srank") <= keep)
             .drop("_n", "_srank"))
 
 
