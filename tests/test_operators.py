@@ -199,3 +199,16 @@ def test_hot_value_is_split_across_range_partitions(spark):
     assert abs(auc - want) < 1e-12
     q = L.percentiles(df, {"m": (F.col("s"), 0.5)}, "distributed").first()["m"]
     assert q == L.percentiles(df, {"m": (F.col("s"), 0.5)}, "exact").first()["m"]
+
+
+def test_constants_are_subqueries_not_joins(spark):
+    df = spark.range(2000).select((F.col("id") % 97).cast("double").alias("performance_score"))
+    out = L.rts_rule_percentile(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert "Subquery" in plan
+    vals = sorted(r[0] for r in df.collect())
+    pos = 0.55 * (len(vals) - 1)
+    lo, hi = int(pos), min(int(pos) + 1, len(vals) - 1)
+    p55 = vals[lo] + (vals[hi] - vals[lo]) * (pos - lo)
+    assert out.where("rts = 1").count() == sum(v >= p55 for v in vals)
