@@ -259,7 +259,7 @@ _RESULT_TYPE = ("n_words bigint, hits array<struct<begin:bigint,end:bigint>>, it
 
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW,
            keep: list[str] | None = None, item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` (default: all columns) of every document and ``_found``: its words, hit runs, items and matches.
+    """``keep`` (default: all columns) of every document and ``_ew_found``: its words, hit runs, items and matches.
 
     ``hits``: maximal runs of hit words; ``items``: ids of the items with an
     occurring window, as sorted strings; ``longest``: per item the longest
@@ -270,7 +270,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
               for b in benchmark_blocks(benchmark, item, text, window, block_bytes)]
     found = T.StructType.fromDDL(_RESULT_TYPE)
     schema = T.StructType([*(T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)),
-                           T.StructField("_found", found)])
+                           T.StructField("_ew_found", found)])
     arrow = pa.struct([("n_words", pa.int64()),
                        ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                        ("items", pa.list_(pa.string())),
@@ -313,12 +313,12 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
 
     out = docs.select(F.col(f"`{text}`").cast("string").alias("_text"),
                       *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "_found")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "_ew_found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a benchmark window, in the columns they came in."""
-    return search(docs, benchmark, **options).where(F.size("_found.hits") == 0).select(
+    return search(docs, benchmark, **options).where(F.size("_ew_found.hits") == 0).select(
         *[f"`{c}`" for c in docs.columns])
 
 
@@ -326,9 +326,9 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     """Which words of which document lie in a 10-word window of a benchmark item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
-    n_hit = F.aggregate("_found.hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["begin"])
+    n_hit = F.aggregate("_ew_found.hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["begin"])
     return found.select(
-        "doc_id", F.col("_found.n_words").alias("n_words"), n_hit.alias("n_hit"),
-        F.size("_found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_found.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-        F.col("_found.longest").alias("longest"))
+        "doc_id", F.col("_ew_found.n_words").alias("n_words"), n_hit.alias("n_hit"),
+        F.size("_ew_found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_ew_found.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.col("_ew_found.longest").alias("longest"))

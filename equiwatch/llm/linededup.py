@@ -31,16 +31,16 @@ def _stripped(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """One row per host that has boilerplate: ``_host`` and the digests of its lines."""
+    """One row per host that has boilerplate: ``_ew_host`` and the digests of its lines."""
     own = F.array_distinct(F.transform(_lines(F.col(text)), _stripped))
-    lines = (docs.select(F.col(host).alias("_host"), F.explode(own).alias("_line"))
-             .where(F.col("_line") != "")
-             .select("_host", F.md5("_line").alias("_digest")))
-    counts = lines.groupBy("_host", "_digest").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    pages = docs.groupBy(F.col(host).alias("_site")).agg(F.count(F.lit(1)).alias("_pages"))
-    return (counts.join(pages, F.col("_host").eqNullSafe(F.col("_site")))
-            .where(F.col("_n") > F.lit(ratio) * F.col("_pages"))
-            .groupBy("_host").agg(F.collect_list("_digest").alias("_common")))
+    lines = (docs.select(F.col(host).alias("_ew_host"), F.explode(own).alias("_ew_line"))
+             .where(F.col("_ew_line") != "")
+             .select("_ew_host", F.md5("_ew_line").alias("_ew_digest")))
+    counts = lines.groupBy("_ew_host", "_ew_digest").agg(F.count(F.lit(1)).alias("_ew_n")).where(F.col("_ew_n") >= min_pages)
+    pages = docs.groupBy(F.col(host).alias("_ew_site")).agg(F.count(F.lit(1)).alias("_ew_pages"))
+    return (counts.join(pages, F.col("_ew_host").eqNullSafe(F.col("_ew_site")))
+            .where(F.col("_ew_n") > F.lit(ratio) * F.col("_ew_pages"))
+            .groupBy("_ew_host").agg(F.collect_list("_ew_digest").alias("_ew_common")))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", *, ratio: float = 0.1,
@@ -48,10 +48,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """``docs`` with boilerplate lines taken out of ``text``; ``counts`` adds n_lines and n_dropped."""
     common = boilerplate(docs, host, text, ratio, min_pages)
     lines = _lines(F.col(text))
-    kept = F.when(F.col("_common").isNull(), lines).otherwise(F.filter(
-        lines, lambda x: (_stripped(x) == "") | ~F.array_contains(F.col("_common"), F.md5(_stripped(x)))))
-    joined = docs.join(common, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    out = [F.when(F.col("_common").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
+    kept = F.when(F.col("_ew_common").isNull(), lines).otherwise(F.filter(
+        lines, lambda x: (_stripped(x) == "") | ~F.array_contains(F.col("_ew_common"), F.md5(_stripped(x)))))
+    joined = docs.join(common, F.col(f"`{host}`").eqNullSafe(F.col("_ew_host")), "left")
+    out = [F.when(F.col("_ew_common").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
            if c == text else F.col(f"`{c}`") for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
         n = F.coalesce(F.size(lines), F.lit(0)).cast("long")

@@ -79,24 +79,24 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, size: str
         weights = ranked_weights(sources.select("_mix_source"), "_mix_source")
     else:
         weights = weights.select(F.col(source).alias("_mix_source"), F.col("weight").cast("double"))
-    w = weights.withColumnRenamed("_mix_source", "_w_source")
-    sources = sources.join(w, F.col("_mix_source").eqNullSafe(F.col("_w_source")), "left").select(
+    w = weights.withColumnRenamed("_mix_source", "_mix_w_source")
+    sources = sources.join(w, F.col("_mix_source").eqNullSafe(F.col("_mix_w_source")), "left").select(
         "_mix_source", "words", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     plan = (water_fill(materialize(sources), max_epochs)
             .withColumn("whole", F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0))
             .withColumn("rest", F.col("target") - F.col("whole") * F.col("words"))
-            .select(F.col("_mix_source").alias("_s"), F.col("words").alias("source_size"), "target", "whole", "rest"))
+            .select(F.col("_mix_source").alias("_mix_s"), F.col("words").alias("source_size"), "target", "whole", "rest"))
     before = F.coalesce(F.sum("words").over(
         Window.partitionBy("_mix_source").orderBy("_mix_draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("rest") - F.col("_before")) / F.col("words")))
     split = (buckets.withColumn("_before", before)
-             .join(plan, F.col("_mix_source").eqNullSafe(F.col("_s")))
-             .select(F.col("_s"), F.col("_mix_draw").alias("_d"), F.col("source_size").alias("_mix_total"),
+             .join(plan, F.col("_mix_source").eqNullSafe(F.col("_mix_s")))
+             .select(F.col("_mix_s"), F.col("_mix_draw").alias("_mix_d"), F.col("source_size").alias("_mix_total"),
                      F.col("target").alias("_mix_target"), F.col("whole").alias("_mix_whole"),
                      F.when(F.col("words") > 0, part).otherwise(0.0).alias("_mix_part")))
     n = F.col("_mix_size")
     taken = (F.col("_mix_whole") * n + F.floor(n * F.col("_mix_part"))).cast("long")
-    joined = rows.join(split, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_mix_draw") == F.col("_d")))
+    joined = rows.join(split, F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("_mix_draw") == F.col("_mix_d")))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
     return joined.select(*kept, n.alias("size"), F.col("_mix_total").cast("long").alias("source_size"),
                          F.col("_mix_target").alias("target"), taken.alias("taken"))

@@ -331,15 +331,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     t = F.col(f"`{text}`").cast("string")
     gone = materialize(classes.where("has_grams").groupBy("id", "t1", "t2").agg(
         F.max("is_first").alias("is_first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 OR NOT is_first")
-        .select(*[F.col(c).alias(f"_gone_{c}") for c in ("id", "t1", "t2")], "is_first"))
-    named = docs.select("*", *[c.alias(f"_{c_}") for c, c_ in zip(text_name(t), ("t1", "t2"), strict=True)])
-    same = (F.col(f"`{key}`").eqNullSafe(F.col("_gone_id")) & (F.col("_t1") == F.col("_gone_t1"))
-            & (F.col("_t2") == F.col("_gone_t2")))
+        .select(*[F.col(c).alias(f"_ew_gone_{c}") for c in ("id", "t1", "t2")], "is_first"))
+    named = docs.select("*", *[c.alias(f"_ew_{c_}") for c, c_ in zip(text_name(t), ("t1", "t2"), strict=True)])
+    same = (F.col(f"`{key}`").eqNullSafe(F.col("_ew_gone_id")) & (F.col("_ew_t1") == F.col("_ew_gone_t1"))
+            & (F.col("_ew_t2") == F.col("_ew_gone_t2")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    stay = named.join(bounded_broadcast(gone), same, "left_anti").select(*columns)
-    twice = gone.where("is_first")
+    stay = named.join(bounded_broadcast(gone.drop("is_first")), same, "left_anti").select(*columns)
+    twice = gone.where("is_first").drop("is_first")
     if twice.limit(1).count():  # repeated rows of a class's least id: one of them stays
-        again = named.join(twice, same).dropDuplicates(["_gone_id", "_gone_t1", "_gone_t2"]).select(*columns)
+        again = named.join(twice, same).dropDuplicates(["_ew_gone_id", "_ew_gone_t1", "_ew_gone_t2"]).select(*columns)
         stay = stay.unionByName(again)
     return stay
 

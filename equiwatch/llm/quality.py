@@ -91,11 +91,11 @@ def text_stats(column: pa.Array) -> np.ndarray:
 
 
 def with_stats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) and a struct ``_stats``; the text itself goes to Python once."""
+    """The columns ``keep`` (default: all) and a struct ``_ew_stats``; the text itself goes to Python once."""
     keep = list(docs.columns if keep is None else keep)
     stats = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
     schema = T.StructType([*(T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)),
-                           T.StructField("_stats", stats)])
+                           T.StructField("_ew_stats", stats)])
 
     def run(batches):
         for b in batches:
@@ -105,7 +105,7 @@ def with_stats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None =
 
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"),
                        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "_stats")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "_ew_stats")
 
 
 #: A rule: (statistic, "<=" or ">", threshold) joined by "and".
@@ -132,7 +132,7 @@ def rule_column(rule: Rule) -> Column:
     """1.0 where all conditions hold, else 0.0."""
     out = None
     for name, op, value in rule:
-        stat = F.col(f"_stats.{name}")
+        stat = F.col(f"_ew_stats.{name}")
         test = stat <= F.lit(value) if op == "<=" else stat > F.lit(value)
         out = test if out is None else out & test
     return out.cast("double")
@@ -144,7 +144,7 @@ class RuleModel:
     rules: tuple[tuple[float, Rule], ...]
 
     def score(self) -> Column:
-        """The compiled ensemble: a probability from ``_stats``."""
+        """The compiled ensemble: a probability from ``_ew_stats``."""
         z = F.lit(self.intercept)
         for weight, rule in self.rules:
             z = z + F.lit(weight) * rule_column(rule)
@@ -152,9 +152,9 @@ class RuleModel:
 
 
 def fit_rules(rows: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 2e-3, seed: int = 11) -> RuleModel:
-    """Fit on ``label`` (0/1) and ``_stats`` of a bounded sample."""
-    features = array_to_vector(F.array(*[F.col(f"_stats.{s}") for s in STATS]))
-    train = materialize(rows.select(F.col("label").cast("double").alias("label"), "_stats",
+    """Fit on ``label`` (0/1) and ``_ew_stats`` of a bounded sample."""
+    features = array_to_vector(F.array(*[F.col(f"_ew_stats.{s}") for s in STATS]))
+    train = materialize(rows.select(F.col("label").cast("double").alias("label"), "_ew_stats",
                                     features.alias("features")).coalesce(4))
     n, share = train.agg(F.count(F.lit(1)), F.avg("label")).first()
     if not n or share in (0.0, 1.0):
@@ -173,7 +173,7 @@ def fit_rules(rows: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 2
 
 
 def labelled_stats(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """``_stats`` and ``label`` of the bounded sample of labelled documents."""
+    """``_ew_stats`` and ``label`` of the bounded sample of labelled documents."""
     ids = training_ids(labels, label, {0: MAX_LABELLED, 1: MAX_LABELLED})
     sample = docs.join(F.broadcast(ids), "doc_id").select("label", "text")  # at most 2 x MAX_LABELLED ids
     return with_stats(sample, keep=["label"])

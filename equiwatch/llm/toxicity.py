@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from .arrowtext import LOWER, flat
 from .labelled import held_out, logistic, training_ids
 
-#: Labelled texts for the dictionaries, and those for calibration, by class; bytes read at most.
-SAMPLE = {1: 1600, 0: 5000}
+#: Labelled texts of each class, and bytes of them, at most; the share of them that makes the dictionaries.
+SAMPLE = {1: 1500, 0: 9000}
 DICTIONARY_SHARE = 0.6
+#: Texts that a string must be in to be typical of a class.
+LEAST_TEXTS = 8
 SAMPLE_BYTES = 48 << 20
-WINDOW = 96
+WINDOW = 80
 GRAM = 6
 BASE_BYTES = 32 << 10
 OWN_BYTES = 16 << 10
@@ -76,7 +78,7 @@ def _typical(own, n_own: int, other, n_other: int, least: float, ratio: float) -
     values, counts = own
     at = np.minimum(np.searchsorted(other[0], values), len(other[0]) - 1)
     there = np.where(other[0][at] == values, other[1][at], 0)
-    return values[(counts >= max(2, least * n_own)) & (counts / n_own > ratio * (there + 0.5) / n_other)]
+    return values[(counts >= max(LEAST_TEXTS, least * n_own)) & (counts / n_own > ratio * (there + 0.5) / n_other)]
 
 
 def _own_strings(texts: list[bytes], typical: np.ndarray, limit: int) -> bytes:
@@ -84,14 +86,9 @@ def _own_strings(texts: list[bytes], typical: np.ndarray, limit: int) -> bytes:
     runs: Counter[bytes] = Counter()
     for t in texts:
         hit = np.flatnonzero(np.isin(grams(t), typical))
-        if not len(hit):
-            continue
-        cover = np.zeros(len(t) + 1, np.int32)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + GRAM, -1)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(cover)[:-1] > 0).view(np.int8), [0]))))
-        for s, e in zip(edge[::2], edge[1::2], strict=True):
-            runs[t[s:e]] += 1
+        for part in np.split(hit, np.flatnonzero(np.diff(hit) > GRAM) + 1):
+            if len(part):
+                runs[t[part[0]:part[-1] + GRAM]] += 1
     wanted, out, size = set(typical.tolist()), [], 0
     for run, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
         new = set(grams(run).tolist()) & wanted
@@ -141,13 +138,8 @@ def window_features(texts: list[bytes], toxic: zs.ZstdCompressor, ordinary: zs.Z
     return out
 
 
-def fit_toxicity(texts: list[bytes], labels: list[int], seed: int = 5) -> ToxicityModel:
-    """Dictionaries from the first ``DICTIONARY_SHARE`` of each class's texts, thresholds' weights from the rest."""
-    by_class = {v: [t for t, y in zip(texts, labels, strict=True) if y == v] for v in (0, 1)}
-    cut = {v: max(1, int(len(x) * DICTIONARY_SHARE)) for v, x in by_class.items()}
-    if min(map(len, by_class.values())) < 2:
-        return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), float(np.mean(labels)) if labels else 0.0)
-    own = {v: x[:cut[v]] for v, x in by_class.items()}
+def _dictionaries(own: dict[int, list[bytes]], seed: int) -> ToxicityModel:
+    """Both classes' dictionaries, not calibrated yet."""
     counts = {v: _document_counts([t for t in x if len(t) >= GRAM] or [b" " * GRAM]) for v, x in own.items()}
     strings = {
         1: _own_strings(own[1], _typical(counts[1], len(own[1]), counts[0], len(own[0]), 0.01, 20), OWN_BYTES),
@@ -158,10 +150,19 @@ def fit_toxicity(texts: list[bytes], labels: list[int], seed: int = 5) -> Toxici
         base = zs.train_dictionary(BASE_BYTES, pieces[:20000]).as_bytes()[1024:]
     except zs.ZstdError:  # too little text to train on
         base = b"".join(pieces)[:BASE_BYTES]
-    model = ToxicityModel(strings[1] + base, strings[0] + base, np.zeros(0), np.zeros(0), np.ones(0))
-    rest = [(t, v) for v in (0, 1) for t in by_class[v][cut[v]:]]
-    x = window_features([t for t, _ in rest], *model.compressors())
-    model.weights, model.mean, model.scale = logistic(x, np.array([v for _, v in rest], float))
+    return ToxicityModel(strings[1] + base, strings[0] + base, np.zeros(0), np.zeros(0), np.ones(0))
+
+
+def fit_toxicity(texts: list[bytes], labels: list[int], seed: int = 5) -> ToxicityModel:
+    """Dictionaries from most of each class's texts, the weights of the thresholds from the others."""
+    by_class = {v: [t for t, y in zip(texts, labels, strict=True) if y == v] for v in (0, 1)}
+    cut = {v: int(len(x) * DICTIONARY_SHARE) for v, x in by_class.items()}
+    if min(cut.values()) < 1:
+        return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), float(np.mean(labels)) if labels else 0.0)
+    model = _dictionaries({v: x[:cut[v]] for v, x in by_class.items()}, seed)
+    rest = {v: x[cut[v]:] for v, x in by_class.items()}
+    x = window_features(rest[0] + rest[1], *model.compressors())
+    model.weights, model.mean, model.scale = logistic(x, np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])]))
     return model
 
 
