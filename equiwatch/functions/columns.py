@@ -29,6 +29,15 @@ NA_STRINGS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/
 NUMERIC_PATTERN = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 
+#: Every character that counts as white space (tabs, newlines, no-break spaces, ...).
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def strip(c: Column) -> Column:
+    """Text without white space at either end."""
+    return F.trim(c, F.lit(WHITE_SPACE))
+
+
 def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -86,20 +95,20 @@ def hash_draw(key: str | Column, seed: int) -> Column:
 
 def boolish_value(c: str | Column) -> Column:
     """trim+lower text → 1 / 0 / NULL."""
-    low = F.lower(F.trim(col_of(c).cast("string")))
+    low = F.lower(strip(col_of(c).cast("string")))
     return (F.when(low.isin(*TRUTHY), F.lit(1))
              .when(low.isin(*FALSY), F.lit(0)))
 
 
 def is_boolish(c: str | Column) -> Column:
-    low = F.lower(F.trim(col_of(c).cast("string")))
+    low = F.lower(strip(col_of(c).cast("string")))
     return F.coalesce(low.isin(*(TRUTHY + FALSY)), F.lit(False))
 
 
 def numeric_text(c: str | Column) -> Column:
     """Text with ``$``, ``,``, ``%`` and outer blanks removed."""
     # ``translate`` with an empty replacement deletes the characters (no regex).
-    return F.trim(F.translate(col_of(c).cast("string"), "$,%", ""))
+    return strip(F.translate(col_of(c).cast("string"), "$,%", ""))
 
 
 def parse_number(c: str | Column) -> Column:

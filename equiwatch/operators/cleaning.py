@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (NUMERIC_PATTERN, boolish_value, is_boolish, parse_number,
-                                 sanitize_nonfinite)
+                                 sanitize_nonfinite, strip)
 
 BOOLISH_SHARE = 0.6     # strictly more than this share → boolish
 NUMERIC_SHARE = 0.7     # at least this share → numeric
@@ -64,12 +64,12 @@ class CleaningRules:
         for f in df.schema.fields:
             c = F.col(f"`{f.name}`")
             rule = self.rules.get(f.name, "keep")
-            if rule == "boolish":
-                cols.append(boolish_value(c).alias(f.name))
+            if rule == "boolish":  # rows that are clean already pass through
+                cols.append((boolish_value(c) if isinstance(f.dataType, T.StringType) else c.cast("int")).alias(f.name))
             elif rule == "numeric":
-                cols.append(parse_number(c).alias(f.name))
+                cols.append((parse_number(c) if isinstance(f.dataType, T.StringType) else c.cast("double")).alias(f.name))
             elif rule == "epoch":
-                cols.append(epoch_seconds_of(c, f.dataType).alias(f.name))
+                cols.append((c if isinstance(f.dataType, T.DoubleType) else epoch_seconds_of(c, f.dataType)).alias(f.name))
             else:
                 cols.append(c)
         return df.select(*cols)
@@ -88,11 +88,11 @@ def share_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fit_cleaning(df: DataFrame, columns: Sequence[str] | None = None) -> CleaningRules:
     """Decide the rule per column with one aggregate (a one-row collect)."""
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if columns is not None:
-        text_cols = [c for c in text_cols if c in set(columns)]
+    wanted = set(df.columns if columns is None else columns)
+    text_cols = [c for c in text_cols if c in wanted]
     rules: dict[str, str] = {}
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        if f.name in wanted and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             rules[f.name] = "epoch"
     if text_cols:
         row = share_stats(df, text_cols).first()
@@ -136,7 +136,7 @@ def label_to_int(df: DataFrame, column: str, out: str | None = None) -> DataFram
     plain number (not symbol-stripped); missing → 0; fractions truncated."""
     c = F.col(f"`{column}`")
     stats = df.agg(F.avg(is_boolish(c).cast("double")).alias("_bshare"))
-    plain = F.trim(c.cast("string"))
+    plain = strip(c.cast("string"))
     number = F.when(plain.rlike(NUMERIC_PATTERN), plain.try_cast("double"))
     val = F.when(F.col("_bshare") > F.lit(BOOLISH_SHARE), boolish_value(c).cast("double")).otherwise(number)
     from .constants import with_constants
@@ -145,25 +145,42 @@ def label_to_int(df: DataFrame, column: str, out: str | None = None) -> DataFram
             .drop("_bshare"))
 
 
-def _accepted_target_value(v) -> bool:
-    if isinstance(v, bool):
-        return True
-    if isinstance(v, (int, float)):
-        return v in (0, 1)
-    if isinstance(v, str):
-        return v in ("0", "1", "True", "False")
-    return False
+#: Texts accepted in a binary target column; fixed values.
+BINARY_TEXTS = ("0", "1", "True", "False")
 
 
-def binary_target_check(df: DataFrame, column: str) -> None:
-    """Raise unless the distinct non-null values are within the accepted binary set
-    (0/1 as numbers or text, booleans, "True"/"False").  Reads at most 9 distinct
-    values, so the check never pulls a large column to the driver."""
-    c = F.col(f"`{column}`")
-    vals = [r[0] for r in df.select(c).where(c.isNotNull()).distinct().limit(9).collect()]
-    bad = [v for v in vals if not _accepted_target_value(v)]
-    if bad:
-        raise ValueError(f"target {column!r} is not binary: {bad[:5]}")
+def target_accepted(df: DataFrame, column: str) -> Column:
+    """Whether a cell is missing (NaN included) or a binary value: 0/1, a boolean, or one of ``BINARY_TEXTS``."""
+    c, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if isinstance(kind, T.BooleanType):
+        return F.lit(True)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return c.isNull() | F.isnan(c) | c.isin(0.0, 1.0)
+    if isinstance(kind, T.NumericType):
+        return c.isNull() | c.isin(0, 1)
+    if isinstance(kind, T.StringType):
+        return c.isNull() | c.isin(*BINARY_TEXTS)
+    return c.isNull()
+
+
+def binary_target_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per target column: rows that aren't binary, the least such value, and whether the column is binary.
+
+    One aggregate over all columns; missing values are left out, as they are before training.
+    """
+    aggs = []
+    for i, name in enumerate(columns):
+        bad = ~target_accepted(df, name)
+        aggs += [F.count_if(bad).alias(f"n{i}"), F.min(F.when(bad, F.col(f"`{name}`").cast("string"))).alias(f"v{i}")]
+    rows = F.array(*[F.struct(F.lit(name).alias("target"), F.col(f"n{i}").alias("n_other"), F.col(f"v{i}").alias("example"),
+                              (F.col(f"n{i}") == 0).alias("is_binary")) for i, name in enumerate(columns)])
+    return df.agg(*aggs).select(F.inline(rows))
+
+
+def binary_target_check(df: DataFrame, *columns: str) -> None:
+    """Raise unless the non-missing values of the targets are binary (see ``target_accepted``)."""
+    for r in binary_target_report(df, columns).where(~F.col("is_binary")).collect():
+        raise ValueError(f"target {r['target']!r} is not binary: {r['example']!r} and others in {r['n_other']} rows")
 
 
 def sanitize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

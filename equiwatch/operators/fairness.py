@@ -205,11 +205,11 @@ def severity_bands(df: DataFrame, threshold: float = 0.10, value_col: str = "sev
 
 
 def attr_summary(report: DataFrame, threshold: float = 0.10, keys: Sequence[str] = ("batch",)) -> DataFrame:
-    """Row per attribute: dp, eo, severity rounded to 3 decimals, status."""
+    """Row per attribute: dp, eo, severity rounded to 3 decimals (ties to even), status."""
     sev = F.greatest("dp_diff", "eo_diff")
     return report.select(
         *keys, "protected_attr",
-        F.round("dp_diff", 3).alias("dp"),
-        F.round("eo_diff", 3).alias("eo"),
-        F.round(sev, 3).alias("severity"),
+        F.bround("dp_diff", 3).alias("dp"),
+        F.bround("eo_diff", 3).alias("eo"),
+        F.bround(sev, 3).alias("severity"),
         F.when(sev <= F.lit(float(threshold)), F.lit("OK")).otherwise(F.lit("ALERT")).alias("status"))

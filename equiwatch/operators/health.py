@@ -1,9 +1,8 @@
 """Data health: missingness, duplicates, class balance, per-column nulls, types.
 
-``dataset_health`` is one scan and one shuffle: rows are grouped on *all*
-columns (the exact duplicate test; map-side partial aggregation collapses
-repeated rows before the shuffle), and every other figure is read off the
-grouped rows weighted by their multiplicity, so the table is scanned once.
+``dataset_health`` is one scan and one shuffle of row digests: rows are the same
+if their 128-bit digests are, and missing and target figures are summed per
+digest before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -36,6 +35,18 @@ def target_cast(c: Column) -> Column:
     return c.try_cast("long")
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row (128 bits); NULLs are told apart by their place."""
+    cells = []
+    for f in _groupable(df).schema.fields:
+        c = F.col(f"`{f.name}`")
+        c = F.to_json(c) if isinstance(df.schema[f.name].dataType, T.MapType) else c
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(F.isnan(c), F.lit("NaN")).otherwise((c + F.lit(0.0)).cast("string"))
+        cells += [c.isNull(), c]
+    return [F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit(1), *cells).alias("_h2")]
+
+
 def dataset_health(df: DataFrame, target: str | None = None) -> DataFrame:
     """One row: rows, cols, missing_pct, dup_pct, target_pos_rate.
 
@@ -44,20 +55,21 @@ def dataset_health(df: DataFrame, target: str | None = None) -> DataFrame:
     * target_pos_rate — mean of the integer target ×100; NULL when any value
       (a missing one included) does not convert, or when no target is given.
     Empty input gives rows 0, rates 0.0 and a NULL target rate (``cols`` kept).
+
+    One scan; what is shuffled per distinct row is its 128-bit digest and four
+    numbers, never the row.
     """
     fields = df.schema.fields
     ncols = len(fields)
-    g = _groupable(df).groupBy(*[F.col(f"`{f.name}`") for f in fields]).agg(F.count(F.lit(1)).alias("_cnt"))
-    cnt = F.col("_cnt")
-    aggs = [F.sum(cnt).alias("_n"), F.count(F.lit(1)).alias("_groups")]
-    miss = [F.sum(F.when(_is_missing(f), cnt).otherwise(F.lit(0))) for f in fields]
-    aggs.append(sum(miss[1:], miss[0]).alias("_missing") if miss else F.lit(0).alias("_missing"))
+    miss = [_is_missing(f).cast("long") for f in fields]
     has_target = target is not None and target in df.columns
-    if has_target:
-        tv = target_cast(F.col(f"`{target}`"))
-        aggs.append(F.sum(F.when(tv.isNull(), cnt).otherwise(F.lit(0))).alias("_bad"))
-        aggs.append(F.sum(tv * cnt).alias("_tsum"))
-    a = g.agg(*aggs)
+    tv = target_cast(F.col(f"`{target}`")) if has_target else F.lit(0).cast("long")
+    g = df.select(*row_digest(df), (sum(miss[1:], miss[0]) if miss else F.lit(0).cast("long")).alias("_miss"),
+                  tv.alias("_t")).groupBy("_h1", "_h2").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.sum("_miss").alias("_miss"),
+        F.count_if(F.col("_t").isNull()).alias("_bad"), F.sum("_t").alias("_tsum"))
+    a = g.agg(F.sum("_cnt").alias("_n"), F.count(F.lit(1)).alias("_groups"), F.sum("_miss").alias("_missing"),
+              F.sum("_bad").alias("_bad"), F.sum("_tsum").alias("_tsum"))
     n = F.coalesce(F.col("_n"), F.lit(0))
     nonempty = n > 0
     cells = n.cast("double") * F.lit(float(max(ncols, 1)))
@@ -87,7 +99,7 @@ def missing_pct(df: DataFrame) -> DataFrame:
 
 def dup_pct(df: DataFrame) -> DataFrame:
     """One row: duplicated rows (beyond the first) as a percentage of all rows."""
-    g = _groupable(df).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_cnt"))
+    g = df.select(*row_digest(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_cnt"))
     n = F.sum("_cnt")
     return g.agg(F.coalesce(F.when(n > 0, (n - F.count(F.lit(1))).cast("double") / n * F.lit(100.0)),
                             F.lit(0.0)).alias("dup_pct"))

@@ -2,8 +2,7 @@
 
 Defaults follow the monitored application: gradient boosting with 250 trees,
 step 0.05, depth 3, seed 42; random forest with 300 trees, leaves of at least
-2 rows, balanced class weights, seed 42 (Spark caps depth at 30; default 12
-here).  Training uses MLlib (distributed histogram split search).
+2 rows, balanced class weights, seed 42, depth up to 30 (Spark's limit).  Training uses MLlib (distributed histogram split search).
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
@@ -20,17 +19,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cleaning import CleaningRules, binary_target_check, fit_cleaning
 from .prep import PrepModel, fit_prep
 
 
 def class_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
     """Balanced weights n / (classes · n_class), attached by a join with the
-    per-class counts (one row per class: a bounded broadcast)."""
+    per-class counts (one row per class; Spark picks the join)."""
     counts = df.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_ncls"))
     tot = counts.agg(F.sum("_ncls").alias("_n"), F.count(F.lit(1)).alias("_k"))
     from .constants import with_constants
     w = with_constants(counts, tot).select("_cls", (F.col("_n") / (F.col("_k") * F.col("_ncls"))).alias(out))
-    return df.join(F.broadcast(w), df[label] == w["_cls"], "left").drop("_cls")
+    return df.join(w, df[label] == w["_cls"], "left").drop("_cls")
 
 
 def train_gbt(train: DataFrame, label: str, features_col: str = "features", max_iter: int = 250,
@@ -47,7 +47,7 @@ def train_gbt(train: DataFrame, label: str, features_col: str = "features", max_
 
 
 def train_rf(train: DataFrame, label: str, features_col: str = "features", num_trees: int = 300,
-             max_depth: int = 12, min_instances_per_node: int = 2, seed: int = 42,
+             max_depth: int = 30, min_instances_per_node: int = 2, seed: int = 42,
              balanced: bool = True) -> RandomForestClassificationModel:
     data = class_weights(train, label) if balanced else train
     rf = RandomForestClassifier(labelCol=label, featuresCol=features_col, numTrees=num_trees,
@@ -66,25 +66,33 @@ class TargetModel:
     prep: PrepModel
     model: GBTClassificationModel | RandomForestClassificationModel
     features: list[str]
+    cleaning: CleaningRules = field(default_factory=CleaningRules)
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Raw rows with the training rows' cleaning rules, and their feature vector."""
+        return self.prep.transform(self.cleaning.transform(df))
 
     def predict(self, df: DataFrame, pred_col: str = "pred", prob_col: str = "prob") -> DataFrame:
         """Hard class and P(class = 1)."""
-        enc = self.prep.transform(df)
-        out = self.model.transform(enc)
+        out = self.model.transform(self.encode(df))
         return (out.withColumn(pred_col, F.col("prediction").cast("int"))
                    .withColumn(prob_col, vector_to_array(F.col("probability")).getItem(1))
                    .drop("rawPrediction", "probability", "prediction"))
 
 
 def fit_target(train: DataFrame, target: str, label: str, features: Sequence[str], kind: str = "gbt",
-               prep: PrepModel | None = None, **params) -> TargetModel:
+               prep: PrepModel | None = None, cleaning: CleaningRules | None = None, **params) -> TargetModel:
+    """Check the target, fit cleaning rules, preparation and classifier on raw training rows."""
+    binary_target_check(train, label)
+    rules = cleaning or fit_cleaning(train, features)
+    train = rules.transform(train)
     p = prep or fit_prep(train, features)
     enc = p.transform(train.withColumn(label, F.col(label).cast("double"))).cache()
     try:
         model = train_gbt(enc, label, **params) if kind == "gbt" else train_rf(enc, label, **params)
     finally:
         enc.unpersist()
-    return TargetModel(target, label, p, model, list(features))
+    return TargetModel(target, label, p, model, list(features), rules)
 
 
 def predict_gated(df: DataFrame, rts_pred: str = "rts_pred", rtp_pred: str = "rtp_pred") -> DataFrame:
@@ -98,7 +106,8 @@ def save_target_model(tm: TargetModel, path: str) -> None:
     tm.model.write().overwrite().save(os.path.join(path, "model"))
     meta = {"target": tm.target, "label": tm.label, "features": tm.features,
             "feature_names": tm.prep.feature_names, "numeric": tm.prep.numeric,
-            "categorical": tm.prep.categorical,
+            "categorical": tm.prep.categorical, "medians": tm.prep.medians, "moments": tm.prep.moments,
+            "modes": tm.prep.modes, "categories": tm.prep.categories, "cleaning": tm.cleaning.rules,
             "kind": "gbt" if isinstance(tm.model, GBTClassificationModel) else "rf"}
     from pyspark.sql import SparkSession
     SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
@@ -110,5 +119,7 @@ def load_target_model(spark, path: str) -> TargetModel:
     pipe = PipelineModel.load(os.path.join(path, "prep"))
     cls = GBTClassificationModel if meta["kind"] == "gbt" else RandomForestClassificationModel
     model = cls.load(os.path.join(path, "model"))
-    prep = PrepModel(meta["numeric"], meta["categorical"], {}, {}, {}, {}, meta["feature_names"], pipe)
-    return TargetModel(meta["target"], meta["label"], prep, model, meta["features"])
+    moments = {c: tuple(v) for c, v in meta["moments"].items()}
+    prep = PrepModel(meta["numeric"], meta["categorical"], meta["medians"], moments, meta["modes"],
+                     meta["categories"], meta["feature_names"], pipe)
+    return TargetModel(meta["target"], meta["label"], prep, model, meta["features"], CleaningRules(meta["cleaning"]))

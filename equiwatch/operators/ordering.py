@@ -19,7 +19,6 @@ The total work is one range shuffle, one write, and narrow scans.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +27,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+MAX_BROADCAST_RUNS = 1_000_000
+
+
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -57,7 +59,16 @@ def global_rank(df: DataFrame, order_by: Sequence[str | Column], out: str = "row
     w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select("_pid", *groups, "_first",
                            F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"))
-    joined = tagged.join(F.broadcast(offsets), ["_pid", *groups])
+    # One row per partition, and per (partition, group) run if there are groups:
+    # broadcast while that is small, else a plain join.
+    offsets = offsets.select(F.col("_pid").alias("_opid"), *[F.col(f"`{g}`").alias(f"_o_{g}") for g in groups],
+                             "_first", "_before")
+    if not groups or stats.limit(MAX_BROADCAST_RUNS + 1).count() <= MAX_BROADCAST_RUNS:
+        offsets = F.broadcast(offsets)
+    same = F.col("_pid") == F.col("_opid")
+    for g in groups:  # a NULL group is a group like any other
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"`_o_{g}`"))
+    joined = tagged.join(offsets, same).drop("_opid", *[f"_o_{g}" for g in groups])
     return (joined.withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long"))
             .drop("_pid", "_mid", "_first", "_before"))
 
@@ -108,13 +119,3 @@ def quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]]) -> DataFram
     # Columns without a single non-null value give NULL, as ``percentile`` does.
     return one
 
-
-def ema_lookback_blocks(alpha: float, block: int, eps: float = 1e-18) -> int:
-    """How many earlier blocks still weigh more than ``eps`` (relative)."""
-    a = 1.0 - alpha
-    if a <= 0.0:
-        return 1
-    per_block = a ** block
-    if per_block <= 0.0:
-        return 1
-    return max(1, int(math.ceil(math.log(eps) / math.log(per_block))) + 1)

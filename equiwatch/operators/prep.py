@@ -2,14 +2,14 @@
 
 * numeric columns: median imputation, then standardisation with the
   *population* standard deviation (zero → 1);
-* text columns: most-frequent imputation (ties → smallest value), then one
-  0/1 column per training category in sorted order (unseen → all zeros);
+* text columns: most-frequent imputation (ties → smallest value), then a sparse
+  0/1 vector over the training categories in sorted order (unseen → all zeros);
 * NaN/±inf → 0 in the final matrix.
 
 Fitting is a handful of aggregates (medians; means/std of the imputed values;
 one grouped count for all text columns at once).  The fitted constants are
-written into a ``SQLTransformer`` statement followed by a ``VectorAssembler``,
-so the result is an ordinary, saveable ``PipelineModel``.
+written into a ``SQLTransformer`` statement, followed by Spark's own indexer,
+one-hot encoder and assembler, so the result is an ordinary, saveable ``PipelineModel``.
 """
 
 from __future__ import annotations
@@ -18,19 +18,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CATEGORIES = 1000   # a text column with more training categories is refused
-
 
 def _c(name: str):
     return F.col(f"`{name}`")
 
 
-def medians(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict[str, float | None]:
+def medians(df: DataFrame, cols: Sequence[str], method: str = "exact") -> dict[str, float | None]:
     """Exact medians (even counts average the middle pair), all columns at once;
     large-cardinality columns go through the distributed sort (see labels)."""
     if not cols:
@@ -92,9 +91,6 @@ def categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("value"))
                                          for c in cols])).alias("_cv")).select("_cv.*").where("value IS NOT NULL")
     distinct = long.distinct()
-    n = distinct.groupBy("column").count().where(F.col("count") > MAX_CATEGORIES).collect()
-    if n:
-        raise ValueError(f"too many categories for one-hot: {[r['column'] for r in n]}")
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in distinct.collect():
         out[r["column"]].append(r["value"])
@@ -135,12 +131,40 @@ class PrepModel:
         return self.pipeline.transform(df)
 
     def transform_vector_only(self, df: DataFrame) -> DataFrame:
-        """The input columns plus the feature vector (named feature columns dropped)."""
-        return self.transform(df).drop(*self.feature_names)
+        """The input columns plus the feature vector."""
+        return self.transform(df).drop(*self.made_columns())
+
+    def made_columns(self) -> list[str]:
+        """Columns that ``transform`` adds beside the vector."""
+        texts = [f"txt__{c}" for c in self.categorical]
+        return [f"num__{c}" for c in self.numeric] + [t + end for t in texts for end in ("", "__index", "__hot")]
+
+
+def one_hot_model(train: DataFrame, cols: Sequence[str]) -> PipelineModel:
+    """Sparse 0/1 vectors ``<col>__hot`` over the sorted training values (unseen and missing → all zeros).
+
+    Any number of values: a row holds one slot, and no column is made per value.
+    """
+    index = StringIndexer(inputCols=list(cols), outputCols=[f"{c}__index" for c in cols],
+                          stringOrderType="alphabetAsc", handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"{c}__index" for c in cols], outputCols=[f"{c}__hot" for c in cols],
+                        dropLast=True)  # the last slot is the indexer's one for unseen values
+    return Pipeline(stages=[index, hot]).fit(train)
+
+
+def hot_slot(vector: str):
+    """The slot of a one-hot vector, NULL if it has none."""
+    values = vector_to_array(F.col(vector))
+    return F.when(F.array_contains(values, 1.0), (F.array_position(values, 1.0) - 1).cast("int"))
+
+
+def vector_size(vector: str):
+    return F.size(vector_to_array(F.col(vector)))
 
 
-def prep_statement(numeric, categorical, med, mom, mode, cats) -> tuple[str, list[str], list[str]]:
-    exprs, cols, names = [], [], []
+def prep_statement(numeric, categorical, med, mom, mode) -> tuple[str, list[str], list[str]]:
+    """The projection before encoding: prepared numbers ``num__x`` and filled text ``txt__s``."""
+    exprs, numbers, texts = [], [], []
     for c in numeric:
         x = f"CAST({_q(c)} AS DOUBLE)"
         if med.get(c) is not None:
@@ -148,20 +172,15 @@ def prep_statement(numeric, categorical, med, mom, mode, cats) -> tuple[str, lis
         mean, std = mom.get(c, (0.0, 1.0))
         x = f"(({x} - {_lit(mean)}) / {_lit(std)})"
         x = f"(CASE WHEN isnan({x}) OR abs({x}) = double('inf') THEN 0.0 ELSE COALESCE({x}, 0.0) END)"
-        out = f"num__{c}"
-        exprs.append(f"{x} AS {_q(out)}")
-        cols.append(out)
-        names.append(out)
+        numbers.append(f"num__{c}")
+        exprs.append(f"{x} AS {_q(numbers[-1])}")
     for c in categorical:
         v = f"CAST({_q(c)} AS STRING)"
         if mode.get(c) is not None:
             v = f"COALESCE({v}, {_lit(mode[c])})"
-        for k in cats.get(c, []):
-            out = f"cat__{c}_{k}"
-            exprs.append(f"(CASE WHEN {v} = {_lit(k)} THEN 1.0 ELSE 0.0 END) AS {_q(out)}")
-            cols.append(out)
-            names.append(out)
-    return "SELECT *, " + ", ".join(exprs) + " FROM __THIS__", cols, names
+        texts.append(f"txt__{c}")
+        exprs.append(f"{v} AS {_q(texts[-1])}")
+    return "SELECT *, " + ", ".join(exprs) + " FROM __THIS__", numbers, texts
 
 
 def fit_prep(train: DataFrame, features: Sequence[str], output_col: str = "features") -> PrepModel:
@@ -176,12 +195,17 @@ def fit_prep(train: DataFrame, features: Sequence[str], output_col: str = "featu
     numeric = [c for c in numeric if med.get(c) is not None]
     mom = moments(impute_median(sub.select(*[_c(c) for c in numeric]), med), numeric) if numeric else {}
     mode = modes(sub, categorical)
-    filled = sub.select(*[F.coalesce(_c(c).cast("string"), F.lit(mode[c])).alias(c) if mode.get(c) is not None
-                          else _c(c) for c in categorical]) if categorical else None
-    cats = categories(filled, categorical) if categorical else {}
-    stmt, cols, names = prep_statement(numeric, categorical, med, mom, mode, cats)
-    # The named feature columns (``num__x``, ``cat__s_v``) stay next to the
-    # vector, and the assembler records the same names in the vector metadata.
-    pipe = Pipeline(stages=[SQLTransformer(statement=stmt),
-                            VectorAssembler(inputCols=cols, outputCol=output_col)]).fit(train)
-    return PrepModel(numeric, categorical, med, mom, mode, cats, names, pipe)
+    categorical = [c for c in categorical if mode.get(c) is not None]  # likewise
+    statement, numbers, texts = prep_statement(numeric, categorical, med, mom, mode)
+    first = SQLTransformer(statement=statement)
+    stages, cats = [first], {}
+    if texts:
+        hot = one_hot_model(first.transform(train), texts)
+        labels = hot.stages[0].labelsArray
+        cats = {c: list(v) for c, v in zip(categorical, labels, strict=True)}
+        stages += hot.stages
+    # The numbers ``num__x`` stay next to the vector; the encoder records the
+    # category of every slot in the vector's metadata.
+    stages.append(VectorAssembler(inputCols=[*numbers, *[f"{t}__hot" for t in texts]], outputCol=output_col))
+    names = numbers + [f"cat__{c}_{k}" for c in categorical for k in cats[c]]
+    return PrepModel(numeric, categorical, med, mom, mode, cats, names, PipelineModel(stages))

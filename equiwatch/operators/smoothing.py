@@ -1,59 +1,94 @@
 """Exponential smoothing of per-batch series: s₁ = v₁, sₜ = α·vₜ + (1−α)·sₜ₋₁.
 
-The recurrence is linear, so it is evaluated in fixed-size blocks of
-consecutive steps (no series is ever gathered into one task or one array):
-
-* inside a block (``block`` rows, a window partitioned by series *and* block)
-  the local value is ``Lₜ = Σ a^(t−j)·bⱼ`` over the block so far, with
-  ``a = 1−α``, ``b₁ = v₁`` and ``bⱼ = α·vⱼ`` otherwise;
-* a block's carry-in is the smoothed value at the end of the previous block,
-  ``Cₘ = Σᵢ a^(block·(m−1−i))·Eᵢ`` over earlier block ends ``Eᵢ``.  Terms older
-  than ``L`` blocks weigh less than 1e-18 relative and are left out, so each
-  block end is copied to at most ``L`` later blocks and summed by a hash
-  aggregate — fully parallel;
-* ``sₜ = Lₜ + a^(off+1)·Cₘ``.
-
-Steps ``t`` must be consecutive integers starting at 1 within each series (batch
-numbers are).
+The recurrence is linear, so it is evaluated exactly in blocks of consecutive
+rows, and no series is gathered in one task:
+
+* rows get their position in the series from a distributed rank (steps may start
+  anywhere and have gaps; ``step`` may be several columns, e.g. run and batch);
+* a block (``block`` rows of a series) is smoothed on its own from nothing:
+  ``Lₜ = α·vₜ + (1−α)·Lₜ₋₁``; ``kₜ`` counts its values so far;
+* blocks (one row each) are chained per series: ``Cₘ₊₁ = L(end) + (1−α)^k(end)·Cₘ``,
+  the first carry being the first value, as s₁ = v₁ asks;
+* ``sₜ = Lₜ + (1−α)^kₜ·Cₘ``.
+
+A NULL value leaves the smoothed value as it was (NULL before the first value).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ordering import global_rank, materialize
+
+BLOCK = 4096
+
+
+def smooth_block(values: pd.DataFrame, alpha: float, carry: Sequence[float | None]) -> pd.DataFrame:
+    """The recurrence over consecutive rows, from the smoothed values ``carry`` (None: nothing before)."""
+    seed = pd.DataFrame([list(carry)], columns=values.columns, dtype="float64")
+    return pd.concat([seed, values.astype("float64")]).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().iloc[1:]
+
+
+def ema(df: DataFrame, values: Sequence[str], step: str | Sequence[str] = "batch", series: Sequence[str] = (),
+        alpha: float = 0.25, block: int = BLOCK, suffix: str = "_smoothed") -> DataFrame:
+    """``df`` with a smoothed column per value; ``alpha`` in (0, 1]."""
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError("alpha must be in (0, 1]")
+    a, values, series = 1.0 - float(alpha), list(values), list(series)
+    steps = [step] if isinstance(step, str) else list(step)
+    ranked = (global_rank(df, steps, out="_pos", groups=series)
+              .withColumn("_blk", F.floor((F.col("_pos") - 1) / F.lit(block)).cast("long")))
+    made = [(f"_{k}_{v}", kind) for v in values for k, kind in (("L", T.DoubleType()), ("k", T.LongType()),
+                                                                ("f", T.DoubleType()))]
+    local_schema = T.StructType([*ranked.schema.fields, T.StructField("_end", T.BooleanType()),
+                                 *(T.StructField(n, kind) for n, kind in made)])
+
+    def smooth_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos").reset_index(drop=True)
+        pdf["_end"] = pdf.index == len(pdf) - 1
+        out = smooth_block(pdf[values], alpha, [0.0] * len(values)).reset_index(drop=True)
+        for v in values:
+            known = pdf[v].dropna()
+            pdf[f"_L_{v}"], pdf[f"_k_{v}"] = out[v], pdf[v].notna().cumsum()
+            pdf[f"_f_{v}"] = float(known.iloc[0]) if len(known) else float("nan")
+        return pdf
+
+    local = materialize(ranked.groupBy(*[F.col(f"`{s}`") for s in series], "_blk")
+                        .applyInPandas(smooth_rows, local_schema))
+    ends = local.where("_end").select(*[F.col(f"`{s}`") for s in series], "_blk", *[n for n, _ in made])
+    carry_schema = T.StructType([*(df.schema[s] for s in series), T.StructField("_blk", T.LongType()),
+                                 *(f for v in values for f in (T.StructField(f"_C_{v}", T.DoubleType()),
+                                                               T.StructField(f"_o_{v}", T.BooleanType())))])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk").reset_index(drop=True)
+        out = pdf[[*series, "_blk"]].copy()
+        for v in values:
+            carry, carries, opens = None, [], []
+            for end, k, first in zip(pdf[f"_L_{v}"], pdf[f"_k_{v}"], pdf[f"_f_{v}"]):
+                opens.append(carry is None)   # the series' first value is in this block or a later one
+                if carry is None and k:
+                    carry = first             # s1 = v1 = alpha * v1 + (1 - alpha) * v1
+                carries.append(carry)
+                if carry is not None:
+                    carry = end + a ** k * carry
+            out[f"_C_{v}"] = pd.array(carries, dtype="Float64")
+            out[f"_o_{v}"] = opens
+        return out
 
-from .ordering import ema_lookback_blocks
-
-
-def ema(df: DataFrame, values: Sequence[str], step: str = "batch", series: Sequence[str] = (),
-        alpha: float = 0.25, block: int = 16, suffix: str = "_smoothed") -> DataFrame:
-    a = 1.0 - float(alpha)
-    lookback = ema_lookback_blocks(alpha, block)
-    t = F.col(step).cast("long")
-    base = (df.withColumn("_blk", F.floor((t - 1) / F.lit(block)).cast("long"))
-              .withColumn("_off", ((t - 1) % F.lit(block)).cast("int")))
-    w_local = (Window.partitionBy(*series, "_blk").orderBy(step)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for v in values:
-        b = F.when(t == 1, F.col(v)).otherwise(F.lit(float(alpha)) * F.col(v))
-        scaled = b * F.pow(F.lit(a), -F.col("_off").cast("double"))
-        base = base.withColumn(f"_L_{v}", F.sum(scaled).over(w_local)
-                               * F.pow(F.lit(a), F.col("_off").cast("double")))
-    # Block ends: the local value at the last row of each (full) block.
-    w_end = Window.partitionBy(*series, "_blk")
-    ends = (base.withColumn("_maxoff", F.max("_off").over(w_end))
-            .where(F.col("_off") == F.col("_maxoff"))
-            .select(*series, "_blk", *[F.col(f"_L_{v}").alias(f"_E_{v}") for v in values]))
-    shifts = F.array(*[F.lit(d) for d in range(lookback)])
-    carried = (ends.select(*series, "_blk", *[f"_E_{v}" for v in values], F.explode(shifts).alias("_d"))
-               .withColumn("_to", F.col("_blk") + 1 + F.col("_d"))
-               .withColumn("_w", F.pow(F.lit(a), (F.col("_d") * F.lit(block)).cast("double"))))
-    carry = (carried.groupBy(*series, F.col("_to").alias("_blk"))
-             .agg(*[F.sum(F.col(f"_E_{v}") * F.col("_w")).alias(f"_C_{v}") for v in values]))
-    j = base.join(carry, [*series, "_blk"], "left")
-    for v in values:
-        decay = F.pow(F.lit(a), (F.col("_off") + 1).cast("double"))
-        j = j.withColumn(f"{v}{suffix}", F.col(f"_L_{v}") + decay * F.coalesce(F.col(f"_C_{v}"), F.lit(0.0)))
-    return j.drop("_blk", "_off", *[f"_L_{v}" for v in values], *[f"_C_{v}" for v in values])
+    carry = ends.groupBy(*[F.col(f"`{s}`") for s in series]).applyInPandas(chain, carry_schema)
+    carry = carry.select(*[F.col(f"`{s}`").alias(f"_c_{s}") for s in series], F.col("_blk").alias("_cblk"),
+                         *[F.col(f"_{k}_{v}") for v in values for k in ("C", "o")])
+    same = F.col("_blk") == F.col("_cblk")
+    for s in series:
+        same = same & F.col(f"`{s}`").eqNullSafe(F.col(f"`_c_{s}`"))
+    joined = local.join(carry, same, "left")
+    smoothed = [F.when(~F.col(f"_o_{v}") | (F.col(f"_k_{v}") > 0), F.col(f"_L_{v}")
+                       + F.pow(F.lit(a), F.col(f"_k_{v}").cast("double")) * F.col(f"_C_{v}")).alias(f"{v}{suffix}")
+                for v in values]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *smoothed)

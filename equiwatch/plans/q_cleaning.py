@@ -51,7 +51,7 @@ def q_datetime_to_epoch(spark, sf):
 
 
 def _label_sql(c: str) -> str:
-    plain = f"trim(CAST(d.{c} AS VARCHAR))"
+    plain = S.strip(f"CAST(d.{c} AS VARCHAR)")
     number = f"(CASE WHEN regexp_matches({plain}, '{S.NUMERIC_PATTERN}') THEN TRY_CAST({plain} AS DOUBLE) END)"
     return (f"CAST(trunc(COALESCE(CASE WHEN (SELECT avg(CASE WHEN {S.is_boolish(c)} THEN 1.0 ELSE 0.0 END) FROM d) > 0.6 "
             f"THEN CAST({S.boolish_value('d.' + c)} AS DOUBLE) ELSE {number} END, 0.0)) AS INTEGER)")

@@ -166,7 +166,7 @@ def q_severity_bands(spark, sf):
 
 
 def _r3(x: str) -> str:
-    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)"
+    return f"CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)"
 
 
 @register("attr_summary", "FAIR-11", _BATCH + f"""
@@ -185,7 +185,6 @@ SELECT batch, target, attribute, grp, n, round(selection_rate, 6) AS selection_r
 FROM rates WHERE batch = (SELECT max(batch) FROM rates)
 """)
 def q_group_breakdown(spark, sf):
-    rates = fz.group_report(replay(spark, sf), protected=ORDERS_PROTECTED, keys=["batch"])
-    last = rates.agg(F.max("batch").alias("_last"))
-    out = rates.join(F.broadcast(last), rates.batch == last._last).drop("_last", "tp", "tn", "fp", "fn")
-    return finish(out)
+    rows = replay(spark, sf)   # ranked and checkpointed: the last batch is a filter
+    rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return finish(fz.group_report(rows, protected=ORDERS_PROTECTED, keys=["batch"]).drop("tp", "tn", "fp", "fn"))

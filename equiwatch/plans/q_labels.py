@@ -29,7 +29,7 @@ def _alias_view(spark, sf):
 
 
 def _num_sql(c: str) -> str:
-    t = f"trim(CAST({c} AS VARCHAR))"
+    t = S.strip(f"CAST({c} AS VARCHAR)")
     return (f"CAST(trunc(COALESCE(CASE WHEN regexp_matches({t}, '{S.NUMERIC_PATTERN}') "
             f"THEN TRY_CAST({t} AS DOUBLE) END, 0.0)) AS INTEGER)")
 

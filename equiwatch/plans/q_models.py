@@ -4,8 +4,8 @@ models, SINK-2, SHAP) and the end-to-end monitored replay.
 Model queries train on the readiness view: labels from the rule chain, the
 features left after the default drop list, 80/20 split by keyed draw.  Library
 defaults equal the monitored application's settings (250 boosting rounds, 300
-forest trees); the registry uses ``REGISTRY_ROUNDS`` / ``REGISTRY_TREES`` so the
-whole registry verifies in bounded time.  Trained models are memoised per
+forest trees, depth up to 30) and hold for the registry too, which fits on at most
+``FIT_ROWS`` labelled rows of the training part, chosen by draw.  Trained models are memoised per
 session and data folder, so the queries below train each model once.
 """
 
@@ -22,16 +22,17 @@ from ..operators import models as MD
 from ..operators import names as N
 from ..operators import prep as P
 from ..operators import sampling as SM
-from ..operators.cleaning import datetime_to_epoch
-from ..operators.ordering import global_rank
+from ..operators.cleaning import fit_cleaning
+from ..operators.ordering import global_rank, materialize
 from ..session import scratch_path
+from ..sources.tables import table
 from . import sqltext as S
 from .q_health import docs_labels
 from .registry import finish, register
-from .views import readiness, row_key
+from .views import orders_scored, readiness, row_key
 
-REGISTRY_ROUNDS = 30
-REGISTRY_TREES = 30
+#: Labelled rows a registered model is fitted on, at most (the test part and all scoring cover every row).
+FIT_ROWS = 3000
 KEYS = ("row_id",)              # unique; (l_orderkey, l_linenumber) repeats in lineitem
 SOURCE_KEYS = ("l_orderkey", "l_linenumber")
 ML_PROTECTED = ("priority", "status")
@@ -112,14 +113,12 @@ _MEMO: dict = {}
 
 
 def ml_frame(spark, sf):
-    """Readiness rows with derived, gated labels, epoch-converted times, a split
-    (keyed draw on the source key) and a unique ``row_id`` (distributed rank
-    over all columns; fully identical rows are interchangeable)."""
-    r = readiness(spark, sf)
-    lab = L.derive_labels(r, row_key(*SOURCE_KEYS))
-    lab = datetime_to_epoch(lab, ["ship_ts"])
-    lab = SM.split_hash(lab, row_key(*SOURCE_KEYS), 0.2, 42)
-    return global_rank(lab, [F.col(c) for c in lab.columns], out="row_id")
+    """Readiness rows with derived, gated labels, a unique ``row_id`` (distributed
+    rank over all columns; fully identical rows are interchangeable) and an exact
+    stratified split by ``rts``.  Types are cleaned by the fitted models."""
+    lab = L.derive_labels(readiness(spark, sf), row_key(*SOURCE_KEYS))
+    ranked = global_rank(lab, [F.col(c) for c in lab.columns], out="row_id")
+    return SM.stratified_split(ranked, "row_id", "rts", 0.2, 42)
 
 
 def ml_features(df) -> list[str]:
@@ -131,29 +130,31 @@ def ml_features(df) -> list[str]:
 def trained(spark, sf, kind: str = "gbt"):
     key = (id(spark), sf, kind)
     if key not in _MEMO:
-        data = ml_frame(spark, sf).cache()
+        data = materialize(ml_frame(spark, sf))
         feats = ml_features(data)
         train = data.where("split = 'train'")
         guard = SM.class_guard(train, ["rts", "rtp"])
         SM.require_both_classes(guard)
-        prep = P.fit_prep(train, feats)
-        params = {"max_iter": REGISTRY_ROUNDS} if kind == "gbt" else {"num_trees": REGISTRY_TREES}
-        models = {t: MD.fit_target(train, t.upper(), t, feats, kind=kind, prep=prep, **params) for t in ("rts", "rtp")}
+        fit = materialize(SM.sample_n(train, "row_id", FIT_ROWS, 42).drop("draw").coalesce(2))
+        rules = fit_cleaning(train, feats)
+        prep = P.fit_prep(rules.transform(train), feats)
+        models = {t: MD.fit_target(fit, t.upper(), t, feats, kind=kind, prep=prep, cleaning=rules)
+                  for t in ("rts", "rtp")}
         _MEMO[key] = (data, feats, prep, models)
     return _MEMO[key]
 
 
-def _scored(spark, sf, kind: str = "gbt", split: str | None = "test"):
+def _scored(spark, sf, kind: str = "gbt", split: str | None = None):
     data, _, _, models = trained(spark, sf, kind)
     rows = data if split is None else data.where(F.col("split") == split)
     out = models["rts"].predict(rows, "rts_pred", "rts_prob")
-    out = models["rtp"].predict(out.drop("features", *models["rts"].prep.feature_names),
+    out = models["rtp"].predict(out.drop("features", *models["rts"].prep.made_columns()),
                                 "rtp_pred_raw", "rtp_prob")
-    return out.withColumn("rtp_pred", ((F.col("rts_pred") == 1) & (F.col("rtp_pred_raw") == 1)).cast("int"))
+    return MD.predict_gated(out.withColumn("rtp_pred", F.col("rtp_pred_raw")))
 
 
 def _model_metrics(spark, sf, kind):
-    s = _scored(spark, sf, kind)
+    s = _scored(spark, sf, kind, "test")
     targets = [fz.Target("RTS", "rts", "rts_pred"), fz.Target("RTP", "rtp", "rtp_pred")]
     cm = M.classification_metrics(s, targets)
     auc_rts = M.roc_auc(s, "rts", "rts_prob").select(F.lit("RTS").alias("target"), "auc")
@@ -190,8 +191,8 @@ def q_class_weights(spark, sf):
 
 @register("prep_pipeline", "PREP-5")
 def q_prep_pipeline(spark, sf):
-    data, _, prep, _ = trained(spark, sf)
-    enc = prep.transform(data)
+    data, _, _, models = trained(spark, sf)
+    enc = models["rts"].encode(data)
     return enc.select(*KEYS, vector_to_array("features").alias("features"))
 
 
@@ -212,10 +213,9 @@ def q_model_save_load(spark, sf):
     path = scratch_path(spark, "model-bundle")
     MD.save_target_model(models["rtp"], path)
     back = MD.load_target_model(spark, path)
-    test = data.where("split = 'test'")
     # Both models score the same rows in one chained plan (no join needed).
-    a = models["rtp"].predict(test, "pred_a", "prob_a")
-    a = a.drop("features", *models["rtp"].prep.feature_names)
+    a = models["rtp"].predict(data, "pred_a", "prob_a")
+    a = a.drop("features", *models["rtp"].prep.made_columns())
     j = back.predict(a, "pred_b", "prob_b")
     return finish(j.select(*KEYS, F.col("pred_b").alias("pred"), F.col("prob_b").alias("prob"),
                            ((F.col("pred_a") == F.col("pred_b")) & (F.col("prob_a") == F.col("prob_b"))).alias("same")))
@@ -223,7 +223,7 @@ def q_model_save_load(spark, sf):
 
 def _attributions(spark, sf):
     data, _, prep, models = trained(spark, sf)
-    enc = prep.transform(data)
+    enc = models["rtp"].encode(data)
     return enc, X.tree_attributions(enc, models["rtp"].model, list(KEYS)), prep.feature_names
 
 
@@ -249,9 +249,58 @@ def q_global_importance(spark, sf):
 
 @register("contribution_table", "SHAP-3")
 def q_contribution_table(spark, sf):
-    enc, attr, names = _attributions(spark, sf)
-    first = SM.sample_n(enc.select("row_id"), "row_id", 1, 42).first()[0]
-    return finish(X.contribution_table(enc, attr, names, "row_id", first))
+    data, _, prep, models = trained(spark, sf)
+    first = SM.sample_n(data.select("row_id"), "row_id", 1, 42).first()[0]
+    enc = models["rtp"].encode(data.where(F.col("row_id") == first))   # only this row is attributed
+    attr = X.tree_attributions(enc, models["rtp"].model, list(KEYS))
+    return finish(X.contribution_table(enc, attr, prep.feature_names, "row_id", first))
+
+
+@register("attributions_add_up", "SHAP-1", """
+SELECT count(*) AS n_rows, count(*) AS n_additive FROM lineitem
+""")
+def q_attributions_add_up(spark, sf):
+    rows = q_tree_attributions(spark, sf)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("additivity_error") <= 1e-6).alias("n_additive"))
+
+
+@register("model_reload_same", "SINK-2", """
+SELECT count(*) AS n_rows, count(*) AS n_same FROM lineitem
+""")
+def q_model_reload_same(spark, sf):
+    return q_model_save_load(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("same").alias("n_same"))
+
+
+@register("predict_all_rows", "ML-4", """
+SELECT count(*) AS n_rows, count(*) AS n_valid, count(*) AS n_gated FROM lineitem
+""")
+def q_predict_all_rows(spark, sf):
+    s, raw = _scored(spark, sf), F.col("rtp_pred_raw")
+    valid = F.col("rts_prob").between(0, 1) & F.col("rtp_prob").between(0, 1) & F.col("rts_pred").isin(0, 1) & raw.isin(0, 1)
+    gated = F.col("rtp_pred") == F.when((F.col("rts_pred") == 1) & (raw == 1), 1).otherwise(0)
+    return s.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(valid).alias("n_valid"), F.count_if(gated).alias("n_gated"))
+
+
+@register("gate_rule_predictions", "ML-5", f"""
+SELECT o_orderkey, rts_pred, CASE WHEN rts_pred = 1 AND rtp_pred = 1 THEN 1 ELSE 0 END AS rtp_pred
+FROM ({S.ORDERS_SCORED})
+""")
+def q_gate_rule_predictions(spark, sf):
+    return MD.predict_gated(orders_scored(spark, sf)).select("o_orderkey", "rts_pred", "rtp_pred")
+
+
+@register("one_hot_wide", "PREP-4", f"""
+WITH t AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS v,
+                  {S.hash_draw('o_orderkey', 42)} >= 0.2 AS fitted FROM orders),
+c AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS slot FROM (SELECT DISTINCT v FROM t WHERE fitted))
+SELECT t.o_orderkey, c.slot, CAST((SELECT count(*) FROM c) AS INTEGER) AS slots FROM t LEFT JOIN c ON t.v = c.v
+""")
+def q_one_hot_wide(spark, sf):
+    o = SM.split_hash(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("cust")),
+                      "o_orderkey", 0.2, 42)
+    enc = P.one_hot_model(o.where("split = 'train'"), ["cust"]).transform(o)
+    vec = P.hot_slot("cust__hot")
+    return enc.select("o_orderkey", vec.alias("slot"), P.vector_size("cust__hot").alias("slots"))
 
 
 def _monitor(spark, sf, kind: str):

@@ -101,9 +101,8 @@ SELECT split, target, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (W
 FROM l GROUP BY split, target
 """)
 def q_class_guard(spark, sf):
-    rtp = orders_scored(spark, sf).select("o_orderkey", "rtp_true")
-    aligned = SM.align_labels(_split(spark, sf), rtp, "o_orderkey")
-    return SM.class_guard(aligned, ["rts_true", "rtp_true"])
+    s = orders_scored(spark, sf).select("o_orderkey", "rts_true", "rtp_true")
+    return SM.class_guard(SM.stratified_split(s, "o_orderkey", "rts_true", 0.2, 42), ["rts_true", "rtp_true"])
 
 
 @register("global_rank", "ORD-0", """

@@ -17,30 +17,52 @@ from .q_fairness import _BATCH, _REPORT_COLS, _SUMMARY, _ema_sql, replay
 from .registry import finish, register
 from .views import EVENTS_PROTECTED, ORDERS_PROTECTED, events_scored
 
-N_FILES = 4
+N_STEPS = 4
 
 
-def _write_groups(df, path: str, group_col, n_files: int = N_FILES) -> None:
-    """Write ``df`` as ``n_files`` append jobs, one per group, so the file source
-    sees them in that order and every group lands in exactly one file."""
-    for g in range(n_files):
-        df.where(group_col == g).coalesce(1).write.mode("append").parquet(path)
+def _feed(df, path: str, order, by: str | None = None, n_steps: int = N_STEPS) -> None:
+    """Write ``df`` in ``n_steps`` append jobs in the order of ``order`` (a number;
+    NULL first), so that a file source sees it in that order.  Within a job the
+    rows are dealt by ``by``, whose values then lie in one file each."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    lo, hi = (lo, hi) if lo is not None else (0, 0)
+    step = F.coalesce(F.least(F.floor((order - F.lit(lo)) * n_steps / F.lit(hi - lo + 1)), F.lit(n_steps - 1)), F.lit(0))
+    tagged = df.withColumn("_step", step)
+    for k in range(n_steps):
+        part = tagged.where(F.col("_step") == k).drop("_step")
+        (part.repartition(by) if by else part).write.mode("append").parquet(path)
 
 
 @register("fairness_stream", "FAIR-13", _BATCH + f"SELECT batch, {_REPORT_COLS} FROM report")
 def q_fairness_stream(spark, sf):
+    return finish(spark.read.parquet(_run_monitor(spark, sf)).select(
+        "batch", "target", "attribute", "n_groups", "dp_diff", "eo_diff", "protected_attr", "alert"))
+
+
+def _run_monitor(spark, sf) -> str:
+    """The replay fed in order of its batches (a batch lies in one file); returns the sink."""
     src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
-    rows = replay(spark, sf).drop("draw", "position")
-    # Consecutive batch ranges per file: every micro-batch holds whole batches.
-    n_batches = rows.agg(F.max("batch")).first()[0] or 0
-    per_file = max(1, -(-n_batches // N_FILES))
-    _write_groups(rows, src, F.floor((F.col("batch") - 1) / per_file))
-    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
-    q = SM.fairness_stream(stream, sink, ckpt, protected=ORDERS_PROTECTED, keys=["batch"], run_id="run-1")
+    _feed(replay(spark, sf).drop("draw", "position"), src, F.col("batch"), "batch")
+    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=8)
+    q = SM.fairness_stream(stream, sink, ckpt, "run-1", protected=ORDERS_PROTECTED, keys=["batch"], details=True)
     q.awaitTermination()
-    out = spark.read.parquet(sink)
-    return finish(out.select("batch", "target", "attribute", "n_groups", "dp_diff", "eo_diff",
-                             "protected_attr", "alert"))
+    return sink
+
+
+@register("fairness_stream_summary", "FAIR-13", _BATCH + f", {_SUMMARY} "
+          "SELECT batch, round(max_dp_diff, 6) AS max_dp_diff, round(max_eo_diff, 6) AS max_eo_diff, alert FROM summary")
+def q_fairness_stream_summary(spark, sf):
+    out = spark.read.parquet(_run_monitor(spark, sf) + "_summary")
+    return finish(out.select("batch", "max_dp_diff", "max_eo_diff", "alert"))
+
+
+@register("fairness_stream_groups", "FAIR-13", _BATCH + """
+SELECT batch, target, attribute, grp, n, round(selection_rate, 6) AS selection_rate, round(tpr, 6) AS tpr,
+       round(fpr, 6) AS fpr, round(accuracy, 6) AS accuracy FROM rates
+""")
+def q_fairness_stream_groups(spark, sf):
+    out = spark.read.parquet(_run_monitor(spark, sf) + "_groups")
+    return finish(out.select("batch", "target", "attribute", "grp", "n", "selection_rate", "tpr", "fpr", "accuracy"))
 
 
 @register("ema_stream", "FAIR-14", _BATCH + f", {_SUMMARY} " + f"""
@@ -53,11 +75,9 @@ def q_ema_stream(spark, sf):
     src, sink, ckpt = (scratch_path(spark, n) for n in ("ema-src", "ema-sink", "ema-ckpt"))
     summary = fz.batch_summary(fz.fairness_report(replay(spark, sf), protected=ORDERS_PROTECTED,
                                                   keys=["batch"])).drop("alert")
-    n_batches = summary.agg(F.max("batch")).first()[0] or 0
-    per_file = max(1, -(-n_batches // N_FILES))
-    _write_groups(summary, src, F.floor((F.col("batch") - 1) / per_file))
+    _feed(summary.withColumn("run_id", F.lit("run-1")), src, F.col("batch"), "run_id")  # a run is one series
     stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
-    out = SM.ema_stream(stream, ["max_dp_diff", "max_eo_diff"], step="batch")
+    out = SM.ema_stream(stream, ["max_dp_diff", "max_eo_diff"], ["run_id"], step="batch").drop("run_id")
     q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -79,9 +99,8 @@ def window_stream_counts(spark, sf, watermark: str = "1 day"):
     """Streaming form of FAIR-15 over events files; returns the sink's counts."""
     src, sink, ckpt = (scratch_path(spark, n) for n in ("win-src", "win-sink", "win-ckpt"))
     ev = events_scored(spark, sf, cast_ts=False)
-    day = F.dayofmonth("ts")
-    _write_groups(ev, src, F.floor((day - 1) / 8))
-    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
+    _feed(ev, src, F.unix_date(F.col("ts").cast("date")))
+    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=64)
     counts = SM.windowed_confusion(stream, "ts", "1 day", fz.DEFAULT_TARGETS, EVENTS_PROTECTED, watermark)
     q = (counts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())

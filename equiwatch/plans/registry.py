@@ -46,5 +46,5 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     # Import the query modules for their registration side effect.
     from . import (q_fairness, q_health, q_cleaning, q_labels, q_sampling,  # noqa: F401
-                   q_models, q_streaming, q_io, q_metrics)
+                   q_models, q_streaming, q_io, q_metrics, q_names)
     return dict(_QUERIES)

@@ -48,11 +48,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM only: ``local-cluster`` has executors of its own."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only in local mode."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Only where that is unset and driver and tasks are one process (tests, a
+    laptop) a temporary folder takes its place."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -74,9 +78,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "equiwatch-tables", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def ensure_utc(spark: SparkSession) -> None:
-    """Event-time work assumes a UTC session (``timestamp_ntz`` columns are cast)."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -1,4 +1,4 @@
-"""CSV source: header + inferred types, UTF-8 with a latin-1 retry, NA spellings → NULL."""
+"""CSV source: header + inferred types, UTF-8 or latin-1 by its bytes, NA spellings → NULL."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from .tables import normalize_missing
 
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 
-REPLACEMENT_CHAR = "�"
 SUPPORTED = (".csv",)
 
 
@@ -26,8 +25,9 @@ def check_extension(path: str) -> None:
 
 
 def _read(spark: SparkSession, path: str, encoding: str, schema: T.StructType | None,
-          sampling_ratio: float) -> DataFrame:
-    r = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+          sampling_ratio: float, multiline: bool) -> DataFrame:
+    r = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+         .option("escape", '"').option("multiLine", multiline))
     if schema is not None:
         r = r.schema(schema)
     else:
@@ -74,20 +74,20 @@ def refine_types(df: DataFrame) -> DataFrame:
                        else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether all bytes of the file(s) are valid UTF-8: one distributed pass over the raw lines, header included."""
+    lines = spark.read.text(path)
+    return lines.where(~F.is_valid_utf8("value")).limit(1).count() == 0
+
+
 def read_csv_infer(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                   sampling_ratio: float = 1.0) -> DataFrame:
-    """Read CSV as UTF-8; if any string cell holds U+FFFD (undecodable bytes),
-    read again as ISO-8859-1.  The check is one distributed ``count`` over a
-    filter, not a driver-side scan.  ``sampling_ratio`` < 1 limits the type
-    inference pass on very large inputs."""
+                   sampling_ratio: float = 1.0, multiline: bool = True) -> DataFrame:
+    """Read CSV as UTF-8, or as ISO-8859-1 where its bytes aren't valid UTF-8.
+
+    Quotes inside a quoted cell are doubled.  ``multiline`` lets a quoted cell
+    hold line ends, which keeps a file in one split; turn it off for large files
+    that have none.  ``sampling_ratio`` < 1 limits the type inference pass."""
     check_extension(path)
-    df = _read(spark, path, "UTF-8", schema, sampling_ratio)
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if text:
-        bad = F.lit(False)
-        for c in text:
-            bad = bad | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
-        if df.where(bad).limit(1).count() > 0:
-            df = _read(spark, path, "ISO-8859-1", schema, sampling_ratio)
-    out = na_to_null(df)
+    encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
+    out = na_to_null(_read(spark, path, encoding, schema, sampling_ratio, multiline))
     return refine_types(out) if schema is None else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HISTORY_EXPORT_COLS = ("batch", "max_dp_diff", "max_eo_diff", "alert")
 
@@ -20,19 +21,26 @@ def export_history_csv(summary: DataFrame, path: str) -> DataFrame:
     return proj
 
 
-def append_history(summary: DataFrame, path: str, run_id: str, epoch_col: str = "batch") -> None:
+def append_history(summary: DataFrame, path: str, run_id: str, epoch_col: str = "epoch",
+                   epoch: int | None = None) -> None:
     """Append rows to a parquet table partitioned by ``(run_id, epoch_col)``.
 
     The write replaces exactly the ``(run_id, epoch)`` partitions present in
     this frame (dynamic partition overwrite), so re-running an epoch after a
     failure replaces its rows instead of duplicating them, and other epochs and
-    runs are untouched.  Pass a coarse ``epoch_col`` (a micro-batch id) when the
-    batch numbers are very many.
+    runs are untouched.  An epoch is coarse (a micro-batch, a day's replay): it
+    becomes a folder.  ``epoch`` gives all rows of the frame that epoch.
     """
-    (summary.withColumn("run_id", F.lit(run_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = summary.withColumn("run_id", F.lit(run_id))
+    if epoch is not None:
+        rows = rows.withColumn(epoch_col, F.lit(int(epoch)).cast("long"))
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id", epoch_col).parquet(path))
 
 
-def read_history(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_history(spark, path: str, schema: T.StructType | None = None, epoch_col: str = "epoch") -> DataFrame:
+    """The table with ``run_id`` as text and the epoch as a long, whatever they look like in folder names."""
+    found = schema or spark.read.parquet(path).schema
+    kinds = {"run_id": T.StringType(), epoch_col: T.LongType()}
+    typed = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found.fields])
+    return spark.read.schema(typed).parquet(path)

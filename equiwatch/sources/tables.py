@@ -6,14 +6,10 @@ filter pushdown still reach the parquet reader.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_DIMENSIONS = ("region", "nation")
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -38,32 +34,23 @@ def read_parquet(spark: SparkSession, path: str, normalize: bool = True) -> Data
     return normalize_missing(df) if normalize else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that planned fewer input splits than the cluster has
-    cores (e.g. a single-row-group file), so per-row work runs in parallel.
+#: Session setting with which a caller asks for scans to be dealt over all cores.
+SPREAD_SETTING = "spark.equiwatch.spreadScans"
 
-    The decision reads only the planned split count (no job).  Large inputs
-    have far more splits than cores and pass through untouched.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(cores)
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan's rows over all cores, e.g. of a file that has one row group."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, normalize: bool = True,
-          parallel: bool = True) -> DataFrame:
+          parallel: bool | None = None) -> DataFrame:
     """One of the test tables under ``sf_dir`` (``<sf_dir>/<name>.parquet``).
 
-    ``parallel`` spreads a scan with fewer splits than cores (see ``spread``):
-    measured at sf0.1 the headline set runs in 59 s with it and 87 s without
-    (per-row hashing and parsing were stuck in one task).  Large inputs have
-    more splits than cores and are never touched; tables used as broadcast
-    build sides pass ``parallel=False``; dimension tables are never spread."""
-    df = read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"), normalize)
-    if parallel and name not in SMALL_DIMENSIONS:
-        df = spread(df)
-    return df
+    ``parallel`` (default: the session's ``SPREAD_SETTING``, off) deals its rows
+    over all cores: a shuffle that pays only for a few small files of one row
+    group each, so the caller has to ask for it."""
+    df = read_parquet(spark, f"{sf_dir}/{name}.parquet", normalize)
+    if parallel is None:
+        parallel = spark.conf.get(SPREAD_SETTING, "false") == "true"
+    return spread(df) if parallel else df

@@ -14,8 +14,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import fairness as fz
 from ..operators.cleaning import epoch_seconds_of
+from ..operators.smoothing import smooth_block
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -41,32 +41,47 @@ def _write_epoch(df: DataFrame, sink: str, run_id: str, epoch_id: int) -> None:
      .partitionBy("run_id", "epoch_id").parquet(sink))
 
 
-def fairness_stream(stream: DataFrame, sink: str, checkpoint: str,
+def fairness_stream(stream: DataFrame, sink: str, checkpoint: str, run_id: str,
                     targets: Sequence[fz.Target] = fz.DEFAULT_TARGETS, protected: Sequence[str] = (),
-                    threshold: float = 0.10, keys: Sequence[str] = (), run_id: str | None = None,
+                    threshold: float = 0.10, keys: Sequence[str] = (),
                     available_now: bool = True, processing_time: str | None = None,
-                    batch_size: int | None = None, order_by: Sequence[str] = ()):
+                    batch_size: int | None = None, order_by: Sequence[str] = (),
+                    prepare: Callable[[DataFrame], DataFrame] | None = None, details: bool = False):
     """Start the monitor; returns the ``StreamingQuery``.
 
+    ``run_id`` names the run whose epochs a restart from the same checkpoint
+    replaces, so it has to be the same for both.
     ``keys`` are row columns to report by inside each micro-batch (e.g. a batch
     number carried by the rows); without keys each micro-batch is one report.
     ``batch_size`` (with a total ``order_by``) slices every micro-batch into
     row batches of that size first (distributed rank), reported per
     ``(epoch_id, batch)``.
+    ``prepare`` is applied to the rows first (e.g. score with models, then gate).
+    ``details`` also writes ``<sink>_summary``, ``<sink>_worst`` and
+    ``<sink>_groups``: per batch the largest gaps and the alert, the worst
+    driver, and the per-group counts and rates.
     """
-    run = run_id or uuid.uuid4().hex[:12]
     if batch_size and not order_by:
         raise ValueError("row batches inside a micro-batch need an explicit order_by")
 
     def per_batch(batch_df: DataFrame, epoch_id: int) -> None:
         report_keys = list(keys)
-        data = batch_df
+        data = prepare(batch_df) if prepare else batch_df
         if batch_size:
             from ..operators.sampling import assign_batches
-            data = assign_batches(batch_df, order_by, batch_size)
+            data = assign_batches(data, order_by, batch_size)
             report_keys.append("batch")
-        rep = fz.fairness_report(data, targets, protected, threshold, report_keys)
-        _write_epoch(rep, sink, run, epoch_id)
+        groups = fz.group_report(data, targets, protected, report_keys).persist()  # read by up to four writes
+        try:
+            report = fz.fairness_alert(fz.fairness_gaps(groups, report_keys), threshold)
+            _write_epoch(report, sink, run_id, epoch_id)
+            if details:
+                _write_epoch(fz.batch_summary(report, report_keys), f"{sink}_summary", run_id, epoch_id)
+                _write_epoch(fz.worst_driver(report, threshold, report_keys, [t.name for t in targets], protected),
+                             f"{sink}_worst", run_id, epoch_id)
+                _write_epoch(groups, f"{sink}_groups", run_id, epoch_id)
+        finally:
+            groups.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if processing_time:
@@ -80,47 +95,39 @@ def fairness_stream(stream: DataFrame, sink: str, checkpoint: str,
 # FAIR-14: smoothing with state across micro-batches
 # ---------------------------------------------------------------------------
 
-def _ema_state_fn(values: Sequence[str], step: str, alpha: float, series: Sequence[str]):
+def _smooth_arrivals(values: Sequence[str], step: str, alpha: float):
     def fn(key, pdfs, state):
-        if state.exists:
-            last_step, *prev = state.get
-        else:
-            last_step, prev = None, [None] * len(values)
-        out = []
-        for pdf in pdfs:
-            out.append(pdf)
-        if not out:
-            return
-        pdf = pd.concat(out).sort_values(step)
-        smoothed = {v: [] for v in values}
-        for _, row in pdf.iterrows():
-            for i, v in enumerate(values):
-                x = row[v]
-                prev[i] = x if prev[i] is None else alpha * x + (1 - alpha) * prev[i]
-                smoothed[v].append(prev[i])
-            last_step = int(row[step])
-        for v in values:
-            pdf[f"{v}_smoothed"] = smoothed[v]
-        state.update((last_step, *prev))
-        yield pdf
+        pdf = pd.concat(list(pdfs)).sort_values(step, kind="stable")
+        last, *carry = state.get if state.exists else (None, *[None] * len(values))
+        late = pdf[step] <= last if last is not None else pd.Series(False, index=pdf.index)
+        fresh = pdf[~late]
+        out = smooth_block(fresh[list(values)], alpha, carry).set_axis(fresh.index)
+        smoothed = out.reindex(pdf.index).add_suffix("_smoothed")
+        if len(fresh):
+            state.update((int(fresh[step].iloc[-1]),
+                          *(None if pd.isna(x) else float(x) for x in out.iloc[-1])))
+        yield pd.concat([pdf, smoothed], axis=1)
     return fn
 
 
-def ema_stream(stream: DataFrame, values: Sequence[str], step: str = "batch", series: Sequence[str] = (),
+def ema_stream(stream: DataFrame, values: Sequence[str], series: Sequence[str], step: str = "batch",
                alpha: float = 0.25) -> DataFrame:
-    """Streaming EMA per series.  Rows of one series must arrive in step order
-    across micro-batches (inside a micro-batch they are sorted).  State per
-    series: the last step and the last smoothed value of every column; the
-    per-group work is the handful of rows that arrive in one micro-batch."""
-    keyed = stream if series else stream.withColumn("_series", F.lit(0))
-    keys = list(series) or ["_series"]
-    out_fields = list(keyed.schema.fields) + [T.StructField(f"{v}_smoothed", T.DoubleType()) for v in values]
+    """Streaming EMA per series (columns that tell the series apart, e.g. the run).
+
+    Rows of one series must arrive in step order across micro-batches (inside a
+    micro-batch they are sorted).  A row whose step isn't beyond the last one
+    smoothed is late: it comes out with NULL smoothed values and changes no
+    state.  State per series: the last step and the last smoothed value of every
+    column; the work per group is the rows that arrive in one micro-batch.
+    """
+    if not series:
+        raise ValueError("ema_stream needs the columns that tell series apart")
+    out_fields = list(stream.schema.fields) + [T.StructField(f"{v}_smoothed", T.DoubleType()) for v in values]
     state_schema = T.StructType([T.StructField("last_step", T.LongType())]
                                 + [T.StructField(f"s_{v}", T.DoubleType()) for v in values])
-    out = keyed.groupBy(*keys).applyInPandasWithState(
-        _ema_state_fn(values, step, alpha, keys), T.StructType(out_fields), state_schema,
+    return stream.groupBy(*series).applyInPandasWithState(
+        _smooth_arrivals(values, step, alpha), T.StructType(out_fields), state_schema,
         "append", GroupStateTimeout.NoTimeout)
-    return out.drop("_series") if not series else out
 
 
 # ---------------------------------------------------------------------------

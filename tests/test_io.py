@@ -30,12 +30,12 @@ def test_history_append_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.1, 0.2, False), (2, 0.3, 0.1, True)],
                                "batch long, max_dp_diff double, max_eo_diff double, alert boolean")
     path = str(tmp_path / "hist")
-    SK.append_history(df, path, "r1")
-    SK.append_history(df, path, "r1")
-    SK.append_history(df.where("batch = 1"), path, "r2")
+    SK.append_history(df, path, "007", epoch=1)
+    SK.append_history(df, path, "007", epoch=1)
+    SK.append_history(df.where("batch = 1"), path, "1e3", epoch=2)
     h = SK.read_history(spark, path)
-    assert h.count() == 3
-    assert h.where("run_id = 'r1'").count() == 2
+    assert h.count() == 3 and dict(h.dtypes)["batch"] == "bigint" and dict(h.dtypes)["epoch"] == "bigint"
+    assert sorted(r["run_id"] for r in h.collect()) == ["007", "007", "1e3"]
 
 
 def test_history_export_csv(spark, tmp_path):
@@ -83,3 +83,13 @@ def test_na_text_does_not_block_numeric_types(spark, tmp_path):
     assert types["a"] == "bigint" and types["b"] == "double" and types["c"] == "string"
     rows = {r["c"]: (r["a"], r["b"]) for r in df.collect()}
     assert rows == {"x": (1, 2.5), "y": (None, None), "z": (3, None)}
+
+
+def test_quoted_cells_and_replacement_characters(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('id,t\n1,"he said ""hi"", ok"\n2,"two\nlines"\n3,Jos\u00e9 \ufffd\n', encoding="utf-8")
+    df = CSV.read_csv_infer(spark, str(p))
+    assert sorted((r["id"], r["t"]) for r in df.collect()) == [(1, 'he said "hi", ok'), (2, "two\nlines"), (3, "Jos\u00e9 \ufffd")]
+    bad = tmp_path / "h.csv"
+    bad.write_bytes("gr\u00f6\u00dfe\n1\n".encode("latin-1"))  # the only bad bytes are in the header
+    assert CSV.read_csv_infer(spark, str(bad)).columns == ["gr\u00f6\u00dfe"]

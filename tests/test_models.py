@@ -111,4 +111,21 @@ def test_vector_metadata_has_feature_names(spark):
     pm = P.fit_prep(df, ["x", "s"])
     meta = pm.transform(df).schema["features"].metadata["ml_attr"]["attrs"]
     names = [a["name"] for group in meta.values() for a in group]
-    assert sorted(names) == sorted(pm.feature_names) == ["cat__s_a", "cat__s_b", "num__x"]
+    assert names == ["num__x", "txt__s__hot_a", "txt__s__hot_b"] and pm.feature_names == ["num__x", "cat__s_a", "cat__s_b"]
+
+
+def test_money_text_trains_as_a_number_and_a_reloaded_bundle_scores_raw_rows(spark, tmp_path):
+    rows = [(i, f" ${i % 50},000 ", "yes" if i % 3 else "no\n", float(i % 7), int(i % 50 > 25)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, pay string, flag string, x double, label int")
+    tm = MD.fit_target(df, "T", "label", ["pay", "flag", "x"], max_iter=3)
+    assert tm.cleaning.rules == {"pay": "numeric", "flag": "boolish"}
+    assert tm.prep.numeric == ["pay", "flag", "x"] and tm.prep.categorical == []
+    path = str(tmp_path / "bundle")
+    MD.save_target_model(tm, path)
+    back = MD.load_target_model(spark, path)
+    assert (back.prep.medians, back.prep.moments, back.prep.modes, back.prep.categories, back.cleaning.rules) == (
+        tm.prep.medians, tm.prep.moments, tm.prep.modes, tm.prep.categories, tm.cleaning.rules)
+    a, b = (sorted((r["id"], r["prob"]) for r in m.predict(df).select("id", "prob").collect()) for m in (tm, back))
+    assert a == b
+    with pytest.raises(ValueError, match="not binary"):
+        MD.fit_target(df.withColumn("label", F.col("id")), "T", "label", ["x"], max_iter=1)

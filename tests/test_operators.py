@@ -130,6 +130,52 @@ def test_ema_long_series_matches_recurrence(spark):
     assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
 
 
+def test_ema_off_the_happy_path(spark):
+    rows = [("a", 5, 0.1), ("a", 9, 0.3), ("a", 10, 0.2), (None, 1, 1.0), (None, 2, None), (None, 3, 2.0)]
+    df = spark.createDataFrame(rows, "s string, batch long, v double")
+    for block in (1, 2, 4096):
+        got = {(r["s"], r["batch"]): r["v_smoothed"] for r in ema(df, ["v"], series=["s"], block=block).collect()}
+        assert [round(got["a", b], 10) for b in (5, 9, 10)] == [0.1, 0.15, 0.1625]
+        assert [got[None, b] for b in (1, 2, 3)] == [1.0, 1.0, 1.25]
+    one = {r["batch"]: r["v_smoothed"] for r in ema(df.where("s = 'a'"), ["v"], alpha=1.0, block=2).collect()}
+    assert one == {5: 0.1, 9: 0.3, 10: 0.2}
+    runs = spark.createDataFrame([(2, 1, 3.0), (1, 1, 1.0), (1, 2, 2.0)], "run long, batch long, v double")
+    out = {(r["run"], r["batch"]): r["v_smoothed"] for r in ema(runs, ["v"], step=["run", "batch"]).collect()}
+    assert out == {(1, 1): 1.0, (1, 2): 1.25, (2, 1): 1.6875}
+
+
+def test_rank_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 2), ("a", 1), (None, 1), ("a", 2)], "g string, k int")
+    got = sorted(((r["g"] or "", r["k"], r["row_id"]) for r in O.global_rank(df, ["k"], groups=["g"]).collect()))
+    assert got == [("", 1, 1), ("", 2, 2), ("a", 1, 1), ("a", 2, 2)]
+
+
+def test_white_space_is_stripped(spark):
+    from equiwatch.functions import columns as C
+    df = spark.createDataFrame([("\tyes\n",), ("\t12\n",), ("\u00a0$1,000\r",)], "t string")
+    got = [(r[0], r[1], r[2]) for r in df.select(C.boolish_value("t"), C.parse_number("t"), C.is_boolish("t")).collect()]
+    assert got == [(1, None, True), (None, 12.0, False), (None, 1000.0, False)]
+
+
+def test_attr_summary_rounds_ties_to_even(spark):
+    from equiwatch.operators import fairness as fz
+    df = spark.createDataFrame([(1, "a", 0.0625, 0.1875)], "batch int, protected_attr string, dp_diff double, eo_diff double")
+    r = fz.attr_summary(df).first()
+    assert (r["dp"], r["eo"]) == (0.062, 0.188)
+
+
+def test_duplicates_by_digest(spark):
+    rows = [(None, "a", 0.0), ("a", None, 0.0), (None, "a", -0.0), ("a", "a", float("nan")), ("a", "a", float("nan")),
+            ("aa", "", None), ("a", "a", None)]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    want = 100.0 * (len(rows) - 5) / len(rows)
+    assert abs(H.dup_pct(df).first()[0] - want) < 1e-9
+    h = H.dataset_health(df).first()
+    assert abs(h["dup_pct"] - want) < 1e-9 and abs(h["missing_pct"] - 100.0 * 7 / 21) < 1e-9
+    plan = H.dataset_health(df)._jdf.queryExecution().executedPlan().toString()
+    assert all("x#" not in line and "y#" not in line for line in plan.splitlines() if "Exchange hash" in line)
+
+
 def test_auc(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8)], "y int, s double")
     assert M.roc_auc(df, "y", "s").collect()[0]["auc"] == 0.75
@@ -141,6 +187,7 @@ def test_auc(spark):
 
 def test_binary_target_check(spark):
     CL.binary_target_check(spark.createDataFrame([("1",), ("0",), (None,)], "t string"), "t")
+    CL.binary_target_check(spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "t double"), "t")
     with pytest.raises(ValueError):
         CL.binary_target_check(spark.createDataFrame([(2,), (0,)], "t int"), "t")
 
@@ -150,8 +197,7 @@ def test_percentile_methods_agree(spark):
     specs = {"p1": (F.col("x"), 0.35), "p2": (F.col("y"), 0.8), "p3": (F.col("x"), 0.5)}
     exact = L.percentiles(df, specs, "exact").first().asDict()
     dist = L.percentiles(df, specs, "distributed").first().asDict()
-    auto_small = L.percentiles(df, specs, "auto", max_exact_distinct=10).first().asDict()
-    assert exact == dist == auto_small
+    assert exact == dist == L.percentiles(df, specs).first().asDict()
 
 
 def test_mode_ties_smallest(spark):
@@ -207,6 +253,12 @@ def test_constants_are_subqueries_not_joins(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "Subquery" in plan
+    several = spark.range(2000).select(F.col("id").cast("double").alias("performance_score"),
+                                       F.col("id").alias("fatigue_score"), F.col("id").alias("load_balance_score"))
+    rule = L.rtp_rule_percentile(several)
+    rule.collect()
+    ran = rule._jdf.queryExecution().executedPlan().toString()
+    assert ran.split("Initial Plan")[0].count("ReusedSubquery") >= 2  # three thresholds, one aggregate
     vals = sorted(r[0] for r in df.collect())
     pos = 0.55 * (len(vals) - 1)
     lo, hi = int(pos), min(int(pos) + 1, len(vals) - 1)

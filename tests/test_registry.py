@@ -63,12 +63,18 @@ def test_stream_restart_is_idempotent(spark):
     schema = spark.read.parquet(src).schema
     for _ in range(2):   # the second start finds nothing new in the checkpoint
         q = SM.fairness_stream(SM.file_stream(spark, src, schema), sink, ckpt,
-                               protected=ORDERS_PROTECTED, keys=["batch"], run_id="r")
+                               protected=ORDERS_PROTECTED, keys=["batch"], run_id="r", details=True)
         q.awaitTermination()
     out = spark.read.parquet(sink)
     batch = fz.fairness_report(rows, protected=ORDERS_PROTECTED, keys=["batch"])
     assert out.count() == batch.count()
     assert out.select("epoch_id").distinct().count() == 2
+    groups = fz.group_report(rows, protected=ORDERS_PROTECTED, keys=["batch"])
+    assert spark.read.parquet(sink + "_groups").count() == groups.count()
+    key = ["batch", "max_dp_diff", "max_eo_diff", "alert"]
+    assert (sorted(map(tuple, spark.read.parquet(sink + "_summary").select(*key).collect()))
+            == sorted(map(tuple, fz.batch_summary(batch).select(*key).collect())))
+    assert spark.read.parquet(sink + "_worst").count() == batch.select("batch").distinct().count()
 
 
 def test_stream_row_batches_inside_micro_batches(spark):
@@ -80,13 +86,29 @@ def test_stream_row_batches_inside_micro_batches(spark):
     rows = orders_scored(spark, SF_SMALL)
     rows.coalesce(1).write.parquet(src)
     q = SM.fairness_stream(SM.file_stream(spark, src, spark.read.parquet(src).schema), sink, ckpt,
-                           protected=ORDERS_PROTECTED, batch_size=500, order_by=["o_orderkey"])
+                           run_id="r", protected=ORDERS_PROTECTED, batch_size=500, order_by=["o_orderkey"])
     q.awaitTermination()
     out = spark.read.parquet(sink)
     n = rows.count()
     assert out.select("batch").distinct().count() == -(-n // 500)
 
 
+def test_late_rows_change_no_state(spark):
+    from equiwatch.session import scratch_path
+    from equiwatch.streaming import monitor as SM
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("late-src", "late-sink", "late-ckpt"))
+    for rows in ([("r", 1, 0.1), ("r", 2, 0.3)], [("r", 2, 9.0), ("r", 3, 0.2)]):
+        spark.createDataFrame(rows, "run string, batch long, v double").coalesce(1).write.mode("append").parquet(src)
+    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
+    q = (SM.ema_stream(stream, ["v"], ["run"]).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r["batch"], r["v"], r["v_smoothed"] and round(r["v_smoothed"], 10)) for r in spark.read.parquet(sink).collect())
+    assert got == [(1, 0.1, 0.1), (2, 0.3, 0.15), (2, 9.0, None), (3, 0.2, 0.1625)]
+    with pytest.raises(ValueError):
+        SM.ema_stream(stream, ["v"], [])
+
+
 def test_registry_imports_without_a_session():
     import subprocess
     import sys
