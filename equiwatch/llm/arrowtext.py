@@ -9,12 +9,18 @@ lower-cased: digits, a-z and every byte of a non-ASCII character.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -27,6 +33,32 @@ CHUNK_BYTES = 1 << 20
 _WORD_BLOCK = 1 << 17
 
 
+def release() -> None:
+    """Give unused memory back to the system: a worker is kept for later stages with all it ever held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` (a function of Arrow batches) that releases memory when its task is over."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped
+
+
+def with_text_column(docs: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, int]:
+    """``keep`` as columns c0, c1, ... and the text's place among them (or after them): it travels once."""
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    if text in keep and isinstance(docs.schema[text].dataType, T.StringType):
+        return docs.select(*columns), list(keep).index(text)
+    return docs.select(*columns, F.col(f"`{text}`").cast("string").alias("_text")), len(keep)
+
+
 def random_words(seed: int, n: int) -> np.ndarray:
     """``n`` fixed 64-bit values (the same on every machine)."""
     return np.frombuffer(hashlib.shake_256(f"equiwatch:{seed}".encode()).digest(8 * n), "<u8").copy()

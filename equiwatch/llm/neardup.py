@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import materialize
-from .arrowtext import chunks, flat, mix, random_words, shingle_hashes, word_bounds, word_hashes
+from .arrowtext import chunks, flat, mix, random_words, shingle_hashes, tidy, word_bounds, word_hashes
 from .components import components
 
 THRESHOLD, NGRAM, RECALL = 0.8, 5, 0.9999
@@ -127,7 +127,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, n: int = NGRAM, key: str = "d
 
     t = F.col(f"`{text}`").cast("string")
     return docs.select(t.alias("_text"), F.col(f"`{key}`").alias("id"), *text_name(t)).mapInArrow(
-        run, f"id {kind}, node binary, grams bigint, t1 bigint, t2 bigint, bands array<bigint>")
+        tidy(run), f"id {kind}, node binary, grams bigint, t1 bigint, t2 bigint, bands array<bigint>")
 
 
 def text_name(text) -> list:
@@ -274,7 +274,7 @@ def _verify(rows: DataFrame, threshold: float, n: int) -> DataFrame:
         if out:
             yield emit()
 
-    return rows.mapInArrow(run, "node binary, links bigint, root binary")
+    return rows.mapInArrow(tidy(run), "node binary, links bigint, root binary")
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

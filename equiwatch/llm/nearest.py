@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import materialize
+from .arrowtext import tidy
 
 DIMS, CONFIDENCE, SEED = 8, 0.97, 23
 SHARD_ROWS, BLOCK_ROWS, LEAF = 16384, 2048, 64
@@ -161,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
                 held[kind].append((ids[lo:hi], values))
         yield from found()
 
-    parts = cells.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    parts = cells.mapInArrow(tidy(run), "query_id bigint, vec_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return parts.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -31,7 +31,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, flat
+from .arrowtext import LOWER, flat, tidy
 from .labelled import held_out, logistic, training_ids
 
 #: Labelled texts of each class, and bytes of them, at most; the share of them that makes the dictionaries.
@@ -203,7 +203,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
