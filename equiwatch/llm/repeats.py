@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import materialize
-from .arrowtext import BYTE_VALUE, chunks, flat, random_words
+from .arrowtext import BYTE_VALUE, chunks, flat, random_words, tidy
 from .neardup import text_name
 
 LENGTH, GRAM = 400, 32
@@ -49,9 +49,6 @@ TILE = 1 << 18
 #: Segment bytes merged at a time, at most (whole anchors).
 BLOCK_BYTES = 8 << 20
 HOT = 20_000
-#: Anchors (and covered runs) whose table may be broadcast; beyond, joins are shuffled.
-BROADCAST_ANCHORS = 1_500_000
-BROADCAST_RUNS = 400_000
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -180,27 +177,34 @@ def window_runs(found: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.n
     return row, base + begin, base + end - 1 + LENGTH
 
 
-def _anchored(docs: DataFrame, text: str) -> DataFrame:
-    """(t1, t2, copies, spots) of every distinct text; a spot is (hash, at, first, last)."""
-    spot = pa.struct([("hash", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+def pack(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A spot's place in one number: the anchor, and how far before it its first and last windows begin (under 512)."""
+    return (at << 18) | ((at - first) << 9) | (at - last)
 
+
+def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window)."""
+    at = place >> 18
+    return at, at - ((place >> 9) & 511), at - (place & 511)
+
+
+def _anchored(named: DataFrame) -> DataFrame:
+    """(t1, t2, copies, hashes, places) of every distinct text."""
     def run(batches):
         for b in batches:
             counts, parts = np.zeros(len(b), np.int64), []
             for lo, hi, data, offsets in chunks(b.column(0)):
-                owner, *values = anchors(data, offsets)
+                owner, hash_, at, first, last = anchors(data, offsets)
                 counts[lo:hi] = np.bincount(owner, minlength=hi - lo)
-                parts.append(values)
-            fields = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-            spots = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()),
-                pa.StructArray.from_arrays(fields, fields=list(spot)))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), spots], names=["t1", "t2", "spots"])
+                parts.append((hash_, pack(at, first, last)))
+            edges = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            columns = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(x))) for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *columns], names=["t1", "t2", "hashes", "places"])
 
-    t = F.col(f"`{text}`").cast("string")
-    rows = docs.select(t.alias("_text"), *text_name(t)).where(F.octet_length("_text") >= LENGTH).mapInArrow(
-        run, "t1 bigint, t2 bigint, spots array<struct<hash:bigint,at:bigint,first:bigint,last:bigint>>")
-    return rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.any_value("spots").alias("spots"))
+    rows = named.select("_text", "t1", "t2").where(F.octet_length("_text") >= LENGTH).mapInArrow(
+        tidy(run), "t1 bigint, t2 bigint, hashes array<bigint>, places array<bigint>")
+    return rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.any_value("hashes").alias("hashes"),
+                                        F.any_value("places").alias("places"))
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -208,10 +212,9 @@ def _segments(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(0))
-            spots = b.column(3)
-            values = spots.flatten()
-            hash_, at, first, last, hot = (values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-            count = spots.value_lengths().to_numpy()
+            hash_, places, hot = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(3, 6))
+            at, first, last = unpack(places)
+            count = b.column(3).value_lengths().to_numpy()
             owner = np.repeat(np.arange(len(b)), count)
             keep = np.flatnonzero(~hot.astype(bool))
             t1, t2 = (b.column(i).to_numpy()[owner] for i in (1, 2))
@@ -228,7 +231,7 @@ def _segments(texts: DataFrame) -> DataFrame:
                      pa.array(at[own] - first[own]), segment],
                     names=["hash", "t1", "t2", "at", "before", "segment"])
 
-    return texts.select("_text", "t1", "t2", "spots").mapInArrow(
+    return texts.select("_text", "t1", "t2", "hashes", "places", "hot", "_key").mapInArrow(  # _key: see remove_repeats
         run, "hash bigint, t1 bigint, t2 bigint, at bigint, before bigint, segment binary")
 
 
@@ -267,7 +270,7 @@ def _merged_runs(segments: DataFrame, partitions: int) -> DataFrame:
             yield merged(held)
 
     return (segments.repartition(partitions, "hash").sortWithinPartitions("hash", "t1", "t2", "at")
-            .mapInArrow(run, "t1 bigint, t2 bigint, begin bigint, end bigint"))
+            .mapInArrow(tidy(run), "t1 bigint, t2 bigint, begin bigint, end bigint"))
 
 
 def _counted_runs(texts: DataFrame) -> DataFrame:
@@ -275,8 +278,9 @@ def _counted_runs(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(0))
-            for i, spots in enumerate(b.column(3).to_pylist()):
-                places = [p for s in spots if s["hot"] for p in range(s["first"], s["last"] + 1)]
+            for i, (spots, hots) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                _, first, last = unpack(np.array(spots, np.int64)[np.array(hots, bool)])
+                places = [p for lo, hi in zip(first.tolist(), last.tolist(), strict=True) for p in range(lo, hi + 1)]
                 text = data[offsets[i]:offsets[i + 1]].tobytes()
                 prints = [hashlib.blake2b(text[p:p + LENGTH], digest_size=16).digest() for p in places]
                 yield pa.RecordBatch.from_arrays(
@@ -284,38 +288,29 @@ def _counted_runs(texts: DataFrame) -> DataFrame:
                      pa.array([b.column(2)[i].as_py()] * len(places), pa.int64()),
                      pa.array(places, pa.int64()), pa.array(prints, pa.binary())], names=["t1", "t2", "p", "print"])
 
-    windows = materialize(texts.where(F.exists("spots", lambda s: s["hot"])).select("_text", "t1", "t2", "spots")
-                          .mapInArrow(run, "t1 bigint, t2 bigint, p bigint, print binary"))
+    windows = materialize(texts.where(F.exists("hot", lambda x: x)).select("_text", "t1", "t2", "places", "hot", "_key")
+                          .mapInArrow(tidy(run), "t1 bigint, t2 bigint, p bigint, print binary"))
     place = F.xxhash64("t1", "t2", "p")
     twice = windows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
     return windows.join(twice.select("print"), "print").select(
         "t1", "t2", F.col("p").alias("begin"), (F.col("p") + LENGTH).alias("end"))
 
 
-def covered_runs(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
-    """(t1, t2, runs) of the texts with covered bytes; ``runs`` may overlap, a copied text has one open run."""
-    spark = docs.sparkSession
-    known = materialize(_anchored(docs, text))
-    spots = known.select("t1", "t2", F.explode("spots").alias("s")).select("t1", "t2", "s.*")
-    place = F.xxhash64("t1", "t2", "at")
-    repeated = spots.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi"),
-                                         F.count(F.lit(1)).alias("n")).where("lo <> hi").select("hash", "n")
-    wanted = materialize(
-        spots.join(repeated, "hash").groupBy("t1", "t2").agg(F.collect_list(F.struct(
-            "hash", "at", "first", "last", (F.col("n") > hot).alias("hot"))).alias("spots"))
-        .join(known.select("t1", "t2", "copies"), ["t1", "t2"]))
-    n_spots, any_hot = wanted.agg(F.sum(F.size("spots")), F.max(F.exists("spots", lambda s: s["hot"]))).first()
-    small = (n_spots or 0) <= BROADCAST_ANCHORS
-    t = F.col(f"`{text}`").cast("string")
-    named = docs.select(t.alias("_text"), *text_name(t))
-
-    def fetch(which):
-        one = wanted.where(which).drop("copies")
-        return named.join(F.broadcast(one) if small else one, ["t1", "t2"])
+def covered_runs(named: DataFrame, hot: int = HOT) -> DataFrame:
+    """(t1, t2, runs) of the texts with covered bytes; ``runs`` may overlap, a copied text has one open run.
 
-    texts = fetch("copies = 1").unionByName(fetch("copies > 1").dropDuplicates(["t1", "t2"]))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = _merged_runs(_segments(texts), parts)
+    ``named``: _text, _key, t1, t2 of all documents.
+    """
+    known = materialize(_anchored(named))
+    spots = known.select("t1", "t2", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(
+        "t1", "t2", F.col("s.hashes").alias("hash"), "s.places")
+    repeated = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = spots.join(repeated, "hash").groupBy("t1", "t2").agg(F.collect_list(F.struct(
+        "hash", "places", (F.col("n") > hot).alias("hot"))).alias("s"))
+    wanted = materialize(found.select("t1", "t2", F.col("s.hash").alias("hashes"), "s.places", "s.hot"))
+    any_hot = wanted.where(F.exists("hot", lambda x: x)).limit(1).count()
+    texts = named.join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"])  # copies of a text lie together here
+    runs = _merged_runs(_segments(texts), int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if any_hot:
         runs = runs.unionByName(_counted_runs(texts))
     copied = known.where("copies > 1").select("t1", "t2", F.lit(0).cast("long").alias("begin"),
@@ -326,13 +321,11 @@ def covered_runs(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFra
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept_bytes: bool = False,
                    hot: int = HOT) -> DataFrame:
     """``key``, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes) of every document."""
-    covered = materialize(covered_runs(docs, text, hot))
-    n_runs = covered.agg(F.sum(F.size("runs"))).first()[0] or 0
-    if n_runs <= BROADCAST_RUNS:
-        covered = F.broadcast(covered)
     t = F.col(f"`{text}`").cast("string")
-    rows = (docs.select(F.coalesce(t, F.lit("")).alias("_text"), F.col(f"`{key}`").alias("_key"), *text_name(t))
-            .join(covered, ["t1", "t2"], "left").select("_text", "_key", "runs"))
+    named = docs.select(F.coalesce(t, F.lit("")).alias("_text"), F.col(f"`{key}`").alias("_key"), *text_name(t))
+    # Texts meet their anchors, and later their covered runs: the same columns by
+    # the same key, so that Spark shuffles the texts once and reads them twice.
+    rows = named.join(covered_runs(named, hot), ["t1", "t2"], "left").select("_text", "_key", "runs")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -368,7 +361,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     extra = ", kept binary" if kept_bytes else ""
-    return rows.mapInArrow(run, f"_key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return rows.mapInArrow(tidy(run), f"_key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
                            + extra).withColumnRenamed("_key", key)
 
 

@@ -128,7 +128,7 @@ def test_nearest_recall(spark, monkeypatch, shard):
 def test_nearest_odd_vectors(spark):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(101)]
-    rows += [(200, None), (201, []), (202, [0.0] * 6), (203, [1.0, None, 1, 1, 1, 1]), (204, [float("nan")] * 6),
+    rows += [(200, None), (201, []), (202, [0.0] * 6), (203, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (204, [float("nan")] * 6),
              (300, [1.0, 2.0]), (301, [1.0, 2.5]), (None, [1.0] * 6), (5, rows[5][1])]
     rows += [(400 + i, rows[0][1]) for i in range(30)]  # equal vectors: ties go to the smaller id
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -202,8 +202,6 @@ def brute_repeats(texts, length=R.LENGTH):
 @pytest.mark.parametrize("hot", [R.HOT, 3])
 def test_repeats_match_brute_force(spark, monkeypatch, hot):
     if hot == 3:
-        monkeypatch.setattr(R, "BROADCAST_ANCHORS", 0)
-        monkeypatch.setattr(R, "BROADCAST_RUNS", 0)
         monkeypatch.setattr(R, "BLOCK_BYTES", 3000)
     rng = random.Random(4)
 
