@@ -288,8 +288,9 @@ def _counted_runs(texts: DataFrame) -> DataFrame:
                      pa.array([b.column(2)[i].as_py()] * len(places), pa.int64()),
                      pa.array(places, pa.int64()), pa.array(prints, pa.binary())], names=["t1", "t2", "p", "print"])
 
-    windows = materialize(texts.where(F.exists("hot", lambda x: x)).select("_text", "t1", "t2", "places", "hot", "_key")
-                          .mapInArrow(tidy(run), "t1 bigint, t2 bigint, p bigint, print binary"))
+    # Not materialized: one plan with the other uses of the texts shuffles them once.
+    windows = (texts.where(F.exists("hot", lambda x: x)).select("_text", "t1", "t2", "places", "hot", "_key")
+               .mapInArrow(tidy(run), "t1 bigint, t2 bigint, p bigint, print binary"))
     place = F.xxhash64("t1", "t2", "p")
     twice = windows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
     return windows.join(twice.select("print"), "print").select(
