@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import LOWER, chunks, word_bounds, word_hashes
+from .arrowtext import LOWER, chunks, tidy, with_text_column, word_bounds, word_hashes
 
 WINDOW = 10
 #: Benchmark text that travels to the tasks at a time.
 BLOCK_BYTES = 8 << 20
 #: Document text per shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 @dataclass
@@ -280,7 +280,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
     def run(batches):
         for b in batches:
             rows = [None] * len(b)
-            for lo, hi, data, offsets in chunks(b.column(0), SHARD_BYTES):
+            for lo, hi, data, offsets in chunks(b.column(at), SHARD_BYTES):
                 items = [set() for _ in range(hi - lo)]
                 longest = [{} for _ in range(hi - lo)]
                 hit = None
@@ -309,10 +309,11 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
                         "items": sorted(str(i) for i in items[t] if i is not None),
                         "longest": [{"item_id": i, "begin": p, "words": -k}
                                     for i, (k, p) in sorted(longest[t].items())]}
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(rows, arrow)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(rows, arrow)],
+                                              names=[f.name for f in schema])
 
-    out = docs.select(F.col(f"`{text}`").cast("string").alias("_text"),
-                      *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
+    rows, at = with_text_column(docs, text, keep)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "_ew_found")
 
 

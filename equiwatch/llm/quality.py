@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import materialize
-from .arrowtext import chunks, shingle_hashes, word_bounds, word_hashes
+from .arrowtext import chunks, shingle_hashes, tidy, with_text_column, word_bounds, word_hashes
 from .labelled import held_out, training_ids
 
 MAX_LABELLED = 6000
@@ -99,12 +99,12 @@ def with_stats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None =
 
     def run(batches):
         for b in batches:
-            values = text_stats(b.column(0))
+            values = text_stats(b.column(at))
             struct = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATS))], names=list(STATS))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], struct], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], struct], names=[f.name for f in schema])
 
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"),
-                       *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
+    rows, at = with_text_column(docs, text, keep)
+    rows = rows.mapInArrow(tidy(run), schema)
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "_ew_stats")
 
 
