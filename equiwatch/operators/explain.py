@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 
-MAX_TABLE_FEATURES = 10    # leaves with more distinct path features use the polynomial per batch
+#: Ensembles read from their models in this session, the latest ones.
+KEPT_ENSEMBLES = 4
 
 
 @dataclass
@@ -44,7 +45,6 @@ class Leaf:
     features: np.ndarray        # distinct feature indices on the path
     zero: np.ndarray            # zero fraction per feature
     conds: list                 # per feature: list of (kind, threshold-or-cats, go_left)
-    table: np.ndarray | None = None   # φ for every 0/1 pattern of the one fractions (2^m, m)
 
 
 def _tree_leaves(nodes: dict[int, dict], value_of, cover_of) -> list[Leaf]:
@@ -86,6 +86,8 @@ def read_ensemble(model, path: str | None = None) -> tuple[list[list[Leaf]], np.
     if model.uid in _ENSEMBLES:
         return _ENSEMBLES[model.uid]
     out = _read_ensemble(model, path)
+    while len(_ENSEMBLES) >= KEPT_ENSEMBLES:
+        _ENSEMBLES.pop(next(iter(_ENSEMBLES)))
     _ENSEMBLES[model.uid] = out
     return out
 
@@ -123,24 +125,33 @@ def _read_ensemble(model, path: str | None = None) -> tuple[list[list[Leaf]], np
     else:
         raise TypeError("tree attributions need a GBT or random forest classification model")
     trees = [_tree_leaves(by_tree[t], value_of, cover_of) for t in sorted(by_tree)]
-    for leaves in trees:
-        for leaf in leaves:
-            leaf.table = pattern_table(leaf)
     return trees, weights, kind
 
 
-def pattern_table(leaf: Leaf) -> np.ndarray | None:
-    """Attributions of one leaf for each of the 2^m one-fraction patterns.
-
-    One fractions are 0 or 1, so a row's contribution from this leaf depends
-    only on which path features it follows; the table is computed once (on the
-    driver, bounded by 2^m·m per leaf) and rows just look their pattern up."""
-    m = len(leaf.features)
-    if m == 0 or m > MAX_TABLE_FEATURES:
-        return None
-    codes = np.arange(2 ** m)
-    patterns = ((codes[:, None] >> np.arange(m)[None, :]) & 1).astype(float)
-    return leaf_attribution(patterns, leaf.zero, leaf.value)
+def pattern_attributions(follows: list[np.ndarray], leaf: Leaf) -> tuple[np.ndarray, np.ndarray]:
+    """(φ of each pattern that occurs, the pattern of each row) for one leaf.
+
+    One fractions are 0 or 1, so a row's contribution from this leaf depends only
+    on which of its m features it follows; φ is worked out once per pattern found
+    in the batch, which are far fewer than rows or than the 2^m possible ones."""
+    m = len(follows)
+    if m > 62:
+        rows, which = np.unique(np.stack(follows, axis=1), axis=0, return_inverse=True)
+        return leaf_attribution(rows.astype(float), leaf.zero, leaf.value), which.ravel()
+    code = np.zeros(len(follows[0]), dtype=np.int64)
+    for j, o in enumerate(follows):
+        code |= o.astype(np.int64) << j
+    if m <= 16:
+        seen = np.zeros(1 << m, dtype=bool)
+        seen[code] = True
+        found = np.flatnonzero(seen)
+        place = np.zeros(1 << m, dtype=np.int64)
+        place[found] = np.arange(len(found))
+        which = place[code]
+    else:
+        found, which = np.unique(code, return_inverse=True)
+    patterns = ((found[:, None] >> np.arange(m)[None, :]) & 1).astype(float)
+    return leaf_attribution(patterns, leaf.zero, leaf.value), which
 
 
 def _follows(x: np.ndarray, conds: list) -> np.ndarray:
@@ -196,20 +207,11 @@ def ensemble_attributions(x: np.ndarray, trees, weights) -> tuple[np.ndarray, fl
                 output += wt * leaf.value
                 continue
             follows = [_follows(cols[f], c) for f, c in zip(leaf.features, leaf.conds)]
-            if leaf.table is not None:
-                code = np.zeros(n, dtype=np.int64)
-                for j, o in enumerate(follows):
-                    code |= o.astype(np.int64) << j
-                output[code == (1 << len(follows)) - 1] += wt * leaf.value
-                scaled = wt * leaf.table
-                for j, f in enumerate(leaf.features):
-                    phi_t[f] += scaled[:, j][code]
-            else:
-                one = np.stack(follows, axis=1).astype(float)
-                output += wt * leaf.value * one.prod(axis=1)
-                contrib = wt * leaf_attribution(one, leaf.zero, leaf.value)
-                for j, f in enumerate(leaf.features):
-                    phi_t[f] += contrib[:, j]
+            phi, which = pattern_attributions(follows, leaf)
+            output[np.logical_and.reduce(follows)] += wt * leaf.value
+            scaled = wt * phi
+            for j, f in enumerate(leaf.features):
+                phi_t[f] += scaled[:, j][which]
     return phi_t.T, expected, output
 
 

@@ -90,6 +90,19 @@ def test_forest_attributions_sum_to_probability(spark, data):
         assert abs(sum(a["attributions"]) + a["expected_value"] - r["prob"]) < 1e-6
 
 
+def test_deep_forest_attributions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 14))
+    rows = [(i, *map(float, r), int(r[:6].sum() + rng.normal() > 0)) for i, r in enumerate(x)]
+    cols = [f"x{k}" for k in range(14)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols) + ", label int")
+    tm = MD.fit_target(df, "T", "label", cols, kind="rf", num_trees=4, max_depth=30)
+    trees, _, _ = X.read_ensemble(tm.model)
+    assert max(len(leaf.features) for leaves in trees for leaf in leaves) > 8
+    for r in X.tree_attributions(tm.encode(df), tm.model, "id").collect():
+        assert abs(sum(r["attributions"]) + r["expected_value"] - r["model_output"]) < 1e-6
+
+
 def test_save_load_same_predictions(spark, data, tmp_path):
     tm = MD.fit_target(data, "T", "label", ["a", "b", "c", "cat"], kind="gbt", max_iter=3)
     path = str(tmp_path / "bundle")
@@ -110,7 +123,7 @@ def test_vector_metadata_has_feature_names(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
     pm = P.fit_prep(df, ["x", "s"])
     meta = pm.transform(df).schema["features"].metadata["ml_attr"]["attrs"]
-    names = [a["name"] for group in meta.values() for a in group]
+    names = [a["name"] for a in sorted((a for group in meta.values() for a in group), key=lambda a: a["idx"])]
     assert names == ["num__x", "txt__s__hot_a", "txt__s__hot_b"] and pm.feature_names == ["num__x", "cat__s_a", "cat__s_b"]
 
 
