@@ -8,8 +8,11 @@ labelled texts that the dictionaries have not seen, gives the score.
 
 What goes into a dictionary: both hold the same base, which zstandard's trainer
 makes from ordinary text, so that only what a class adds can move a window's
-length; before it come the strings of the class's texts that hold 6-byte strings
-frequent in that class and rare in the other.
+length; before it come the strings of the class's texts that cover its typical
+strings.  A string (6 to 12 bytes, the blank before a word included) is typical
+by how often it occurs inside the class's texts, against how often it does so in
+the other's; pieces of ordinary text that hold a typical toxic string are kept
+out of the base, where they would hide it.
 
 The fit uses a bounded sample of labelled texts (``SAMPLE``), read by the driver.
 Scoring is one pass over the documents, without a shuffle.
@@ -37,11 +40,18 @@ from .labelled import held_out, logistic, training_ids
 #: Labelled texts of each class, and bytes of them, at most; the share of them that makes the dictionaries.
 SAMPLE = {1: 1500, 0: 9000}
 DICTIONARY_SHARE = 0.6
-#: Texts that a string must be in to be typical of a class.
+#: Texts, and share of a class's texts, that a string must be in to be typical (a copied passage is in fewer);
+#: how often one text's occurrences count at most.
 LEAST_TEXTS = 8
+LEAST_SHARE = {1: 0.03, 0: 0.005}
+MOST_OF_A_TEXT = 8
 SAMPLE_BYTES = 48 << 20
 WINDOW = 80
+#: Bytes of the strings held against the other class, and how much denser they must be there; by label.
+LENGTHS = {1: (6, 8, 10, 12), 0: (6,)}
+RATIO = {1: 8, 0: 20}
 GRAM = 6
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BASE_BYTES = 32 << 10
 OWN_BYTES = 16 << 10
 THRESHOLDS = (2, 4, 6, 8)
@@ -60,42 +70,77 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
 
 
 def grams(text: bytes, n: int = GRAM) -> np.ndarray:
+    """64-bit hashes of the strings of ``n`` bytes."""
     a = np.frombuffer(text, np.uint8).astype(np.uint64)
     if len(a) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(a) - n + 1, np.uint64)
     for k in range(n):
-        out = (out << np.uint64(8)) | a[k:len(a) - n + 1 + k]
+        out = out * FACTOR + a[k:len(a) - n + 1 + k] + np.uint64(1)
     return out
 
 
-def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.unique(grams(t)) for t in texts]), return_counts=True)
+def _places(text: bytes, n: int, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the text holds one of the sorted ``strings``, and which."""
+    found = grams(text, n)
+    if not len(strings) or not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    which = np.minimum(np.searchsorted(strings, found), len(strings) - 1)
+    hit = np.flatnonzero(strings[which] == found)
+    return hit, which[hit]
 
 
-def _typical(own, n_own: int, other, n_other: int, least: float, ratio: float) -> np.ndarray:
-    """Strings that at least ``least`` of a class's texts hold, ``ratio`` times as often as the other's."""
-    values, counts = own
-    at = np.minimum(np.searchsorted(other[0], values), len(other[0]) - 1)
-    there = np.where(other[0][at] == values, other[1][at], 0)
-    return values[(counts >= max(LEAST_TEXTS, least * n_own)) & (counts / n_own > ratio * (there + 0.5) / n_other)]
-
-
-def _own_strings(texts: list[bytes], typical: np.ndarray, limit: int) -> bytes:
-    """Strings of the texts that cover the typical grams, frequent ones last (nearest, cheapest to refer to)."""
-    runs: Counter[bytes] = Counter()
+def _frequent(texts: list[bytes], n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Strings that at least ``least`` texts hold, sorted, with their occurrences."""
+    values, occurrences = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for t in texts:
+        v, c = np.unique(grams(t, n), return_counts=True)
+        values.append(v)
+        occurrences.append(np.minimum(c, MOST_OF_A_TEXT).astype(np.uint8))
+    values, occurrences = np.concatenate(values), np.concatenate(occurrences)
+    order = np.argsort(values)
+    values, occurrences = values[order], occurrences[order]
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][:len(values)])
+    often = np.diff(np.r_[first, len(values)]) >= least
+    sums = np.add.reduceat(occurrences, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    return values[first][often], sums[often]
+
+
+def _typical(own: list[bytes], other: list[bytes], n: int, least: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of ``n`` bytes in at least ``least`` of a class's texts, ``ratio`` times as dense there as in the other's, and their occurrences."""
+    values, occurrences = _frequent(own, n, least)
+    there = np.zeros(len(values), np.int64)
+    for t in other:
+        which, c = np.unique(_places(t, n, values)[1], return_counts=True)
+        there[which] += np.minimum(c, MOST_OF_A_TEXT)
+    size, other_size = (sum(map(len, x)) + 1 for x in (own, other))
+    dense = occurrences / size > ratio * (there + 0.5) / other_size
+    return values[dense], occurrences[dense]
+
+
+def _own_strings(texts: list[bytes], typical: dict[int, tuple[np.ndarray, np.ndarray]], limit: int) -> bytes:
+    """Typical strings that cover the texts without overlap, most bytes first; those of most texts last (nearest).
+
+    A string that only adds its neighbours to a more frequent one overlaps it
+    wherever it occurs and is left out.
+    """
+    used: Counter[bytes] = Counter()
     for t in texts:
-        hit = np.flatnonzero(np.isin(grams(t), typical))
-        for part in np.split(hit, np.flatnonzero(np.diff(hit) > GRAM) + 1):
-            if len(part):
-                runs[t[part[0]:part[-1] + GRAM]] += 1
-    wanted, out, size = set(typical.tolist()), [], 0
-    for run, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        new = set(grams(run).tolist()) & wanted
-        if new and size + len(run) <= limit:
-            wanted -= new
-            out.append(run)
-            size += len(run)
+        parts = []
+        for n, (strings, occurrences) in typical.items():
+            hit, which = _places(t, n, strings)
+            parts.append(np.c_[occurrences[which] * -n, hit, np.full(len(hit), n)])
+        free, own = bytearray(b"\1" * len(t)), set()
+        for _, at, n in sorted(map(tuple, np.concatenate(parts).tolist())):
+            if free.find(0, at, at + n) < 0:
+                free[at:at + n] = bytes(n)
+                own.add(t[at:at + n])
+        used.update(own)
+    out, size = [], 0
+    for string, n in sorted(used.items(), key=lambda x: (-x[1] * len(x[0]), x[0])):
+        if n >= LEAST_TEXTS and size + len(string) <= limit:
+            out.append(string)
+            size += len(string)
     return b"".join(reversed(out))
 
 
@@ -140,14 +185,14 @@ def window_features(texts: list[bytes], toxic: zs.ZstdCompressor, ordinary: zs.Z
 
 def _dictionaries(own: dict[int, list[bytes]], seed: int) -> ToxicityModel:
     """Both classes' dictionaries, not calibrated yet."""
-    counts = {v: _document_counts([t for t in x if len(t) >= GRAM] or [b" " * GRAM]) for v, x in own.items()}
-    strings = {
-        1: _own_strings(own[1], _typical(counts[1], len(own[1]), counts[0], len(own[0]), 0.01, 20), OWN_BYTES),
-        0: _own_strings(own[0], _typical(counts[0], len(own[0]), counts[1], len(own[1]), 0.005, 20), OWN_BYTES)}
+    least = {v: max(LEAST_TEXTS, LEAST_SHARE[v] * len(x)) for v, x in own.items()}
+    typical = {v: {n: _typical(own[v], own[1 - v], n, least[v], RATIO[v]) for n in LENGTHS[v]} for v in own}
+    strings = {v: _own_strings(own[v], typical[v], OWN_BYTES) for v in own}
     pieces = [w for t in own[0] for w in windows(t, 256)]
     random.Random(seed).shuffle(pieces)
+    pieces = [w for w in pieces[:20000] if not any(len(_places(w, n, x)[0]) for n, (x, _) in typical[1].items())]
     try:
-        base = zs.train_dictionary(BASE_BYTES, pieces[:20000]).as_bytes()[1024:]
+        base = zs.train_dictionary(BASE_BYTES, pieces).as_bytes()[1024:]
     except zs.ZstdError:  # too little text to train on
         base = b"".join(pieces)[:BASE_BYTES]
     return ToxicityModel(strings[1] + base, strings[0] + base, np.zeros(0), np.zeros(0), np.ones(0))

@@ -54,10 +54,32 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     out = T.op2_toxicity(spark, SF).cache()
-    # two fifths of these toxic texts hold nothing that another one holds
+    # the labels of a language's toxic texts are learned from few of them (16 Spanish ones)
     assert held_out_auc(out, spark.read.parquet(f"{SF}/labels.parquet"), "toxic") > 0.8
 
 
+def test_toxicity_held_out_in_every_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").cache()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = T.fit_toxicity(*T.sample_texts(docs.select("doc_id", "text"), labels))
+    held = docs.join(labels, "doc_id").where(held_out())
+    rows = T.score_toxicity(held, model).join(held, "doc_id").select("lang", "score", "toxic").collect()
+    for lang, least in (("en", 0.95), ("de", 0.9), ("es", 0.9), ("fr", 0.86)):
+        own = [(r[1], r[2]) for r in rows if r[0] == lang]
+        assert auc(*zip(*own)) > least, lang
+    assert sum(r[2] == 1 and r[1] >= 0.5 for r in rows) >= 0.7 * sum(r[2] == 1 for r in rows)
+
+
+def test_toxic_stems_with_varied_endings(spark):
+    rng = random.Random(4)
+    plain = [b" ".join(rng.choice((b"ort", b"lante", b"misch", b"quelle", b"dorn")) + bytes(rng.choices(b"abcdefgh", k=4))
+                       for _ in range(120)) for _ in range(200)]
+    toxic = [b" ".join(w if rng.random() > 0.05 else b"achlich" + w[-4:] for w in t.split()) for t in plain[:60]]
+    rare = [t.replace(b" ort", b" achlich", 1) if i % 5 == 0 else t for i, t in enumerate(plain[60:])]
+    strings = T._own_strings(toxic, {n: T._typical(toxic, rare, n, T.LEAST_TEXTS, T.RATIO[1]) for n in T.LENGTHS[1]}, 1000)
+    assert b" achlich" in strings
+
+
 def test_rules_compile_to_columns(spark):
     rules = Q.tree_rules("Tree 0\n  If (feature 0 <= 1.5)\n   If (feature 1 <= 2.0)\n    Predict: 0.0\n"
                          "   Else (feature 1 > 2.0)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n")
