@@ -5,7 +5,7 @@ on: the columns of ``documents``, and in the end the mix, one row per document
 taken with the words it takes.
 
 * quality: documents that the rule ensemble scores under 0.3 go;
-* lines: lines on more than a tenth of a source's documents go, ``n_chars`` follows;
+* lines: lines on more than a fiftieth of a source's different texts (5 at least) go, ``n_chars`` follows;
 * near duplicates: one document of each class (5-word Jaccard of 0.8 or more) stays;
 * decontamination: documents with a 10-word benchmark window go;
 * mixing: sources weighed 1, 2, 3 repeating, 3 epochs at most; a document that
@@ -27,6 +27,9 @@ from equiwatch.llm.neardup import keep_one
 from equiwatch.llm.quality import fit_quality, reject_low_quality
 from equiwatch.session import scratch_path
 
+#: A source is a whole site here: a line planted all over it is still on few of its documents.
+LINE_RATIO = 0.02
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -34,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = drop_boilerplate(docs)
+    kept = drop_boilerplate(docs, ratio=LINE_RATIO, copies_once=True)
     if "n_chars" not in docs.columns:
         return kept
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

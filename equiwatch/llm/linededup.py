@@ -3,7 +3,9 @@
 Within a host, a line is boilerplate if more than ``ratio`` of the host's pages
 hold it (and at least ``min_pages`` pages do, so that a host of a few pages
 keeps its lines).  A page counts a line once.  Lines are compared without blanks
-at either end; blank lines are never counted or dropped.
+at either end; blank lines are never counted or dropped.  With ``copies_once`` pages
+of a host with the same text count as one, so that many copies of a page don't
+make its own lines boilerplate.
 
 A host has at most (mean lines per page) / ``ratio`` boilerplate lines, so their
 digests travel as one small array per host; pages and lines are counted by
@@ -30,23 +32,28 @@ def _stripped(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int,
+                copies_once: bool = False) -> DataFrame:
     """One row per host that has boilerplate: ``_ew_host`` and the digests of its lines."""
     own = F.array_distinct(F.transform(_lines(F.col(text)), _stripped))
-    lines = (docs.select(F.col(host).alias("_ew_host"), F.explode(own).alias("_ew_line"))
+    page = [F.xxhash64(F.col(text)).alias("_ew_page")] if copies_once else []
+    lines = (docs.select(F.col(host).alias("_ew_host"), *page, F.explode(own).alias("_ew_line"))
              .where(F.col("_ew_line") != "")
-             .select("_ew_host", F.md5("_ew_line").alias("_ew_digest")))
+             .withColumn("_ew_digest", F.md5("_ew_line")).drop("_ew_line"))
+    sites = docs.select(F.col(host).alias("_ew_site"), *page)
+    if copies_once:
+        lines, sites = lines.distinct(), sites.distinct()
     counts = lines.groupBy("_ew_host", "_ew_digest").agg(F.count(F.lit(1)).alias("_ew_n")).where(F.col("_ew_n") >= min_pages)
-    pages = docs.groupBy(F.col(host).alias("_ew_site")).agg(F.count(F.lit(1)).alias("_ew_pages"))
+    pages = sites.groupBy("_ew_site").agg(F.count(F.lit(1)).alias("_ew_pages"))
     return (counts.join(pages, F.col("_ew_host").eqNullSafe(F.col("_ew_site")))
             .where(F.col("_ew_n") > F.lit(ratio) * F.col("_ew_pages"))
             .groupBy("_ew_host").agg(F.collect_list("_ew_digest").alias("_ew_common")))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", *, ratio: float = 0.1,
-                     min_pages: int = 5, counts: bool = False) -> DataFrame:
+                     min_pages: int = 5, counts: bool = False, copies_once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; ``counts`` adds n_lines and n_dropped."""
-    common = boilerplate(docs, host, text, ratio, min_pages)
+    common = boilerplate(docs, host, text, ratio, min_pages, copies_once)
     lines = _lines(F.col(text))
     kept = F.when(F.col("_ew_common").isNull(), lines).otherwise(F.filter(
         lines, lambda x: (_stripped(x) == "") | ~F.array_contains(F.col("_ew_common"), F.md5(_stripped(x)))))

@@ -55,6 +55,28 @@ def test_pipeline_stage_by_stage(spark):
     assert all(abs(r[1] - r[2]) <= 0.05 * r[2] + 50 or abs(r[2] - r[1]) <= 0.05 * r[1] + 50 for r in taken)
 
 
+def test_line_stage_drops_planted_lines_in_every_source(spark):
+    rows, planted = [], "Subscribe to our letter and never miss a word."
+    for s in range(3):
+        for k in range(400):
+            lines = [f"line {k} of source {s}", "on five pages" if k < 5 else f"more of {k}", *([planted] if k % 30 == s else [])]
+            rows.append((len(rows), "\n".join(lines), f"s{s}"))
+        rows += [(len(rows) + i, f"copied page of source {s}\nwith its own end", f"s{s}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, docs, SF).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x != planted) for i, t, _ in rows}
+
+
+def test_line_stage_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
+    line = "The and attion to thanedble the, anea."
+    held = docs.where(docs.text.contains("\n" + line))
+    assert held.select("source").distinct().count() == 20
+    out = P.line_dedup(spark, docs, SF).cache()
+    assert not any(x.strip().startswith(line) for r in out.where(out.text.contains(line)).collect() for x in r["text"].split("\n"))
+    assert out.where("trim(text) = ''").count() == docs.where("trim(text) = ''").count()
+
+
 def test_stages_on_odd_rows(spark):
     docs = odd_docs(spark)
     for name, stage in P.STAGES:
