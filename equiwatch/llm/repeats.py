@@ -1,10 +1,11 @@
 """Removal of long byte strings that occur more than once (suffix-array dedup).
 
 Which bytes are covered by a ``LENGTH``-byte string that also starts somewhere
-else is found by merging the Burrows-Wheeler orders of shards: the interleave of
-the shards' rows is refined a symbol at a time by a stable partition, and the
-common prefixes of neighbours follow from each refinement, so suffixes are never
-sorted again.  To do that in bounded pieces, rows are aligned first:
+else is found by a positional sort: rows aligned at anchors are ordered a symbol
+at a time by a stable partition, and the common parts of neighbours follow from
+each step.  It takes the place of a merge of shards' Burrows-Wheeler transforms,
+which would need a pass over the whole corpus per byte; no shard has an order of
+its own.
 
 1. Every window of ``LENGTH`` bytes has an anchor, its least hashed 32-byte gram
    (the last of equal ones).  Equal windows have equal anchors at equal places,
@@ -13,8 +14,8 @@ sorted again.  To do that in bounded pieces, rows are aligned first:
 2. Copies of a text are one row with a count: a text that occurs twice is covered
    as a whole.  Anchors that occur once are dropped by a partial aggregate.
 3. For the others, the bytes of all windows of an anchor (its segment) go to the
-   anchor's partition.  There every Arrow batch is a shard; the shards' segments,
-   aligned at the anchor, are merged column by column (``merge_shards``).  After a
+   anchor's partition.  There the Arrow batches are joined and the segments,
+   aligned at the anchor, are sorted column by column (``merge_shards``).  After a
    column the rows stand in the order of their reversed prefixes, each with the
    column where its common part with its neighbour begins; a window is repeated if
    that reaches back ``LENGTH`` bytes on either side.
@@ -122,8 +123,8 @@ def merge_shards(bucket: np.ndarray, segment: np.ndarray, offsets: np.ndarray, l
     """Repeated windows of aligned segments: row i, column j means the window at ``j - (LENGTH - GRAM)`` from its anchor.
 
     ``bucket`` (sorted) numbers the anchors, ``left`` is the bytes before a row's
-    anchor.  The interleave starts as the rows come, shard after shard, and is
-    refined by one column of bytes at a time.
+    anchor.  The order starts as the rows come and is refined by one column of
+    bytes at a time.
     """
     n, size = len(bucket), np.diff(offsets)
     right = size - left
