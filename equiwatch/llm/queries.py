@@ -9,6 +9,7 @@ from .mixing import OP5_SQL, op5_source_mixing
 from .neardup import op3_ngram_join
 from .nearest import op4_nearest
 from .quality import op9_quality_rules
+from .repair import op12_repair
 from .repeats import op10_repeats
 from .simhash import op11_simhash
 from .toxicity import op2_toxicity
@@ -22,6 +23,6 @@ def pipeline(spark, sf_dir: str):
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_toxicity, op3_ngram_join, op4_nearest, op5_source_mixing, op6_line_dedup, op7_chat_format,
-    op8_url_filter, op9_quality_rules, op10_repeats, op11_simhash, pipeline)}
+    op8_url_filter, op9_quality_rules, op10_repeats, op11_simhash, op12_repair, pipeline)}
 
 SQL = {"op5_source_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL}
