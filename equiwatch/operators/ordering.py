@@ -1,4 +1,4 @@
-"""Scalable global order: row numbers, ranks within a few groups, exact quantiles.
+"""Scalable global order: row numbers, ranks within a few groups, running sums.
 
 An unpartitioned ``row_number() OVER (ORDER BY …)`` moves every row into one
 task.  Instead:
@@ -71,51 +71,3 @@ def global_rank(df: DataFrame, order_by: Sequence[str | Column], out: str = "row
     joined = tagged.join(offsets, same).drop("_opid", *[f"_o_{g}" for g in groups])
     return (joined.withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long"))
             .drop("_pid", "_mid", "_first", "_before"))
-
-
-def quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]]) -> DataFrame:
-    """Exact linear-interpolation percentiles from one distributed sort.
-
-    Returns one row with a column per spec name; same formula as Spark's
-    ``percentile``: position = p·(n−1), value = (hi−pos)·x[lo] + (pos−lo)·x[hi].
-    """
-    spark = df.sparkSession
-    exprs: list[Column] = []
-    index: dict[str, int] = {}
-    spec_rows = []
-    for name, (e, p) in specs.items():
-        key = str(e._jc.toString()) if hasattr(e, "_jc") else repr(e)
-        if key not in index:
-            index[key] = len(exprs)
-            exprs.append(e.cast("double"))
-        spec_rows.append((name, index[key], float(p)))
-    long = (df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), e.alias("_v"))
-                                          for k, e in enumerate(exprs)])).alias("_kv"))
-            .select("_kv._k", "_kv._v").where(F.col("_v").isNotNull())
-            # tiebreaker: a value held by a third of the rows still spreads over
-            # several range partitions (order among equal values is irrelevant)
-            .withColumn("_tb", F.monotonically_increasing_id()))
-    ranked = global_rank(long, ["_v", "_tb"], out="_r", groups=["_k"])
-    counts = ranked.groupBy("_k").agg(F.max("_r").alias("_n"))
-    sp = spark.createDataFrame(spec_rows, "_name string, _k int, _p double")
-    pos = (F.col("_n") - 1).cast("double") * F.col("_p")
-    want = (sp.join(counts, "_k")
-            .withColumn("_pos", pos)
-            .withColumn("_lo", F.floor("_pos").cast("long"))
-            .withColumn("_hi", F.ceil("_pos").cast("long")))
-    picks = want.select("_name", "_k", F.explode(F.array(F.col("_lo"), F.col("_hi"))).alias("_idx")).distinct()
-    vals = (ranked.join(F.broadcast(picks), (ranked._k == picks._k) & (ranked._r == picks._idx + 1))
-            .select("_name", "_idx", "_v"))
-    v_lo = vals.select("_name", F.col("_idx").alias("_lo"), F.col("_v").alias("_x_lo"))
-    v_hi = vals.select("_name", F.col("_idx").alias("_hi"), F.col("_v").alias("_x_hi"))
-    res = want.join(v_lo, ["_name", "_lo"], "left").join(v_hi, ["_name", "_hi"], "left")
-    value = (F.when(F.col("_lo") == F.col("_hi"), F.col("_x_lo"))
-              .when(F.col("_x_lo") == F.col("_x_hi"), F.col("_x_lo"))
-              .otherwise((F.col("_hi").cast("double") - F.col("_pos")) * F.col("_x_lo")
-                         + (F.col("_pos") - F.col("_lo").cast("double")) * F.col("_x_hi")))
-    res = res.select("_name", value.alias("_value"))
-    names = list(specs.keys())
-    one = res.agg(*[F.max(F.when(F.col("_name") == nm, F.col("_value"))).alias(nm) for nm in names])
-    # Columns without a single non-null value give NULL, as ``percentile`` does.
-    return one
-

@@ -30,8 +30,7 @@ def _c(name: str):
 
 
 def medians(df: DataFrame, cols: Sequence[str], method: str = "exact") -> dict[str, float | None]:
-    """Exact medians (even counts average the middle pair), all columns at once;
-    large-cardinality columns go through the distributed sort (see labels)."""
+    """Exact medians (even counts average the middle pair), all columns at once."""
     if not cols:
         return {}
     from .labels import percentiles
