@@ -2,9 +2,9 @@
 
 ``classification_metrics`` is one aggregate (four ``count_if`` per target, all
 targets in one pass).  ``roc_auc`` is exact with tied scores averaged: rows
-are ranked by score with the distributed ``global_rank``; tied scores are
-then grouped (a hot score value collapses map-side) to their average rank,
-and AUC = (Σ_pos avg_rank − P(P+1)/2) / (P·N).
+are first grouped by score (a hot score collapses map-side), running sums of
+the counts along the distinct scores give each its average rank, and
+AUC = (Σ_pos avg_rank − P(P+1)/2) / (P·N).  No row is ranked on its own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_rate
 from .fairness import Target
-from .ordering import global_rank
+from .ordering import running_sums
 
 
 def classification_metrics(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
@@ -37,20 +37,13 @@ def classification_metrics(df: DataFrame, targets: Sequence[Target]) -> DataFram
              .select("target", "n", "accuracy", "precision", "recall", "f1"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, key: str | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: n_pos, n_neg, auc (NULL with a single class)."""
-    base = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"),
-                     *([F.col(key).alias("_key")] if key else []))
+    base = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
     base = base.where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
-    if not key:
-        # Tie order does not matter (ties get their average rank), but a tiebreaker
-        # lets the range partitioner split a hot score across partitions.
-        base = base.withColumn("_key", F.monotonically_increasing_id())
-    ranked = global_rank(base, ["_s", "_key"], out="_r")
-    ties = (ranked.groupBy("_s")
-            .agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"),
-                 F.count_if(F.col("_y") == 1).alias("_pos"), F.count(F.lit(1)).alias("_cnt")))
-    avg_rank = (F.col("_lo") + F.col("_hi")).cast("double") / F.lit(2.0)
+    scores = base.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
+    ties = running_sums(scores, ["_s"], {"_upto": "_cnt"})
+    avg_rank = F.col("_upto").cast("double") - (F.col("_cnt") - 1).cast("double") / F.lit(2.0)
     tot = ties.agg(F.sum(F.col("_pos")).alias("n_pos"), F.sum(F.col("_cnt") - F.col("_pos")).alias("n_neg"),
                    F.sum(F.col("_pos").cast("double") * avg_rank).alias("_rsum"))
     P, N = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")

@@ -54,9 +54,9 @@ def _auc_frame(spark, sf, score):
 
 @register("roc_auc", "EVAL-2", _auc_sql("o_totalprice"))
 def q_roc_auc(spark, sf):
-    return finish(M.roc_auc(_auc_frame(spark, sf, F.col("o_totalprice")), "y", "s", key="o_orderkey"))
+    return finish(M.roc_auc(_auc_frame(spark, sf, F.col("o_totalprice")), "y", "s"))
 
 
 @register("roc_auc_ties", "EVAL-2", _auc_sql("floor(o_totalprice / 50000)"))
 def q_roc_auc_ties(spark, sf):
-    return finish(M.roc_auc(_auc_frame(spark, sf, F.floor(F.col("o_totalprice") / 50000)), "y", "s", key="o_orderkey"))
+    return finish(M.roc_auc(_auc_frame(spark, sf, F.floor(F.col("o_totalprice") / 50000)), "y", "s"))

@@ -9,7 +9,7 @@ from ..operators import fairness as fz
 from ..operators import labels as L
 from ..operators import names as N
 from ..operators import sampling as SM
-from ..operators.ordering import global_rank
+from ..operators.ordering import global_rank, running_sums
 from ..sources.tables import table
 from . import sqltext as S
 from .registry import finish, register
@@ -115,6 +115,33 @@ def q_global_rank(spark, sf):
     return global_rank(li, ["l_shipdate", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "row_id")
 
 
+_RUN = "rows BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+@register("global_running_sum", "ORD-0", f"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, CAST(l_quantity AS BIGINT) AS quantity,
+                  CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+                  CASE WHEN l_linenumber % 3 > 0 THEN l_orderkey END AS part_key FROM lineitem),
+o AS (SELECT *, sum(quantity) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, cents, quantity, l_returnflag {_RUN}) AS q,
+             sum(cents) OVER (PARTITION BY l_returnflag
+                              ORDER BY l_shipdate, l_orderkey, l_linenumber, cents, quantity {_RUN}) AS c,
+             sum(part_key) OVER (PARTITION BY l_returnflag
+                             ORDER BY l_shipdate, l_orderkey, l_linenumber, cents, quantity {_RUN}) AS s FROM t)
+SELECT l_orderkey, l_linenumber, CAST(q AS BIGINT) AS quantity_to_date, CAST(c AS BIGINT) AS cents_of_flag_to_date,
+       CAST(s AS BIGINT) AS some_of_flag_to_date FROM o
+""")
+def q_global_running_sum(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", F.col("l_quantity").cast("bigint").alias("quantity"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "cents", "quantity"]
+    whole = running_sums(li, [*order, "l_returnflag"], {"quantity_to_date": "quantity"})
+    some = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_orderkey"))
+    return running_sums(whole, order, {"cents_of_flag_to_date": "cents", "some_of_flag_to_date": some},
+                        groups=["l_returnflag"]).select(
+        "l_orderkey", "l_linenumber", "quantity_to_date", "cents_of_flag_to_date", "some_of_flag_to_date")
+
+
 @register("assign_batches", "BATCH-1", f"""
 WITH d AS (SELECT o_orderkey, {_HD7} AS draw FROM orders WHERE {_HD7} < 0.35),
 r AS (SELECT o_orderkey, row_number() OVER (ORDER BY draw, o_orderkey) AS position FROM d)

@@ -264,3 +264,44 @@ def test_constants_are_subqueries_not_joins(spark):
     lo, hi = int(pos), min(int(pos) + 1, len(vals) - 1)
     p55 = vals[lo] + (vals[hi] - vals[lo]) * (pos - lo)
     assert out.where("rts = 1").count() == sum(v >= p55 for v in vals)
+
+
+def test_running_sums_match_a_window(spark):
+    from pyspark.sql import Window
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("k"), (F.col("id") % 3).cast("string").alias("g"),
+                                  F.when(F.col("id") % 4 > 0, F.col("id") - 1500).alias("v"),
+                                  (F.col("id") / 8).alias("d")).withColumn("g", F.when(F.col("g") != "1", F.col("g")))
+    out = O.running_sums(df, ["k"], {"v_sum": "v", "d_sum": F.col("d") * 2}, groups=["g"], partitions=7)
+    w = Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(w).alias("v_sum"), F.sum(F.col("d") * 2).over(w).alias("d_sum"))
+    assert out.columns == want.columns and out.schema["v_sum"].dataType.simpleString() == "bigint"
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    hot = spark.range(500).select(F.lit(1).alias("v"), F.col("id"))
+    assert {r["s"] for r in O.running_sums(hot, ["v", "id"], {"s": "v"}).collect()} == set(range(1, 501))
+    assert O.running_sums(hot.limit(0), ["v"], {"s": "v"}).collect() == []
+    with pytest.raises(Exception, match="range of bigint|long overflow"):
+        O.running_sums(spark.createDataFrame([(1, 2**62), (2, 2**62)], "k int, v long"), ["k"], {"s": "v"}).collect()
+
+
+def test_ema_of_many_series_over_partitions(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(s, t, rnd.choice([None, float("nan"), rnd.random(), rnd.random()]), rnd.random())
+            for s, n in (("long", 700), (None, 90), *((f"s{i}", 1 + i % 4) for i in range(60))) for t in range(n)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, t int, v double, w double")
+    want = {}
+    for s, t, v, x in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        old_v, old_w = want.get((s, t - 1), (None, None))
+        if v is not None and v == v:
+            old_v = v if old_v is None else 0.3 * v + 0.7 * old_v
+        want[s, t] = old_v, x if old_w is None else 0.3 * x + 0.7 * old_w
+    for block in (3, 64):
+        out = ema(df, ["v", "w"], step="t", series=["s"], alpha=0.3, block=block, partitions=9)
+        got = {(r["s"], r["t"]): (r["v_smoothed"], r["w_smoothed"]) for r in out.collect()}
+        assert set(got) == set(want)
+        for k in want:
+            for a, b in zip(got[k], want[k]):
+                assert a == b or abs(a - b) < 1e-12
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
