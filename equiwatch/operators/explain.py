@@ -2,30 +2,36 @@
 
 Method: Lundberg, Erion & Lee, "Consistent Individualized Feature Attribution
 for Tree Ensembles" (2018).  For one root-to-leaf path with distinct features
-P (|P| = m), feature j has a *zero fraction* zⱼ (product of the cover ratios of
-its splits on the path) and a *one fraction* oⱼ(x) (1 if x satisfies all of its
-splits).  The leaf's value function is v(S) = value·∏_{j∈S} oⱼ·∏_{j∉S} zⱼ, and
-its exact Shapley value for i ∈ P is
-
-    φᵢ = value · (oᵢ − zᵢ) · Σₖ k!(m−1−k)!/m! · [tᵏ] ∏_{j∈P, j≠i} (zⱼ + oⱼ t).
-
-Summing over leaves and trees (times the tree weights) gives the attribution;
-the expected value is Σ value·∏ zⱼ.  Attributions plus expected value equal the
-model output for every row (margin for boosting, P(class 1) for forests).
-
-Execution: the trees are read from the saved model (bounded by the model's
-size parameters, not the data), broadcast once, and evaluated with numpy over
-whole Arrow batches inside ``mapInPandas`` — no per-row Python loop.
+P, feature j has a *zero fraction* zⱼ (product of the cover ratios of its splits
+on the path) and a *one fraction* oⱼ(x) (1 if x satisfies all of its splits).  The
+leaf's value function is v(S) = value·∏_{j∈S} oⱼ·∏_{j∉S} zⱼ; with the weights written
+as ∫ sᵏ(1−s)^{m−1−k} ds, its exact Shapley value for i ∈ P is
+
+    φᵢ = value · (oᵢ − zᵢ) · ∫₀¹ ∏_{j∈P, j≠i} (zⱼ(1−s) + oⱼ s) ds,
+
+a polynomial in s of degree m − 1, so ⌈m/2⌉ Gauss–Legendre nodes give the integral
+without error.  Summing over leaves and trees (times the tree weights) gives the
+attribution; the expected value is Σ value·∏ zⱼ.  Attributions plus expected value
+equal the model output for every row (margin for boosting, P(class 1) for forests).
+
+Execution: the nodes are a table, read from the saved model and never collected.
+Trees are dealt into shards of about ``SHARD_NODES`` nodes and rows into blocks of
+about ``BLOCK_ROWS``; a cell of the two is one cogroup, and the shards' parts of a
+row are summed by an aggregate.  A tree as a whole is one task's at least (Spark's
+own model holds all of them on the driver).  Within a cell a tree is walked once
+for all rows.  Rows with the same one fractions on the path so far are one group; a
+subtree whose splits leave ``CODES`` groups at most is worked out per group that
+occurs, and handed to the rows by one lookup a feature.
 """
 
 from __future__ import annotations
 
-import math
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -34,217 +40,211 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 
-
-#: Ensembles read from their models in this session, the latest ones.
-KEPT_ENSEMBLES = 4
-
-
-@dataclass
-class Leaf:
-    value: float
-    features: np.ndarray        # distinct feature indices on the path
-    zero: np.ndarray            # zero fraction per feature
-    conds: list                 # per feature: list of (kind, threshold-or-cats, go_left)
-
-
-def _tree_leaves(nodes: dict[int, dict], value_of, cover_of) -> list[Leaf]:
-    leaves: list[Leaf] = []
-
-    def walk(nid: int, path: list):
-        nd = nodes[nid]
-        if nd["leftChild"] < 0:
-            feats: dict[int, list] = {}
-            zero: dict[int, float] = {}
-            for f, kind, arg, left, ratio in path:
-                feats.setdefault(f, []).append((kind, arg, left))
-                zero[f] = zero.get(f, 1.0) * ratio
-            order = sorted(feats)
-            leaves.append(Leaf(value_of(nd), np.array(order, dtype=np.int64),
-                               np.array([zero[f] for f in order]), [feats[f] for f in order]))
-            return
-        sp = nd["split"]
-        f = int(sp["featureIndex"])
-        parent = cover_of(nd)
-        if sp["numCategories"] is not None and sp["numCategories"] >= 0:
-            kind, arg = "cat", np.array(sp["leftCategoriesOrThreshold"], dtype=float)
-        else:
-            kind, arg = "num", float(sp["leftCategoriesOrThreshold"][0])
-        for child, left in ((nd["leftChild"], True), (nd["rightChild"], False)):
-            ratio = cover_of(nodes[child]) / parent if parent > 0 else 0.0
-            walk(child, path + [(f, kind, arg, left, ratio)])
-
-    walk(0, [])
-    return leaves
-
-
-_ENSEMBLES: dict[str, tuple] = {}
+#: Nodes of a shard of trees, rows of a block, and groups of a subtree that are worked out together.
+SHARD_NODES, BLOCK_ROWS, CODES = 1 << 13, 1 << 15, 1 << 11
 
 
-def read_ensemble(model, path: str | None = None) -> tuple[list[list[Leaf]], np.ndarray, str]:
-    """Leaves of every tree, tree weights, and the output kind ("margin"/"probability").
-    Read once per model (keyed by its uid)."""
-    if model.uid in _ENSEMBLES:
-        return _ENSEMBLES[model.uid]
-    out = _read_ensemble(model, path)
-    while len(_ENSEMBLES) >= KEPT_ENSEMBLES:
-        _ENSEMBLES.pop(next(iter(_ENSEMBLES)))
-    _ENSEMBLES[model.uid] = out
-    return out
+def tree_nodes(model, path: str | None = None) -> DataFrame:
+    """One row per node of a saved ensemble (saved to ``path`` or a scratch folder here).
 
-
-def _read_ensemble(model, path: str | None = None) -> tuple[list[list[Leaf]], np.ndarray, str]:
+    tree, node, left, right (-1: none), feature, threshold, categories (those that
+    go left; null at a threshold), value, cover, weight.
+    """
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    path = path or scratch_path(spark, "tree-model")
-    model.write().overwrite().save(path)
-    rows = spark.read.parquet(os.path.join(path, "data")).select("treeID", "nodeData").collect()
-    by_tree: dict[int, dict[int, dict]] = {}
-    for r in rows:
-        nd = r["nodeData"].asDict(recursive=True)
-        by_tree.setdefault(int(r["treeID"]), {})[int(nd["id"])] = nd
+    if path is None:
+        path = scratch_path(spark, "tree-model")
+        model.write().overwrite().save(path)
+    rows = spark.read.parquet(os.path.join(path, "data")).select(F.col("treeID").alias("tree"), "nodeData.*")
+    total = F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x)
     if isinstance(model, GBTClassificationModel):
-        weights = np.array(model.treeWeights, dtype=float)
-
-        def value_of(nd):
-            return float(nd["prediction"])
-
-        def cover_of(nd):
-            return float(nd["impurityStats"][0])
-        kind = "margin"
+        value, cover = F.col("prediction"), F.get("impurityStats", F.lit(0))
+        weight = F.get(F.array(*[F.lit(float(w)) for w in model.treeWeights]), F.col("tree"))
     elif isinstance(model, RandomForestClassificationModel):
-        weights = np.full(len(by_tree), 1.0 / len(by_tree))
-
-        def value_of(nd):
-            s = nd["impurityStats"]
-            tot = float(sum(s))
-            return float(s[1]) / tot if tot > 0 and len(s) > 1 else 0.0
-
-        def cover_of(nd):
-            return float(sum(nd["impurityStats"]))
-        kind = "probability"
+        value = F.when(total > 0, F.coalesce(F.get("impurityStats", F.lit(1)), F.lit(0.0)) / total).otherwise(F.lit(0.0))
+        cover, weight = total, F.lit(1.0 / model.getNumTrees)
     else:
         raise TypeError("tree attributions need a GBT or random forest classification model")
-    trees = [_tree_leaves(by_tree[t], value_of, cover_of) for t in sorted(by_tree)]
-    return trees, weights, kind
-
-
-def pattern_attributions(follows: list[np.ndarray], leaf: Leaf) -> tuple[np.ndarray, np.ndarray]:
-    """(φ of each pattern that occurs, the pattern of each row) for one leaf.
-
-    One fractions are 0 or 1, so a row's contribution from this leaf depends only
-    on which of its m features it follows; φ is worked out once per pattern found
-    in the batch, which are far fewer than rows or than the 2^m possible ones."""
-    m = len(follows)
-    if m > 62:
-        rows, which = np.unique(np.stack(follows, axis=1), axis=0, return_inverse=True)
-        return leaf_attribution(rows.astype(float), leaf.zero, leaf.value), which.ravel()
-    code = np.zeros(len(follows[0]), dtype=np.int64)
-    for j, o in enumerate(follows):
-        code |= o.astype(np.int64) << j
-    if m <= 16:
-        seen = np.zeros(1 << m, dtype=bool)
-        seen[code] = True
-        found = np.flatnonzero(seen)
-        place = np.zeros(1 << m, dtype=np.int64)
-        place[found] = np.arange(len(found))
-        which = place[code]
-    else:
-        found, which = np.unique(code, return_inverse=True)
-    patterns = ((found[:, None] >> np.arange(m)[None, :]) & 1).astype(float)
-    return leaf_attribution(patterns, leaf.zero, leaf.value), which
-
-
-def _follows(x: np.ndarray, conds: list) -> np.ndarray:
-    ok = np.ones(x.shape[0], dtype=bool)
-    for kind, arg, left in conds:
-        if kind == "num":
-            goes_left = x <= arg
-        else:
-            goes_left = np.isin(x, arg)
-        ok &= goes_left if left else ~goes_left
-    return ok
-
-
-def _shapley_weights(m: int) -> np.ndarray:
-    return np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+    grouped = F.col("split.numCategories") >= 0
+    return rows.select(
+        "tree", F.col("id").alias("node"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+        F.col("split.featureIndex").alias("feature"),
+        F.when(~grouped, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        F.when(grouped, F.col("split.leftCategoriesOrThreshold")).alias("categories"),
+        value.cast("double").alias("value"), cover.cast("double").alias("cover"), weight.alias("weight"))
 
 
 def leaf_attribution(one: np.ndarray, zero: np.ndarray, value: float) -> np.ndarray:
-    """φ (n, m) for one leaf from one fractions (n, m) and zero fractions (m,)."""
-    n, m = one.shape
-    poly = np.zeros((n, m + 1))
-    poly[:, 0] = 1.0
-    for j in range(m):
-        nxt = poly * zero[j]
-        nxt[:, 1:] += poly[:, :-1] * one[:, j:j + 1]
-        poly = nxt
-    w = _shapley_weights(m)
-    phi = np.empty((n, m))
-    for i in range(m):
-        z, o = zero[i], one[:, i]
-        # Divide the full product by (z + o·t), per row (o is 0 or 1).
-        q_one = np.empty((n, m))
-        q_one[:, m - 1] = poly[:, m]
-        for k in range(m - 1, 0, -1):
-            q_one[:, k - 1] = poly[:, k] - z * q_one[:, k]
-        q_zero = poly[:, :m] / z if z > 0 else np.zeros((n, m))
-        q = np.where(o[:, None] > 0.5, q_one, q_zero)
-        phi[:, i] = value * (o - z) * (q @ w)
-    return phi
-
-
-def ensemble_attributions(x: np.ndarray, trees, weights) -> tuple[np.ndarray, float, np.ndarray]:
-    """(φ (n, F), expected value, model output (n,)) for a batch of rows."""
-    n, nf = x.shape
-    phi_t = np.zeros((nf, n))          # feature-major: each update is a contiguous 1-D add
-    expected = 0.0
-    output = np.zeros(n)
-    cols = [np.ascontiguousarray(x[:, f]) for f in range(nf)]
-    for leaves, wt in zip(trees, weights):
-        for leaf in leaves:
-            expected += wt * leaf.value * float(np.prod(leaf.zero)) if len(leaf.zero) else wt * leaf.value
-            if len(leaf.features) == 0:
-                output += wt * leaf.value
+    """φ (n, m) for one leaf from one fractions (n, m), 0 or 1, and zero fractions (m,)."""
+    m = one.shape[1]
+    nodes, weights = np.polynomial.legendre.leggauss(ceil(m / 2))
+    out = np.zeros(one.shape)
+    for s, w in zip((nodes + 1) / 2, weights / 2, strict=True):
+        t = zero * (1 - s) + one * s
+        whole = w * t.prod(axis=1, keepdims=True)
+        np.add(out, np.divide(whole, t, out=np.zeros_like(t), where=t > 0), out=out)  # t = 0 only where o = z = 0
+    return value * (one - zero) * out
+
+
+class Tree:
+    """One tree's nodes as arrays in the order of their numbers (a node comes before its subtree)."""
+
+    def __init__(self, columns: dict[str, np.ndarray], categories: Sequence):
+        self.left, self.right, self.feature = columns["left"], columns["right"], columns["feature"]
+        self.threshold, self.value, self.cover = columns["threshold"], columns["value"], columns["cover"]
+        self.weight, self.categories = float(columns["weight"][0]), categories
+        self.splits = np.zeros(len(self.left), np.int64)  # below a node, itself included
+        for i in range(len(self.left) - 1, -1, -1):
+            if self.left[i] >= 0:
+                self.splits[i] = 1 + self.splits[self.left[i]] + self.splits[self.right[i]]
+
+    def goes_left(self, node: int, x: np.ndarray) -> np.ndarray:
+        own = x[self.feature[node]]
+        kinds = self.categories[node]
+        return own <= self.threshold[node] if kinds is None else np.isin(own, kinds)
+
+    def children(self, node: int):
+        """(child, whether it is the left one, its share of the node's cover)."""
+        for child, left in ((int(self.left[node]), True), (int(self.right[node]), False)):
+            yield child, left, self.cover[child] / self.cover[node] if self.cover[node] > 0 else 0.0
+
+
+def trees_of(nodes: pa.Table) -> list[Tree]:
+    """The trees of a table of nodes, in the order of their numbers."""
+    nodes = nodes.sort_by([("tree", "ascending"), ("node", "ascending")])
+    columns = {c: nodes[c].to_numpy() for c in ("tree", "node", "left", "right", "feature", "threshold", "value", "cover", "weight")}
+    categories = [None if c is None else np.array(c, float) for c in nodes["categories"].to_pylist()]
+    cuts = np.flatnonzero(np.diff(columns["tree"])) + 1
+    bounds = zip([0, *cuts.tolist()], [*cuts.tolist(), len(nodes)], strict=True)
+    return [Tree({c: v[lo:hi] for c, v in columns.items()}, categories[lo:hi]) for lo, hi in bounds if hi > lo]
+
+
+class _Sums:
+    """Attributions (features x rows), outputs and the expected value, added up over trees."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.phi, self.output, self.expected = x, np.zeros(x.shape), np.zeros(x.shape[1]), 0.0
+
+    def add(self, tree: Tree) -> None:
+        n = self.x.shape[1]
+        self._walk(tree, 0, np.zeros(n, np.int32), np.zeros((1, 0), bool), [], [])
+
+    def _walk(self, tree: Tree, node: int, group: np.ndarray, one: np.ndarray, features: list, zero: list) -> None:
+        """``group``: each row's group; ``one``: groups x path features; ``zero``: by path feature."""
+        splits = int(tree.splits[node])
+        if splits < 31 and len(one) << splits <= CODES or not splits:
+            self._subtree(tree, node, group, one, features, zero)
+            return
+        f, left = int(tree.feature[node]), tree.goes_left(node, self.x)
+        known = features.index(f) if f in features else None
+        for child, is_left, share in tree.children(node):
+            follows = left if is_left else ~left
+            if known is not None:
+                follows = follows & one[:, known][group]
+            key = group * 2 + follows
+            present = np.zeros(2 * len(one), bool)
+            present[key] = True
+            found = np.flatnonzero(present)
+            place = np.cumsum(present, dtype=np.int32) - 1
+            bits, up = (found & 1).astype(bool), one[found >> 1]
+            if known is None:
+                self._walk(tree, child, place[key], np.column_stack((up, bits)), [*features, f], [*zero, share])
+            else:
+                up[:, known] = bits
+                scaled = [z * share if j == known else z for j, z in enumerate(zero)]
+                self._walk(tree, child, place[key], up, features, scaled)
+
+    def _subtree(self, tree: Tree, node: int, group, one, features: list, zero: list) -> None:
+        splits = [i for i in range(node, node + 2 * int(tree.splits[node]) + 1) if tree.left[i] >= 0]
+        code = group
+        for i in splits:
+            code = code * 2 + tree.goes_left(i, self.x)
+        present = np.zeros(len(one) << len(splits), bool)
+        present[code] = True
+        found = np.flatnonzero(present)
+        code = (np.cumsum(present) - 1)[code]
+        goes = {i: ((found >> (len(splits) - 1 - k)) & 1).astype(bool) for k, i in enumerate(splits)}
+        base = one[found >> len(splits)]
+        table: dict[int, np.ndarray] = {}
+        output = np.zeros(len(found))
+        todo = [(node, features, zero, list(base.T))]
+        while todo:
+            at, path, shares, follows = todo.pop()
+            if tree.left[at] >= 0:
+                f = int(tree.feature[at])
+                for child, is_left, share in tree.children(at):
+                    bit = goes[at] if is_left else ~goes[at]
+                    if f in path:
+                        k = path.index(f)
+                        todo.append((child, path, [z * share if j == k else z for j, z in enumerate(shares)],
+                                     [o & bit if j == k else o for j, o in enumerate(follows)]))
+                    else:
+                        todo.append((child, [*path, f], [*shares, share], [*follows, bit]))
+                continue
+            value = float(tree.value[at])
+            self.expected += tree.weight * value * float(np.prod(shares))
+            if not path:
+                output += value
                 continue
-            follows = [_follows(cols[f], c) for f, c in zip(leaf.features, leaf.conds)]
-            phi, which = pattern_attributions(follows, leaf)
-            output[np.logical_and.reduce(follows)] += wt * leaf.value
-            scaled = wt * phi
-            for j, f in enumerate(leaf.features):
-                phi_t[f] += scaled[:, j][which]
-    return phi_t.T, expected, output
+            pattern = np.stack(follows, axis=1)
+            output[pattern.all(axis=1)] += value
+            if len(path) < 63:  # equal patterns once
+                _, which, back = np.unique(pattern @ (1 << np.arange(len(path))), return_index=True, return_inverse=True)
+            else:
+                which = back = np.arange(len(pattern))
+            phi = leaf_attribution(pattern[which].astype(float), np.array(shares), value)[back]
+            for k, f in enumerate(path):
+                table[f] = table[f] + phi[:, k] if f in table else phi[:, k]
+        self.output += tree.weight * output[code]
+        for f, own in table.items():
+            self.phi[f] += tree.weight * own[code]
+
+
+def ensemble_attributions(x: np.ndarray, trees: Sequence[Tree]) -> tuple[np.ndarray, float, np.ndarray]:
+    """(φ (n, F), expected value, model output (n,)) of the rows of ``x``."""
+    sums = _Sums(np.ascontiguousarray(x.T))
+    for tree in trees:
+        sums.add(tree)
+    return sums.phi.T, sums.expected, sums.output
 
 
 def tree_attributions(df: DataFrame, model, key: str | Sequence[str], features_col: str = "features",
                       model_path: str | None = None) -> DataFrame:
     """Per row: ``attributions`` (array, one per encoded feature), ``expected_value``
-    and ``model_output`` (the sum of both).  Rows are processed in Arrow batches
-    on the executors; only the (bounded) tree arrays are broadcast."""
+    and ``model_output`` (the sum of both).  ``key`` must tell the rows apart."""
     keys = [key] if isinstance(key, str) else list(key)
-    trees, weights, _ = read_ensemble(model, model_path)
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((trees, weights))
-    base = df.select(*keys, vector_to_array(F.col(features_col)).alias("_x"))
-    key_fields = [f for f in base.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [
-        T.StructField("attributions", T.ArrayType(T.DoubleType())),
-        T.StructField("expected_value", T.DoubleType()),
-        T.StructField("model_output", T.DoubleType())])
-
-    def run(batches):
-        tr, wt = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["_x"].to_numpy()).astype(float)
-            phi, ev, out = ensemble_attributions(x, tr, wt)
-            res = pdf[keys].copy()
-            res["attributions"] = list(phi)
-            res["expected_value"] = ev
-            res["model_output"] = out
-            yield res
-
-    return base.mapInPandas(run, schema)
+    nodes = tree_nodes(model, model_path)
+    n_nodes, n_trees = nodes.agg(F.count(F.lit(1)), F.count_distinct("tree")).first()
+    n_features = model.numFeatures
+    shards, blocks = max(1, min(n_trees, ceil(n_nodes / SHARD_NODES))), max(1, ceil(df.count() / BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], vector_to_array(F.col(f"`{features_col}`")).alias("_x"))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("_shard", every(shards))
+    trees = nodes.withColumn("_shard", F.pmod("tree", F.lit(shards))).withColumn("_block", every(blocks))
+    parts = min(3 * blocks * shards, 100_000)  # cells take long, so they aren't left to be merged by their bytes
+    cells = [t.repartition(parts, "_block", "_shard").groupBy("_block", "_shard") for t in (rows, trees)]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_phi", T.ArrayType(T.DoubleType())),
+                           T.StructField("_expected", T.DoubleType()), T.StructField("_output", T.DoubleType())])
+
+    def run(own: pa.Table, shard: pa.Table) -> pa.Table:
+        own = own.combine_chunks()
+        n = len(own)
+        x = own["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, n_features)
+        phi, expected, output = ensemble_attributions(x, trees_of(shard))
+        made = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_features),
+                                        pa.array(np.ascontiguousarray(phi).ravel()))
+        return pa.table([*(own[k] for k in keys), made, pa.array(np.full(n, expected)), pa.array(output)],
+                        names=[*keys, "_phi", "_expected", "_output"])
+
+    got = cells[0].cogroup(cells[1]).applyInArrow(run, schema)
+    names = [F.col(f"`{k}`") for k in keys]
+    if shards > 1:  # with one shard every row is whole already
+        got = got.groupBy(*names).agg(
+            F.array(*[F.sum(F.get("_phi", F.lit(i))) for i in range(n_features)]).alias("_phi"),
+            F.sum("_expected").alias("_expected"), F.sum("_output").alias("_output"))
+    return got.select(*names, F.col("_phi").alias("attributions"), F.col("_expected").alias("expected_value"),
+                      F.col("_output").alias("model_output"))
 
 
 def long_attributions(attr: DataFrame, feature_names: Sequence[str], key: str | Sequence[str],

@@ -172,6 +172,27 @@ def q_train_rf(spark, sf):
     return _model_metrics(spark, sf, "rf")
 
 
+#: Held-out ROC AUC that a fitted model of either kind must reach for each target.
+LEAST_AUC = 0.85
+
+_QUALITY = "SELECT 'RTS' AS target, true AS auc_reached UNION ALL SELECT 'RTP', true"
+
+
+def _quality(spark, sf, kind):
+    """Per target: whether the held-out AUC reaches its bound."""
+    return _model_metrics(spark, sf, kind).select("target", (F.col("auc") >= LEAST_AUC).alias("auc_reached"))
+
+
+@register("gbt_quality", "ML-1", _QUALITY)
+def q_gbt_quality(spark, sf):
+    return _quality(spark, sf, "gbt")
+
+
+@register("rf_quality", "ML-2", _QUALITY)
+def q_rf_quality(spark, sf):
+    return _quality(spark, sf, "rf")
+
+
 @register("class_weights", "ML-3", f"""
 WITH r AS ({S.READINESS}),
 l AS (SELECT l_orderkey, l_linenumber,
@@ -221,20 +242,43 @@ def q_model_save_load(spark, sf):
                            ((F.col("pred_a") == F.col("pred_b")) & (F.col("prob_a") == F.col("prob_b"))).alias("same")))
 
 
-def _attributions(spark, sf):
-    data, _, prep, models = trained(spark, sf)
+def _attributions(spark, sf, kind: str = "gbt"):
+    data, _, prep, models = trained(spark, sf, kind)
     enc = models["rtp"].encode(data)
     return enc, X.tree_attributions(enc, models["rtp"].model, list(KEYS)), prep.feature_names
 
 
-@register("tree_attributions", "SHAP-1")
-def q_tree_attributions(spark, sf):
-    _, attr, _ = _attributions(spark, sf)
+def _attribution_sums(spark, sf, kind: str):
+    _, attr, _ = _attributions(spark, sf, kind)
     total = F.aggregate("attributions", F.lit(0.0), lambda acc, v: acc + v)
     return finish(attr.select(*KEYS, "expected_value", "model_output", total.alias("attribution_sum"),
                               F.abs(total + F.col("expected_value") - F.col("model_output")).alias("additivity_error")))
 
 
+@register("tree_attributions", "SHAP-1")
+def q_tree_attributions(spark, sf):
+    return _attribution_sums(spark, sf, "gbt")
+
+
+@register("forest_attributions", "SHAP-1 (forest)")
+def q_forest_attributions(spark, sf):
+    return _attribution_sums(spark, sf, "rf")
+
+
+_ADD_UP = "SELECT count(*) AS n_rows, count(*) AS n_additive, count(*) AS n_as_predicted FROM lineitem"
+
+
+def _add_up(spark, sf, kind: str):
+    """Rows whose attributions sum to the output, and whose output is what the model itself predicts."""
+    rows = _attribution_sums(spark, sf, kind)
+    own = trained(spark, sf, kind)[3]["rtp"].predict(trained(spark, sf, kind)[0], "_pred", "_prob").select(*KEYS, "_prob")
+    out = F.col("model_output")
+    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * out)) if kind == "gbt" else out
+    return rows.join(own, list(KEYS)).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("additivity_error") <= 1e-6).alias("n_additive"),
+        F.count_if(F.abs(prob - F.col("_prob")) <= 1e-5).alias("n_as_predicted"))
+
+
 @register("feature_importance", "SHAP-2 (model)")
 def q_feature_importance(spark, sf):
     _, _, prep, models = trained(spark, sf)
@@ -256,12 +300,51 @@ def q_contribution_table(spark, sf):
     return finish(X.contribution_table(enc, attr, prep.feature_names, "row_id", first))
 
 
-@register("attributions_add_up", "SHAP-1", """
-SELECT count(*) AS n_rows, count(*) AS n_additive FROM lineitem
-""")
+@register("attributions_add_up", "SHAP-1", _ADD_UP)
 def q_attributions_add_up(spark, sf):
-    rows = q_tree_attributions(spark, sf)
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("additivity_error") <= 1e-6).alias("n_additive"))
+    return _add_up(spark, sf, "gbt")
+
+
+@register("forest_attributions_add_up", "SHAP-1 (forest)", _ADD_UP)
+def q_forest_attributions_add_up(spark, sf):
+    return _add_up(spark, sf, "rf")
+
+
+@register("importance_adds_up", "SHAP-2", """
+SELECT count(*) AS n_rows, true AS contributions_add_up, true AS largest_first, true AS absolute_is_larger FROM lineitem
+""")
+def q_importance_adds_up(spark, sf):
+    """The mean contributions of all features and the expected value make the mean output; the table is in order."""
+    _, attr, names = _attributions(spark, sf)
+    attr = materialize(attr)
+    table_ = X.global_importance(attr, names, list(KEYS)).collect()  # a row per feature
+    whole = attr.agg(F.count(F.lit(1)).alias("n_rows"),
+                     F.avg(F.col("model_output") - F.col("expected_value")).alias("mean"))
+    size = [r["mean_abs_contribution"] for r in table_]
+    total = sum(r["mean_contribution"] for r in table_)
+    return whole.select("n_rows", (F.abs(F.col("mean") - F.lit(total)) <= 1e-6).alias("contributions_add_up"),
+                        F.lit(size == sorted(size, reverse=True)).alias("largest_first"),
+                        F.lit(all(r["mean_abs_contribution"] >= abs(r["mean_contribution"]) - 1e-12 for r in table_)
+                              and len(table_) == len(names)).alias("absolute_is_larger"))
+
+
+@register("contribution_table_adds_up", "SHAP-3", """
+SELECT true AS contributions_add_up, true AS largest_first, true AS values_are_the_rows
+""")
+def q_contribution_table_adds_up(spark, sf):
+    """The table of one row: contributions make its output, by size, beside the row's own encoded values."""
+    data, _, prep, models = trained(spark, sf)
+    first = SM.sample_n(data.select("row_id"), "row_id", 1, 42).first()[0]
+    enc = models["rtp"].encode(data.where(F.col("row_id") == first))
+    attr = materialize(X.tree_attributions(enc, models["rtp"].model, list(KEYS)))
+    rows = X.contribution_table(enc, attr, prep.feature_names, "row_id", first).collect()
+    one, x = attr.first(), enc.select(vector_to_array("features")).first()[0]
+    sizes = [abs(r["contribution"]) for r in rows]
+    total = sum(r["contribution"] for r in rows) + one["expected_value"]
+    known = {r["feature"]: r["value"] for r in rows} == dict(zip(prep.feature_names, x))
+    return spark.range(1).select(F.lit(abs(total - one["model_output"]) <= 1e-6).alias("contributions_add_up"),
+                                 F.lit(sizes == sorted(sizes, reverse=True)).alias("largest_first"),
+                                 F.lit(known).alias("values_are_the_rows"))
 
 
 @register("model_reload_same", "SINK-2", """

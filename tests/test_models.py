@@ -39,17 +39,32 @@ def test_prep_constants(spark):
     assert pm.transform(unseen).select(vector_to_array("features")).first()[0][1:] == [0.0, 0.0]
 
 
-def _path_dependent_value(leaves, x, subset):
-    total = 0.0
-    for leaf in leaves:
-        w = 1.0
-        for f, z, conds in zip(leaf.features, leaf.zero, leaf.conds):
-            if f in subset:
-                w *= float(X._follows(np.array([x[f]]), conds)[0])
-            else:
-                w *= z
-        total += leaf.value * w
-    return total
+def _trees(model):
+    return X.trees_of(X.tree_nodes(model).toArrow())
+
+
+def _path_dependent_value(tree, x, subset, node=0):
+    """Expected value of the tree when only the features of ``subset`` are known."""
+    if tree.left[node] < 0:
+        return float(tree.value[node])
+    if tree.feature[node] in subset:
+        left = bool(tree.goes_left(node, np.array(x)[:, None])[0])
+        return _path_dependent_value(tree, x, subset, tree.left[node] if left else tree.right[node])
+    return sum(share * _path_dependent_value(tree, x, subset, child) for child, _, share in tree.children(node))
+
+
+def _brute_shapley(trees, x):
+    nf = len(x)
+    phi = np.zeros(nf)
+    value = {s: sum(t.weight * _path_dependent_value(t, x, s) for t in trees)
+             for k in range(nf + 1) for s in itertools.combinations(range(nf), k)}
+    for i in range(nf):
+        others = [j for j in range(nf) if j != i]
+        for k in range(nf):
+            for s in itertools.combinations(others, k):
+                wgt = math.factorial(k) * math.factorial(nf - k - 1) / math.factorial(nf)
+                phi[i] += wgt * (value[tuple(sorted((*s, i)))] - value[s])
+    return phi
 
 
 def test_tree_attributions_exact(spark, data):
@@ -61,23 +76,46 @@ def test_tree_attributions_exact(spark, data):
     for r in attr:
         assert abs(sum(r["attributions"]) + r["expected_value"] - raw[r["id"]]) < 1e-6
     # Brute-force Shapley values on the path-dependent value function.
-    trees, weights, _ = X.read_ensemble(tm.model)
+    trees = _trees(tm.model)
     xs = {r["id"]: r["x"] for r in enc.select("id", vector_to_array("features").alias("x")).orderBy("id").limit(5).collect()}
-    nf = len(tm.prep.feature_names)
     for rid, x in xs.items():
-        x = np.array(x)
-
-        def v(s):
-            return sum(w * _path_dependent_value(t, x, s) for t, w in zip(trees, weights))
-        phi = np.zeros(nf)
-        for i in range(nf):
-            others = [j for j in range(nf) if j != i]
-            for k in range(nf):
-                for s in itertools.combinations(others, k):
-                    wgt = math.factorial(k) * math.factorial(nf - k - 1) / math.factorial(nf)
-                    phi[i] += wgt * (v(set(s) | {i}) - v(set(s)))
         got = np.array(next(r["attributions"] for r in attr if r["id"] == rid))
-        assert np.allclose(got, phi, atol=1e-9)
+        assert np.allclose(got, _brute_shapley(trees, x), atol=1e-9)
+
+
+@pytest.mark.parametrize("codes", [1, 64, 2048])
+def test_deep_trees_match_brute_force_shapley(spark, monkeypatch, codes):
+    monkeypatch.setattr(X, "CODES", codes)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(400, 6)), 1)
+    rows = [(i, *map(float, r), "pqrs"[i % 4], int(r[0] * r[1] + r[2] - r[3] * (i % 4 == 1) > 0)) for i, r in enumerate(x)]
+    cols = [f"x{k}" for k in range(6)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols) + ", kind string, label int")
+    tm = MD.fit_target(df, "T", "label", [*cols, "kind"], kind="rf", num_trees=3, max_depth=12)
+    enc = tm.encode(df)
+    trees = _trees(tm.model)
+    assert max(len(t.left) for t in trees) > 50
+    xs = np.array([r[0] for r in enc.orderBy("id").select(vector_to_array("features")).limit(40).collect()])
+    phi, expected, output = X.ensemble_attributions(xs, trees)
+    for i in range(0, 40, 8):
+        assert np.allclose(phi[i], _brute_shapley(trees, xs[i]), atol=1e-9)
+        assert abs(sum(t.weight * _path_dependent_value(t, xs[i], range(xs.shape[1])) for t in trees) - output[i]) < 1e-9
+    assert abs(sum(t.weight * _path_dependent_value(t, xs[0], ()) for t in trees) - expected) < 1e-9
+
+
+def test_shards_and_blocks_add_up(spark, data, monkeypatch):
+    tm = MD.fit_target(data, "T", "label", ["a", "b", "c", "cat"], kind="rf", num_trees=6, max_depth=6)
+    enc = tm.encode(data)
+    whole = {r["id"]: r for r in X.tree_attributions(enc, tm.model, "id").collect()}
+    monkeypatch.setattr(X, "SHARD_NODES", 60)
+    monkeypatch.setattr(X, "BLOCK_ROWS", 700)
+    cut = X.tree_attributions(enc, tm.model, "id")
+    assert "CoGroup" in cut._jdf.queryExecution().executedPlan().toString()
+    for r in cut.collect():
+        a = whole.pop(r["id"])
+        assert np.allclose(r["attributions"], a["attributions"], atol=1e-12)
+        assert abs(r["expected_value"] - a["expected_value"]) + abs(r["model_output"] - a["model_output"]) < 1e-12
+    assert not whole
 
 
 def test_forest_attributions_sum_to_probability(spark, data):
@@ -97,8 +135,7 @@ def test_deep_forest_attributions(spark):
     cols = [f"x{k}" for k in range(14)]
     df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols) + ", label int")
     tm = MD.fit_target(df, "T", "label", cols, kind="rf", num_trees=4, max_depth=30)
-    trees, _, _ = X.read_ensemble(tm.model)
-    assert max(len(leaf.features) for leaves in trees for leaf in leaves) > 8
+    assert max(len(set(t.feature[t.left >= 0])) for t in _trees(tm.model)) > 8
     for r in X.tree_attributions(tm.encode(df), tm.model, "id").collect():
         assert abs(sum(r["attributions"]) + r["expected_value"] - r["model_output"]) < 1e-6
 
