@@ -7,10 +7,15 @@ each step.  It takes the place of a merge of shards' Burrows-Wheeler transforms,
 which would need a pass over the whole corpus per byte; no shard has an order of
 its own.
 
-1. Every window of ``LENGTH`` bytes has an anchor, its least hashed 32-byte gram
-   (the last of equal ones).  Equal windows have equal anchors at equal places,
-   so windows need comparing only where anchors are equal.  Consecutive windows
-   share an anchor: a text of n bytes has about n / 185.
+Beside what is removed, shorter repeats are reported: ``n_repeated`` bytes are covered
+by a ``NOTICE``-byte string (about 45 words) that also starts elsewhere.  A passage of
+over 50 words that two documents share need not reach ``LENGTH`` bytes.
+
+1. Every window of ``NOTICE`` bytes has an anchor, its least hashed 32-byte gram
+   (the last of equal ones); a longer window has that of its beginning.  Equal
+   windows have equal anchors at equal places, so windows need comparing only
+   where anchors are equal.  Consecutive windows share an anchor: a text of n bytes
+   has about n / 113.
 2. Copies of a text are one row with a count: a text that occurs twice is covered
    as a whole.  Anchors that occur once are dropped by a partial aggregate.
 3. For the others, the bytes of all windows of an anchor (its segment) go to the
@@ -18,7 +23,7 @@ its own.
    aligned at the anchor, are sorted column by column (``merge_shards``).  After a
    column the rows stand in the order of their reversed prefixes, each with the
    column where its common part with its neighbour begins; a window is repeated if
-   that reaches back ``LENGTH`` bytes on either side.
+   that reaches back ``LENGTH`` (or ``NOTICE``) bytes on either side.
 4. An anchor with more than ``HOT`` occurrences (say, the edge of a passage that a
    third of all documents share) isn't gathered in a task: its windows are
    counted by 128-bit fingerprints with partial aggregates instead.
@@ -27,7 +32,7 @@ Bytes are compared as they are; hashes only bring together what is compared
 (except in step 4, and for texts named by two 64-bit hashes).
 
 Defined cases: null is an empty text; a text shorter than ``LENGTH`` keeps all its
-bytes; repeated rows are copies; matches never cross documents; extra columns
+bytes, and one shorter than ``NOTICE`` has no repeats; repeated rows are copies; matches never cross documents; extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -44,13 +49,16 @@ from ..operators.ordering import materialize
 from .arrowtext import BYTE_VALUE, chunks, flat, random_words, tidy
 from .neardup import text_name
 
-LENGTH, GRAM = 400, 32
+LENGTH, NOTICE, GRAM = 400, 256, 32
+#: Where a window may begin, counted from its anchor.
+FIRST = -(NOTICE - GRAM)
 #: Windows handled at a time when anchors are chosen.
 TILE = 1 << 18
 #: Segment bytes merged at a time, at most (whole anchors).
 BLOCK_BYTES = 8 << 20
 HOT = 20_000
 _POSITION = np.uint64((1 << 28) - 1)
+PRINT_VALUE = random_words(43, 512).reshape(2, 256)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -64,20 +72,30 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _POWERS: list = []
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every ``GRAM`` consecutive bytes (of a tile)."""
+def gram_hashes(data: np.ndarray, width: int = GRAM, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """Hash of every ``width`` consecutive bytes (of a tile)."""
     if not _POWERS:
         _POWERS.extend(_tables())
     up, down = _POWERS
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up[:len(data)], out=total[1:])
-    x = (total[GRAM:] - total[:-GRAM]) * down[:len(data) - GRAM + 1]
+    np.cumsum(values[data] * up[:len(data)], out=total[1:])
+    x = (total[width:] - total[:-width]) * down[:len(data) - width + 1]
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
 
 
+def window_prints(text: np.ndarray, width: int) -> np.ndarray:
+    """128-bit fingerprints (two numbers each) of every window of ``width`` bytes of a text."""
+    out = np.zeros((max(0, len(text) - width + 1), 2), np.uint64)
+    for lo in range(0, len(out), TILE):
+        hi = min(len(out), lo + TILE)
+        for k in range(2):
+            out[lo:hi, k] = gram_hashes(text[lo:hi + width - 1], width, PRINT_VALUE[k])
+    return out.view(np.int64)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` consecutive values."""
     n = len(x) - width + 1
@@ -96,15 +114,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     Places are counted from the text's first byte.
     """
     out = []
-    width = LENGTH - GRAM + 1
+    width = NOTICE - GRAM + 1
     text_end = np.repeat(offsets[1:], np.diff(offsets))  # of every byte
-    for lo in range(0, max(0, len(data) - LENGTH + 1), TILE):
-        hi = min(len(data) - LENGTH + 1, lo + TILE)
-        grams = gram_hashes(data[lo:hi + LENGTH - 1])
+    for lo in range(0, max(0, len(data) - NOTICE + 1), TILE):
+        hi = min(len(data) - NOTICE + 1, lo + TILE)
+        grams = gram_hashes(data[lo:hi + NOTICE - 1])
         place = np.arange(len(grams), dtype=np.uint64)
         least = sliding_min((grams & ~_POSITION) | (_POSITION - place), width)
         at = (_POSITION - (least & _POSITION)).astype(np.int64)
-        p = lo + np.flatnonzero(text_end[lo:hi] - np.arange(lo, hi) >= LENGTH)
+        p = lo + np.flatnonzero(text_end[lo:hi] - np.arange(lo, hi) >= NOTICE)
         if not len(p):
             continue
         a = at[p - lo]
@@ -114,17 +132,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     begin, end, at, value = (np.concatenate(x) for x in zip(*out, strict=True))
+    new = np.diff(at, prepend=-1) != 0  # a run that goes on in the next tile is one spot
+    begin, end, at, value = begin[new], end[np.append(np.flatnonzero(new)[1:], len(new)) - 1], at[new], value[new]
     text = np.searchsorted(offsets, begin, side="right") - 1
     base = offsets[text]
     return text, value.view(np.int64), at - base, begin - base, end - base
 
 
-def merge_shards(bucket: np.ndarray, segment: np.ndarray, offsets: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Repeated windows of aligned segments: row i, column j means the window at ``j - (LENGTH - GRAM)`` from its anchor.
+def merge_shards(bucket: np.ndarray, segment: np.ndarray, offsets: np.ndarray, left: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated windows of aligned segments, of ``LENGTH`` and of ``NOTICE`` bytes.
 
-    ``bucket`` (sorted) numbers the anchors, ``left`` is the bytes before a row's
-    anchor.  The order starts as the rows come and is refined by one column of
-    bytes at a time.
+    Row i, column j means the window at ``FIRST + j`` from its anchor.  ``bucket``
+    (sorted) numbers the anchors, ``left`` is the bytes before a row's anchor.  The
+    order starts as the rows come and is refined by one column of bytes at a time.
     """
     n, size = len(bucket), np.diff(offsets)
     right = size - left
@@ -132,8 +153,7 @@ def merge_shards(bucket: np.ndarray, segment: np.ndarray, offsets: np.ndarray, l
     columns = np.zeros((back + ahead, n), np.uint8)
     row = np.repeat(np.arange(n), size)
     columns[np.arange(len(segment)) - np.repeat(offsets[:-1], size) + np.repeat(back - left, size), row] = segment
-    first_window = -(LENGTH - GRAM)
-    found = np.zeros((LENGTH - GRAM + 1, n), bool)
+    found = {length: np.zeros((1 - FIRST, n), bool) for length in (LENGTH, NOTICE)}
     order, since = np.arange(n), np.full(n, -back)
     for c in range(-back, min(ahead, LENGTH)):
         symbol = columns[c + back][order].astype(np.int64)
@@ -154,11 +174,13 @@ def merge_shards(bucket: np.ndarray, segment: np.ndarray, offsets: np.ndarray, l
         alone = np.ones(len(key), bool)
         alone[1:] = key[1:] != key[:-1]
         since[alone | ~inside] = c + 1
-        start = c - LENGTH + 1
-        if start >= first_window:
-            hit = since <= start
-            hit[:-1] |= since[1:] <= start
-            found[start - first_window, order] = hit
+        for length, hits in found.items():
+            start = c - length + 1
+            if FIRST <= start <= 0:
+                hit = since <= start
+                hit[:-1] |= since[1:] <= start
+                hits[start - FIRST, order] = hit
+        if c >= GRAM - 1:
             # a window holds its anchor: rows that share it with no neighbour any more are done
             stay = since <= 0
             stay[:-1] |= since[1:] <= 0
@@ -166,16 +188,16 @@ def merge_shards(bucket: np.ndarray, segment: np.ndarray, offsets: np.ndarray, l
                 break
             if stay.mean() < 0.8:
                 order, since = order[stay], since[stay]
-    return found.T
+    return found[LENGTH].T, found[NOTICE].T
 
 
-def window_runs(found: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(found: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, end) of the bytes covered by runs of repeated windows."""
     edge = np.diff(np.pad(found.view(np.int8), ((0, 0), (1, 1))), axis=1)
     row, begin = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
-    base = anchor[row] - (LENGTH - GRAM)
-    return row, base + begin, base + end - 1 + LENGTH
+    base = anchor[row] + FIRST
+    return row, base + begin, base + end - 1 + length
 
 
 def pack(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -202,7 +224,7 @@ def _anchored(named: DataFrame) -> DataFrame:
             columns = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(x))) for x in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *columns], names=["t1", "t2", "hashes", "places"])
 
-    rows = named.select("_text", "t1", "t2").where(F.octet_length("_text") >= LENGTH).mapInArrow(
+    rows = named.select("_text", "t1", "t2").where(F.octet_length("_text") >= NOTICE).mapInArrow(
         tidy(run), "t1 bigint, t2 bigint, hashes array<bigint>, places array<bigint>")
     return rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.any_value("hashes").alias("hashes"),
                                         F.any_value("places").alias("places"))
@@ -221,7 +243,8 @@ def _segments(texts: DataFrame) -> DataFrame:
             t1, t2 = (b.column(i).to_numpy()[owner] for i in (1, 2))
             for lo in range(0, len(keep), 4096):
                 own = keep[lo:lo + 4096]
-                begin, end = offsets[owner[own]] + first[own], offsets[owner[own]] + last[own] + LENGTH
+                begin = offsets[owner[own]] + first[own]
+                end = np.minimum(offsets[owner[own] + 1], offsets[owner[own]] + last[own] + LENGTH)
                 size = end - begin
                 edge = np.concatenate(([0], np.cumsum(size)))
                 cut = data[np.arange(edge[-1]) - np.repeat(edge[:-1], size) + np.repeat(begin, size)]
@@ -237,14 +260,17 @@ def _segments(texts: DataFrame) -> DataFrame:
 
 
 def _merged_runs(segments: DataFrame, partitions: int) -> DataFrame:
-    """(t1, t2, begin, end) of repeated windows, anchor by anchor."""
+    """(t1, t2, begin, end, gone) of repeated windows, anchor by anchor; ``gone``: of ``LENGTH`` bytes."""
     def merged(held):
         hash_, t1, t2, at, before, size, segment = (np.concatenate([h[i] for h in held]) for i in range(7))
         offsets = np.concatenate(([0], np.cumsum(size)))
         bucket = np.concatenate(([0], np.cumsum(hash_[1:] != hash_[:-1])))
-        row, begin, end = window_runs(merge_shards(bucket, segment, offsets, before), at)
-        return pa.RecordBatch.from_arrays([pa.array(t1[row]), pa.array(t2[row]), pa.array(begin), pa.array(end)],
-                                          names=["t1", "t2", "begin", "end"])
+        both = zip(merge_shards(bucket, segment, offsets, before), (LENGTH, NOTICE), strict=True)
+        runs = [(*window_runs(found, at, length), length == LENGTH) for found, length in both]
+        row, begin, end = (np.concatenate([r[k] for r in runs]) for k in range(3))
+        gone = np.repeat([r[3] for r in runs], [len(r[0]) for r in runs])
+        return pa.RecordBatch.from_arrays([pa.array(t1[row]), pa.array(t2[row]), pa.array(begin), pa.array(end), pa.array(gone)],
+                                          names=["t1", "t2", "begin", "end", "gone"])
 
     def run(batches):
         held, size = [], 0
@@ -271,31 +297,35 @@ def _merged_runs(segments: DataFrame, partitions: int) -> DataFrame:
             yield merged(held)
 
     return (segments.repartition(partitions, "hash").sortWithinPartitions("hash", "t1", "t2", "at")
-            .mapInArrow(tidy(run), "t1 bigint, t2 bigint, begin bigint, end bigint"))
+            .mapInArrow(tidy(run), "t1 bigint, t2 bigint, begin bigint, end bigint, gone boolean"))
 
 
 def _counted_runs(texts: DataFrame) -> DataFrame:
-    """(t1, t2, begin, end) of the repeated windows of hot anchors, by fingerprints."""
+    """(t1, t2, begin, end, gone) of the repeated windows of hot anchors, by fingerprints."""
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(0))
             for i, (spots, hots) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 _, first, last = unpack(np.array(spots, np.int64)[np.array(hots, bool)])
-                places = [p for lo, hi in zip(first.tolist(), last.tolist(), strict=True) for p in range(lo, hi + 1)]
-                text = data[offsets[i]:offsets[i + 1]].tobytes()
-                prints = [hashlib.blake2b(text[p:p + LENGTH], digest_size=16).digest() for p in places]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(1)[i].as_py()] * len(places), pa.int64()),
-                     pa.array([b.column(2)[i].as_py()] * len(places), pa.int64()),
-                     pa.array(places, pa.int64()), pa.array(prints, pa.binary())], names=["t1", "t2", "p", "print"])
+                size = last - first + 1
+                places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+                text = data[offsets[i]:offsets[i + 1]]
+                for length in (LENGTH, NOTICE):
+                    own = places[places <= len(text) - length]
+                    prints = window_prints(text, length)[own]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own), b.column(1)[i].as_py())), pa.array(np.full(len(own), b.column(2)[i].as_py())),
+                         pa.array(own), pa.array(np.full(len(own), length == LENGTH)), pa.array(prints[:, 0]),
+                         pa.array(prints[:, 1])], names=["t1", "t2", "p", "gone", "print1", "print2"])
 
     # Not materialized: one plan with the other uses of the texts shuffles them once.
     windows = (texts.where(F.exists("hot", lambda x: x)).select("_text", "t1", "t2", "places", "hot", "_key")
-               .mapInArrow(tidy(run), "t1 bigint, t2 bigint, p bigint, print binary"))
+               .mapInArrow(tidy(run), "t1 bigint, t2 bigint, p bigint, gone boolean, print1 bigint, print2 bigint"))
     place = F.xxhash64("t1", "t2", "p")
-    twice = windows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-    return windows.join(twice.select("print"), "print").select(
-        "t1", "t2", F.col("p").alias("begin"), (F.col("p") + LENGTH).alias("end"))
+    one = ["print1", "print2", "gone"]
+    twice = windows.groupBy(*one).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    length = F.when(F.col("gone"), LENGTH).otherwise(NOTICE)
+    return windows.join(twice.select(*one), one).select("t1", "t2", F.col("p").alias("begin"), (F.col("p") + length).alias("end"), "gone")
 
 
 def covered_runs(named: DataFrame, hot: int = HOT) -> DataFrame:
@@ -316,13 +346,22 @@ def covered_runs(named: DataFrame, hot: int = HOT) -> DataFrame:
     if any_hot:
         runs = runs.unionByName(_counted_runs(texts))
     copied = known.where("copies > 1").select("t1", "t2", F.lit(0).cast("long").alias("begin"),
-                                              F.lit(1 << 62).alias("end"))
-    return runs.unionByName(copied).groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+                                              F.lit(1 << 62).alias("end"), F.lit(True).alias("gone"))
+    return runs.unionByName(copied).groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end", "gone")).alias("runs"))
+
+
+def covered(runs: list[dict] | None, n: int, gone: bool) -> np.ndarray:
+    """Which of a text's ``n`` bytes lie in its runs (``gone``: only those to be removed)."""
+    cover = np.zeros(n + 1, np.int32)
+    ends = np.array([(r["begin"], min(n, r["end"])) for r in runs or () if r["gone"] or not gone], np.int64).reshape(-1, 2)
+    np.add.at(cover, ends[:, 0], 1)
+    np.add.at(cover, ends[:, 1], -1)
+    return np.cumsum(cover)[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept_bytes: bool = False,
                    hot: int = HOT) -> DataFrame:
-    """``key``, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes) of every document."""
+    """``key``, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (and ``kept``, the remaining bytes) of every document."""
     t = F.col(f"`{text}`").cast("string")
     named = docs.select(F.coalesce(t, F.lit("")).alias("_text"), F.col(f"`{key}`").alias("_key"), *text_name(t))
     # Texts meet their anchors, and later their covered runs: the same columns by
@@ -333,40 +372,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
     def run(batches):
         for b in batches:
             data, offsets = flat(b.column(0))
-            sizes, removed, spans, digests, kept = [], [], [], [], []
+            sizes, removed, spans, digests, repeated, kept = [], [], [], [], [], []
             for i, runs in enumerate(b.column(2).to_pylist()):
                 own = data[offsets[i]:offsets[i + 1]]
                 n = len(own)
-                gone = 0
-                if runs and n >= LENGTH:
-                    cover = np.zeros(n + 1, np.int32)
-                    ends = np.array([(r["begin"], min(n, r["end"])) for r in runs], np.int64)
-                    np.add.at(cover, ends[:, 0], 1)
-                    np.add.at(cover, ends[:, 1], -1)
-                    out = np.cumsum(cover)[:-1] > 0
-                    gone = int(out.sum())
-                    spans.append(int((np.diff(np.concatenate(([0], out.view(np.int8)))) == 1).sum()))
-                    own = own[~out]
-                else:
-                    spans.append(0)
-                left = own.tobytes()
+                out = covered(runs, n, True) if n >= LENGTH else np.zeros(n, bool)
+                noticed = covered(runs, n, False) if n >= NOTICE else out
+                left = own[~out].tobytes()
                 sizes.append(n)
-                removed.append(gone)
+                removed.append(int(out.sum()))
+                spans.append(int((np.diff(out.view(np.int8), prepend=0) == 1).sum()))
                 digests.append(hashlib.sha256(left).hexdigest())
+                repeated.append(int(noticed.sum()))
                 kept.append(left if kept_bytes else None)
             columns = [b.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
-                       pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-            names = ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                       pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(repeated, pa.int64())]
+            names = ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
             if kept_bytes:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     extra = ", kept binary" if kept_bytes else ""
-    return rows.mapInArrow(tidy(run), f"_key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return rows.mapInArrow(tidy(run), f"_key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+                           "n_repeated bigint"
                            + extra).withColumnRenamed("_key", key)
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of 400-byte strings that start more than once."""
+    """All documents without the bytes of 400-byte strings that start more than once; n_repeated: bytes of 256-byte ones."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

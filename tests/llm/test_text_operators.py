@@ -203,6 +203,7 @@ def brute_repeats(texts, length=R.LENGTH):
 def test_repeats_match_brute_force(spark, monkeypatch, hot):
     if hot == 3:
         monkeypatch.setattr(R, "BLOCK_BYTES", 3000)
+        monkeypatch.setattr(R, "TILE", 700)
     rng = random.Random(4)
 
     def text(n):
@@ -212,9 +213,13 @@ def test_repeats_match_brute_force(spark, monkeypatch, hot):
     texts = ["a" * 1000, "ab" * 700, "a" * 399, text(300) + p + text(200), p + text(20), text(5) + q, q,
              text(500) + q, s + "x", s + "y", big, big, big[:1500] + "#" + big[1500:], text(450) * 3, "é" * 900]
     texts += [text(100) + p + text(100) for _ in range(20)]
+    short, least = text(300), text(256)
+    texts += [text(90) + short + text(200), short, text(700) + short, least + text(9), text(7) + least, least[:255] + "#",
+              least[1:], short[:280] + text(300)]
     docs = odd_docs(spark, texts).where("length(text) < 50000 OR text IS NULL").repartition(5)
     rows = docs.select("doc_id", "text").collect()
-    want = [(r["doc_id"], *w) for r, w in zip(rows, brute_repeats([r["text"] for r in rows]))]
+    shorter = [w[1] for w in brute_repeats([r["text"] for r in rows], R.NOTICE)]
+    want = [(r["doc_id"], *w, n) for r, w, n in zip(rows, brute_repeats([r["text"] for r in rows]), shorter)]
     got = R.remove_repeats(docs, hot=hot)
     assert rows_of(got) == sorted(want, key=repr)
     assert R.remove_repeats(empty_docs(spark)).count() == 0
