@@ -9,7 +9,9 @@ make its own lines boilerplate.
 
 A host has at most (mean lines per page) / ``ratio`` boilerplate lines, so their
 digests travel as one small array per host; pages and lines are counted by
-partial aggregates, which reduces a hot host before any shuffle.
+partial aggregates, which reduces a hot host before any shuffle.  The arrays are
+written to the shared folder before texts meet them: Spark knows the table's size
+then and moves no text where it is small enough to be broadcast.
 
 Defined cases: a null host is a host of its own; a null text stays null and
 counts as a page; an empty text has one blank line; repeated rows are pages of
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -32,15 +36,23 @@ def _stripped(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, of a size that Spark knows when it plans a join."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int,
                 copies_once: bool = False) -> DataFrame:
     """One row per host that has boilerplate: ``_ew_host`` and the digests of its lines."""
-    own = F.array_distinct(F.transform(_lines(F.col(text)), _stripped))
-    page = [F.xxhash64(F.col(text)).alias("_ew_page")] if copies_once else []
-    lines = (docs.select(F.col(host).alias("_ew_host"), *page, F.explode(own).alias("_ew_line"))
+    own_text, own_host = F.col(f"`{text}`"), F.col(f"`{host}`")
+    own = F.array_distinct(F.transform(_lines(own_text), _stripped))
+    page = [F.xxhash64(own_text).alias("_ew_page")] if copies_once else []
+    lines = (docs.select(own_host.alias("_ew_host"), *page, F.explode(own).alias("_ew_line"))
              .where(F.col("_ew_line") != "")
              .withColumn("_ew_digest", F.md5("_ew_line")).drop("_ew_line"))
-    sites = docs.select(F.col(host).alias("_ew_site"), *page)
+    sites = docs.select(own_host.alias("_ew_site"), *page)
     if copies_once:
         lines, sites = lines.distinct(), sites.distinct()
     counts = lines.groupBy("_ew_host", "_ew_digest").agg(F.count(F.lit(1)).alias("_ew_n")).where(F.col("_ew_n") >= min_pages)
@@ -53,17 +65,18 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages:
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", *, ratio: float = 0.1,
                      min_pages: int = 5, counts: bool = False, copies_once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; ``counts`` adds n_lines and n_dropped."""
-    common = boilerplate(docs, host, text, ratio, min_pages, copies_once)
-    lines = _lines(F.col(text))
+    common = written(boilerplate(docs, host, text, ratio, min_pages, copies_once), "boilerplate")
+    own_text = F.col(f"`{text}`")
+    lines = _lines(own_text)
     kept = F.when(F.col("_ew_common").isNull(), lines).otherwise(F.filter(
         lines, lambda x: (_stripped(x) == "") | ~F.array_contains(F.col("_ew_common"), F.md5(_stripped(x)))))
     joined = docs.join(common, F.col(f"`{host}`").eqNullSafe(F.col("_ew_host")), "left")
-    out = [F.when(F.col("_ew_common").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
+    out = [F.when(F.col("_ew_common").isNull(), own_text).otherwise(F.array_join(kept, "\n")).alias(text)
            if c == text else F.col(f"`{c}`") for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
         n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long")
-        left = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(kept)).cast("long")
+        n = F.when(own_text.isNull(), F.lit(0)).otherwise(n).cast("long")
+        left = F.when(own_text.isNull(), F.lit(0)).otherwise(F.size(kept)).cast("long")
         out += [n.alias("n_lines"), (n - left).alias("n_dropped")]
     return joined.select(*out)
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import materialize
+from .linededup import written
 
 #: Hash buckets per source (three hex digits of an md5): one of them is split.
 BUCKET_DIGITS = 3
@@ -88,20 +89,41 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, size: str
             .select(F.col("_mix_source").alias("_mix_s"), F.col("words").alias("source_size"), "target", "whole", "rest"))
     before = F.coalesce(F.sum("words").over(
         Window.partitionBy("_mix_source").orderBy("_mix_draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("rest") - F.col("_before")) / F.col("words")))
-    split = (buckets.withColumn("_before", before)
-             .join(plan, F.col("_mix_source").eqNullSafe(F.col("_mix_s")))
-             .select(F.col("_mix_s"), F.col("_mix_draw").alias("_mix_d"), F.col("source_size").alias("_mix_total"),
-                     F.col("target").alias("_mix_target"), F.col("whole").alias("_mix_whole"),
-                     F.when(F.col("words") > 0, part).otherwise(0.0).alias("_mix_part")))
-    n = F.col("_mix_size")
-    taken = (F.col("_mix_whole") * n + F.floor(n * F.col("_mix_part"))).cast("long")
-    joined = rows.join(split, F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("_mix_draw") == F.col("_mix_d")))
+    # Buckets before the one where the rest is used up go in whole, those after it not at all.
+    cut = F.min(F.when((F.col("words") > 0) & (F.col("_before") + F.col("words") > F.col("rest")), F.struct(
+        F.col("_mix_draw").alias("draw"),
+        F.try_divide(F.col("rest") - F.col("_before"), F.col("words")).alias("part"))))
+    split = written(buckets.withColumn("_before", before)
+                    .join(plan, F.col("_mix_source").eqNullSafe(F.col("_mix_s")))
+                    .groupBy("_mix_s", F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target"),
+                             F.col("whole").alias("_mix_whole")).agg(cut.alias("_mix_cut")), "mix")
+    n, place = F.col("_mix_size"), F.col("_mix_draw")
+    part = (F.when(F.col("_mix_cut").isNull() | (place < F.col("_mix_cut.draw")), 1.0)
+            .when(place == F.col("_mix_cut.draw"), F.greatest(F.lit(0.0), F.col("_mix_cut.part"))).otherwise(0.0))
+    taken = F.when(n > 0, (F.col("_mix_whole") * n + F.floor(n * part)).cast("long")).otherwise(F.lit(0).cast("long"))
+    joined = rows.join(split, F.col(source).eqNullSafe(F.col("_mix_s")))  # one row a source
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
     return joined.select(*kept, n.alias("size"), F.col("_mix_total").cast("long").alias("source_size"),
                          F.col("_mix_target").alias("target"), taken.alias("taken"))
 
 
+def repeated_texts(mix: DataFrame, text: str = "text") -> DataFrame:
+    """The mix itself: each row of ``mix_sources`` as often as it is taken, with ``repetition`` (from 1) and ``words``.
+
+    Whole repetitions hold the whole text.  A fractional one comes last and holds the
+    text up to the end of its first ``words`` words.  Rows that take nothing are not in it.
+    """
+    n, taken = F.col("size"), F.col("taken")
+    times = F.sequence(F.lit(1).cast("long"), F.ceil(taken / n))
+    rows = mix.where((n > 0) & (taken > 0)).withColumn("repetition", F.explode(times))
+    words = F.least(n, taken - (F.col("repetition") - 1) * n)
+    own = F.col(f"`{text}`")
+    pieces = F.regexp_extract_all(own, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    cut = F.when(F.col("words") == n, own).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), ""))
+    kept = [F.col(f"`{c}`") for c in mix.columns if c not in (text, "words", "repetition")]
+    return rows.withColumn("words", words.cast("long")).select(*kept, cut.alias(text), "repetition", "words")
+
+
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     """Mix all documents: weights 1, 2, 3 repeating, at most 3 epochs of any source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,7 +7,7 @@ import corpus_pipeline as P
 from equiwatch.llm.queries import QUERIES, SQL
 from equiwatch.llm.quality import THRESHOLD, fit_quality, with_stats
 
-from .helpers import odd_docs
+from .helpers import empty_docs, odd_docs
 from .test_text_operators import brute_classes, brute_hits
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +51,8 @@ def test_pipeline_stage_by_stage(spark):
     clean = {r["doc_id"] for r in before.collect() if not brute_hits(r["text"], items)[1]}
     assert {r["doc_id"] for r in after.collect()} == clean
     before, after = frames["mixing"]
-    taken = after.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    taken = after.groupBy("source").agg({"words": "sum", "target": "max"}).collect()
+    assert sum(len(r["text"].split()) - r["words"] for r in after.collect()) == 0
     assert all(abs(r[1] - r[2]) <= 0.05 * r[2] + 50 or abs(r[2] - r[1]) <= 0.05 * r[1] + 50 for r in taken)
 
 
@@ -80,5 +81,16 @@ def test_line_stage_on_the_table(spark):
 def test_stages_on_odd_rows(spark):
     docs = odd_docs(spark)
     for name, stage in P.STAGES:
-        docs = stage(spark, docs, SF).cache()
-        docs.count()
+        out = stage(spark, docs, SF).cache()
+        if name == "mixing":
+            assert set(docs.columns) - set(out.columns) == set()
+            assert out.where("text IS NULL OR words <= 0").count() == 0
+        else:
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        docs = out
+
+
+def test_stages_on_an_empty_table(spark):
+    for name, stage in P.STAGES:
+        if name != "quality":  # its model is fitted on the documents
+            assert stage(spark, empty_docs(spark), SF).count() == 0

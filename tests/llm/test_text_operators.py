@@ -272,3 +272,40 @@ def test_mixing_is_native(spark):
     docs = odd_docs(spark).withColumn("size", M.text_size())
     plan = M.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_repetitions_hold_the_words_taken(spark):
+    texts = [f" first{i}\tsecond  third{i} \n" + "more " * (i % 7) for i in range(300)]
+    rows = [(i, t, "a" if i % 6 else "b", 99) for i, t in enumerate(texts)] + [(900, None, "a", 1), (901, " \n", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, words long").withColumn("size", M.text_size())
+    mix = M.mix_sources(docs)
+    planned = {r["doc_id"]: r for r in mix.collect()}
+    out = M.repeated_texts(mix).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["repetition"]):
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == {i for i, r in planned.items() if r["taken"] > 0}
+    assert any(0 < r["words"] < r["size"] for r in out) and any(r["repetition"] > 1 for r in out)
+    for i, own in got.items():
+        whole, size = planned[i]["text"], planned[i]["size"]
+        assert [r["repetition"] for r in own] == list(range(1, len(own) + 1))
+        assert sum(r["words"] for r in own) == planned[i]["taken"]
+        for r in own:
+            assert len(r["text"].split()) == r["words"] and whole.startswith(r["text"])
+            assert r["text"] == whole if r["words"] == size else r is own[-1]
+    assert M.repeated_texts(M.mix_sources(empty_docs(spark).withColumn("size", M.text_size()))).count() == 0
+    plan = M.repeated_texts(mix)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_stay_where_they_are(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for out in (L.drop_boilerplate(docs), M.mix_sources(docs.withColumn("size", M.text_size()))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(source" not in plan
+
+
+def test_line_dedup_with_dots_in_names(spark):
+    docs = spark.createDataFrame([(i, "same line\nown " + str(i), "h") for i in range(20)], "id long, `a.text` string, `a.host` string")
+    out = L.drop_boilerplate(docs, "a.host", "a.text", ratio=0.5)
+    assert {r[1] for r in out.collect()} == {f"own {i}" for i in range(20)}
