@@ -1,8 +1,8 @@
 """Corpus cleaning pipeline: quality rules, line dedup, near duplicates, decontamination, source mixing.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns what its successor works
-on: the columns of ``documents``, and in the end the mix, one row per document
-taken with the words it takes.
+on: the columns of ``documents``, and in the end the mix itself, each document as often
+as it is taken (``repetition``), the last time perhaps only its first ``words`` words.
 
 * quality: documents that the rule ensemble scores under 0.3 go;
 * lines: lines on more than a fiftieth of a source's different texts (5 at least) go, ``n_chars`` follows;
@@ -10,6 +10,13 @@ taken with the words it takes.
 * decontamination: documents with a 10-word benchmark window go;
 * mixing: sources weighed 1, 2, 3 repeating, 3 epochs at most; a document that
   takes no words is not in the mix.
+
+Defined cases, of every stage: null and empty texts pass the first four (the rules may
+reject them) and take no words in the mix; repeated rows are rows of their own but for
+near duplicates, where one of a class stays, by least id; a null source is a source;
+extra columns stay as they are, but for ``n_chars``, which follows the text, and those that
+the mix adds (size, source_size, target, taken, repetition, words); an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from pyspark.sql import functions as F
 
 from equiwatch.llm.decontaminate import decontaminate
 from equiwatch.llm.linededup import drop_boilerplate
-from equiwatch.llm.mixing import mix_sources, text_size
+from equiwatch.llm.mixing import mix_sources, repeated_texts, text_size
 from equiwatch.llm.neardup import keep_one
 from equiwatch.llm.quality import fit_quality, reject_low_quality
 from equiwatch.session import scratch_path
@@ -52,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs.withColumn("size", text_size())).where("taken > 0")
+    return repeated_texts(mix_sources(docs.withColumn("size", text_size())))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
