@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import global_rank
+
 
 def _c(name: str):
     return F.col(f"`{name}`")
@@ -151,6 +153,22 @@ def one_hot_model(train: DataFrame, cols: Sequence[str]) -> PipelineModel:
     return Pipeline(stages=[index, hot]).fit(train)
 
 
+def category_slots(train: DataFrame, col: str) -> DataFrame:
+    """(value, slot) of every training value in sorted order, slots from 0: a table, ranked without a driver or one task."""
+    values = train.select(_c(col).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+    return global_rank(values, ["value"], out="slot").select("value", (F.col("slot") - 1).alias("slot"))
+
+
+def with_slot(df: DataFrame, col: str, slots: DataFrame, out: str | None = None) -> DataFrame:
+    """``df`` with the slot of the row's value (NULL where it is missing or unseen): the one entry of its 0/1 vector.
+
+    A plain join; a value held by a third of the rows is a skewed key, which adaptive execution splits.
+    """
+    known = slots.select(F.col("value").alias("_ew_value"), F.col("slot").alias("_ew_slot"))
+    joined = df.join(known, _c(col).cast("string") == F.col("_ew_value"), "left")
+    return joined.select(*[_c(c) for c in df.columns], F.col("_ew_slot").alias(out or f"{col}__slot"))
+
+
 def hot_slot(vector: str):
     """The slot of a one-hot vector, NULL if it has none."""
     values = vector_to_array(F.col(vector))

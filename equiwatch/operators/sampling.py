@@ -2,20 +2,23 @@
 
 Every draw is ``hash_draw(key, seed)``: a function of the row key, so a task
 retry, a different partition count or another engine gives the same rows.
-Exact-count variants rank rows by their draw with ``ordering.global_rank``
-(no single-task window).
+Exact-count variants find the draw of the last row that is in (an order statistic,
+``selection``) and compare each row's draw with it: no row is ranked, sorted or
+moved, but for those that share that very draw.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import hash_draw
 from .ordering import global_rank
+from .selection import order_statistics
 
 
 def _col(c: str | Column) -> Column:
@@ -26,6 +29,41 @@ def with_draw(df: DataFrame, key: str | Column, seed: int, out: str = "draw") ->
     return df.withColumn(out, hash_draw(key, seed))
 
 
+def smallest_draws(df: DataFrame, draw: str, tie_order: Sequence[str | Column], quota, cls: str | None = None,
+                   classes: Sequence = (None,), out: str = "_in") -> DataFrame:
+    """Mark the rows of the ``quota`` smallest draws of each class, exactly that many.
+
+    ``classes`` lists the values of ``cls`` (few; one for all rows without it), ``quota``
+    maps their row counts to their quotas.  Rows that share the last draw that is in
+    are taken in ``tie_order``.
+    """
+    own = [F.lit(True) if cls is None else F.col(cls).eqNullSafe(F.lit(c)) for c in classes]
+    draws = [F.when(mine, F.col(draw)) for mine in own]
+    quotas: list[int] = []
+
+    def last(counts):
+        quotas[:] = [min(q, n) for q, n in zip(quota(counts), counts, strict=True)]
+        return [(i, q - 1) for i, q in enumerate(quotas) if q > 0]
+
+    _, found = order_statistics(df, draws, last)
+    cut = [found.get((i, q - 1)) for i, q in enumerate(quotas)]
+    at = [F.lit(False) if c is None else F.coalesce(d == F.lit(c), F.lit(False)) for d, c in zip(draws, cut, strict=True)]
+    below = [F.lit(False) if c is None else F.coalesce(d < F.lit(c), F.lit(False)) for d, c in zip(draws, cut, strict=True)]
+    counted = df.agg(*[x for i in range(len(cut)) for x in (F.count_if(below[i]), F.count_if(at[i]))]).first() or ()
+    room = [q - counted[2 * i] for i, q in enumerate(quotas)]  # of the rows at the cut
+    split = [i for i, left in enumerate(room) if 0 < left < counted[2 * i + 1]]
+    any_of = lambda parts: F.exists(F.array(*parts), lambda x: x) if parts else F.lit(False)
+    inside = any_of([below[i] | at[i] if i not in split else below[i] for i in range(len(cut))])
+    if not split:
+        return df.withColumn(out, inside)
+    shared = any_of([at[i] for i in split])
+    place = F.coalesce(*[F.when(own[i], F.lit(i)) for i in split])
+    left = F.coalesce(*[F.when(own[i], F.lit(room[i])) for i in split])
+    tied = global_rank(df.where(shared).withColumn("_ew_class", place), list(tie_order), out="_ew_place", groups=["_ew_class"])
+    tied = tied.withColumn(out, F.col("_ew_place") <= left).drop("_ew_class", "_ew_place")
+    return df.where(~shared).withColumn(out, inside).unionByName(tied)
+
+
 def sample_fraction(df: DataFrame, key: str | Column, fraction: float = 0.35, seed: int = 7,
                     exact: bool = False, key_order: Sequence[str | Column] = ()) -> DataFrame:
     """Rows drawn without replacement.  Default: each row kept when its draw is
@@ -35,12 +73,8 @@ def sample_fraction(df: DataFrame, key: str | Column, fraction: float = 0.35, se
     d = with_draw(df, key, seed)
     if not exact:
         return d.where(F.col("draw") < F.lit(float(fraction)))
-    ranked = global_rank(d, ["draw", *(key_order or [key])], out="_srank")
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    keep = F.bround(F.col("_n").cast("double") * F.lit(float(fraction)), 0)
-    from .constants import with_constants
-    return (with_constants(ranked, n).where(F.col("_srank") <= keep)
-            .drop("_n", "_srank"))
+    marked = smallest_draws(d, "draw", key_order or [key], lambda counts: [round(n * float(fraction)) for n in counts])
+    return marked.where("_in").drop("_in")
 
 
 def sample_n(df: DataFrame, key: str | Column, n: int = 200, seed: int = 42) -> DataFrame:
@@ -62,26 +96,24 @@ def stratified_split(df: DataFrame, key: str | Column, label: str, test_size: fl
     draws inside each class.  One class only → unstratified (the same rule with a
     single group)."""
     d = with_draw(df, key, seed, "_draw").withColumn("_cls", F.coalesce(F.col(label).cast("long"), F.lit(0)))
-    ranked = global_rank(d, ["_draw", *(key_order or [key])], out="_crank", groups=["_cls"])
-    counts = ranked.groupBy("_cls").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_all = Window.partitionBy()
-    n_total = F.sum("_cnt").over(w_all)
-    n_test = F.ceil(n_total.cast("double") * F.lit(float(test_size)))
-    n_cls = F.count(F.lit(1)).over(w_all)
-    share = F.col("_cnt").cast("double") * F.col("_ntest") / F.col("_ntot").cast("double")
-    quotas = (counts.withColumn("_ntot", n_total).withColumn("_ntest", n_test).withColumn("_ncls", n_cls)
-              .withColumn("_base", F.floor(share))
-              .withColumn("_rem", share - F.col("_base")))
-    left = F.col("_ntest") - F.sum("_base").over(w_all)
-    order = Window.partitionBy().orderBy(F.col("_rem").desc(), F.col("_cls").asc())
-    quotas = (quotas.withColumn("_left", left).withColumn("_ord", F.row_number().over(order))
-              .withColumn("_quota", F.when(F.col("_ncls") == 1, F.col("_ntest"))
-                          .otherwise(F.col("_base") + F.when(F.col("_ord") <= F.col("_left"), 1).otherwise(0)))
-              .select("_cls", "_quota"))
-    # ``quotas`` has one row per class; Spark broadcasts it if it is small enough.
-    j = ranked.join(quotas, "_cls")
-    return (j.withColumn(out, F.when(F.col("_crank") <= F.col("_quota"), F.lit("test")).otherwise(F.lit("train")))
-            .drop("_draw", "_cls", "_crank", "_quota"))
+    classes = sorted(r[0] for r in d.select("_cls").distinct().collect())  # values of a label
+
+    def quotas(counts: list[int]) -> list[int]:
+        total = sum(counts)
+        test = math.ceil(total * float(test_size))
+        if len(counts) == 1:
+            return [test]
+        shares = [n * test / total for n in counts]
+        base = [math.floor(x) for x in shares]
+        order = sorted(range(len(counts)), key=lambda i: (base[i] - shares[i], classes[i]))
+        for i in order[:test - sum(base)]:
+            base[i] += 1
+        return base
+
+    if not classes:
+        return df.withColumn(out, F.lit("train"))
+    marked = smallest_draws(d, "_draw", key_order or [key], quotas, "_cls", classes)
+    return marked.withColumn(out, F.when(F.col("_in"), F.lit("test")).otherwise(F.lit("train"))).drop("_draw", "_cls", "_in")
 
 
 def align_labels(split: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -107,12 +139,13 @@ def require_both_classes(guard: DataFrame, split_value: str = "train", split_col
 
 
 def assign_batches(df: DataFrame, order_by: Sequence[str | Column], batch_size: int = 100,
-                   out: str = "batch") -> DataFrame:
+                   out: str = "batch", before: int = 0) -> DataFrame:
     """Consecutive slices of ``batch_size`` rows in ``order_by`` order, numbered
-    from 1 (the last one may be short).  ``order_by`` must be a total order."""
+    from 1 (the last one may be short).  ``order_by`` must be a total order;
+    ``before`` rows went before these."""
     if not order_by:
         raise ValueError("assign_batches needs an explicit order (e.g. time, key)")
-    ranked = global_rank(df, order_by, out="_pos")
+    ranked = global_rank(df, order_by, out="_pos").withColumn("_pos", F.col("_pos") + F.lit(before))
     return ranked.withColumn(out, (F.floor((F.col("_pos") - 1) / F.lit(batch_size)) + 1).cast("long")) \
                  .withColumnRenamed("_pos", "position")
 

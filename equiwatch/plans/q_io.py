@@ -19,6 +19,16 @@ def q_read_parquet(spark, sf):
     return table(spark, sf, "orders")
 
 
+@register("read_parquet_filtered", "SRC-2", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount FROM lineitem
+WHERE l_extendedprice >= 20000.0 AND l_discount < 0.05 AND l_linenumber <> 2
+""")
+def q_read_parquet_filtered(spark, sf):
+    rows = table(spark, sf, "lineitem", where=[("l_extendedprice", ">=", 20000.0), ("l_discount", "<", 0.05),
+                                               ("l_linenumber", "<>", 2)])
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+
+
 @register("read_csv_infer", "SRC-1", """
 SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
 """)

@@ -23,6 +23,7 @@ from ..operators import names as N
 from ..operators import prep as P
 from ..operators import sampling as SM
 from ..operators.cleaning import fit_cleaning
+from ..operators.constants import with_constants
 from ..operators.ordering import global_rank, materialize
 from ..session import scratch_path
 from ..sources.tables import table
@@ -381,9 +382,9 @@ SELECT t.o_orderkey, c.slot, CAST((SELECT count(*) FROM c) AS INTEGER) AS slots
 def q_one_hot_wide(spark, sf):
     o = SM.split_hash(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("cust")),
                       "o_orderkey", 0.2, 42)
-    enc = P.one_hot_model(o.where("split = 'train'"), ["cust"]).transform(o)
-    vec = P.hot_slot("cust__hot")
-    return enc.select("o_orderkey", vec.alias("slot"), P.vector_size("cust__hot").alias("slots"))
+    slots = materialize(P.category_slots(o.where("split = 'train'"), "cust"))
+    enc = with_constants(P.with_slot(o, "cust", slots, "slot"), slots.agg(F.count(F.lit(1)).alias("slots")))
+    return enc.select("o_orderkey", F.col("slot").cast("int").alias("slot"), F.col("slots").cast("int").alias("slots"))
 
 
 def _monitor(spark, sf, kind: str):

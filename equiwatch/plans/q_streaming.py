@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fairness as fz
+from ..operators.ordering import materialize
 from ..session import scratch_path
 from ..streaming import monitor as SM
 from . import sqltext as S
@@ -35,7 +36,7 @@ def _feed(df, path: str, order, by: str | None = None, n_steps: int = N_STEPS) -
 
 @register("fairness_stream", "FAIR-13", _BATCH + f"SELECT batch, {_REPORT_COLS} FROM report")
 def q_fairness_stream(spark, sf):
-    return finish(spark.read.parquet(_run_monitor(spark, sf)).select(
+    return finish(SM.read_committed(spark, _run_monitor(spark, sf)).select(
         "batch", "target", "attribute", "n_groups", "dp_diff", "eo_diff", "protected_attr", "alert"))
 
 
@@ -52,7 +53,7 @@ def _run_monitor(spark, sf) -> str:
 @register("fairness_stream_summary", "FAIR-13", _BATCH + f", {_SUMMARY} "
           "SELECT batch, round(max_dp_diff, 6) AS max_dp_diff, round(max_eo_diff, 6) AS max_eo_diff, alert FROM summary")
 def q_fairness_stream_summary(spark, sf):
-    out = spark.read.parquet(_run_monitor(spark, sf) + "_summary")
+    out = SM.read_committed(spark, _run_monitor(spark, sf), "_summary")
     return finish(out.select("batch", "max_dp_diff", "max_eo_diff", "alert"))
 
 
@@ -61,10 +62,54 @@ SELECT batch, target, attribute, grp, n, round(selection_rate, 6) AS selection_r
        round(fpr, 6) AS fpr, round(accuracy, 6) AS accuracy FROM rates
 """)
 def q_fairness_stream_groups(spark, sf):
-    out = spark.read.parquet(_run_monitor(spark, sf) + "_groups")
+    out = SM.read_committed(spark, _run_monitor(spark, sf), "_groups")
     return finish(out.select("batch", "target", "attribute", "grp", "n", "selection_rate", "tpr", "fpr", "accuracy"))
 
 
+@register("fairness_stream_batches", "BATCH-1 (stream)", _BATCH + f"SELECT batch, {_REPORT_COLS} FROM report")
+def q_fairness_stream_batches(spark, sf):
+    """The replay's rows in draw order over micro-batches that cut its batches anywhere; batches are made by the stream."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("batch-src", "batch-sink", "batch-ckpt"))
+    rows = replay(spark, sf).drop("batch")
+    n = rows.count()
+    for k in range(N_STEPS):
+        lo, hi = (n * 7 * k // (7 * N_STEPS), n * 7 * (k + 1) // (7 * N_STEPS))
+        rows.where((F.col("position") > lo) & (F.col("position") <= hi)).coalesce(1).write.mode("append").parquet(src)
+    stream = SM.file_stream(spark, src, spark.read.parquet(src).schema)
+    SM.fairness_stream(stream, sink, ckpt, "run-1", protected=ORDERS_PROTECTED, batch_size=100,
+                       order_by=["position"]).awaitTermination()
+    return finish(SM.read_committed(spark, sink, latest_by=["batch"]).select(
+        "batch", "target", "attribute", "n_groups", "dp_diff", "eo_diff", "protected_attr", "alert"))
+
+
+@register("ema_stream_shuffled", "FAIR-14 (late steps)", _BATCH + f", {_SUMMARY} " + f"""
+SELECT a.batch, round(a.max_dp_diff, 6) AS max_dp_diff, round(a.max_eo_diff, 6) AS max_eo_diff,
+       {_ema_sql('max_dp_diff')}, {_ema_sql('max_eo_diff')}
+FROM summary a JOIN summary b ON b.batch <= a.batch
+GROUP BY a.batch, a.max_dp_diff, a.max_eo_diff
+""")
+def q_ema_stream_shuffled(spark, sf):
+    """Every step an hour of event time; steps arrive in the order of a draw, and a last row of another run moves time on."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("late-src", "late-sink", "late-ckpt"))
+    summary = fz.batch_summary(fz.fairness_report(replay(spark, sf), protected=ORDERS_PROTECTED, keys=["batch"])).drop("alert")
+    rows = materialize(summary.select(F.lit("run-1").alias("run_id"), "batch", "max_dp_diff", "max_eo_diff",
+                                      F.timestamp_seconds(F.col("batch") * 3600).alias("ts")))
+    for k in range(N_STEPS):  # any order
+        rows.where(F.pmod(F.xxhash64("batch"), F.lit(N_STEPS)) == k).coalesce(1).write.mode("append").parquet(src)
+    for k in range(2):  # the second is there for the micro-batch that sees the first one's time
+        end = rows.groupBy().agg((F.max("batch") * 2 + 1000 + k).alias("batch")).select(
+            F.lit("end").alias("run_id"), "batch", F.lit(0.0).alias("max_dp_diff"), F.lit(0.0).alias("max_eo_diff"),
+            F.timestamp_seconds(F.col("batch") * 7200).alias("ts"))
+        end.coalesce(1).write.mode("append").parquet(src)
+    stream = SM.file_stream(spark, src, rows.schema)
+    last = rows.agg(F.max("batch")).first()[0] or 0
+    out = SM.ema_stream(stream, ["max_dp_diff", "max_eo_diff"], ["run_id"], step="batch", event_time="ts",
+                        delay=f"{last + 1} hours")
+    (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).outputMode("append")
+     .trigger(availableNow=True).start().awaitTermination())
+    return finish(spark.read.parquet(sink).where("run_id = 'run-1'").drop("run_id", "ts"))
+
+
 @register("ema_stream", "FAIR-14", _BATCH + f", {_SUMMARY} " + f"""
 SELECT a.batch, round(a.max_dp_diff, 6) AS max_dp_diff, round(a.max_eo_diff, 6) AS max_eo_diff,
        {_ema_sql('max_dp_diff')}, {_ema_sql('max_eo_diff')}
