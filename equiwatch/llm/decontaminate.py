@@ -41,6 +41,8 @@ from .arrowtext import LOWER, chunks, tidy, with_text_column, word_bounds, word_
 WINDOW = 10
 #: Benchmark text that travels to the tasks at a time.
 BLOCK_BYTES = 8 << 20
+#: Pairs of a document's and an item's suffix extended at a time.
+PAIRS = 1 << 19
 #: Document text per shard.
 SHARD_BYTES = 1 << 20
 
@@ -226,23 +228,43 @@ def _search_numbers(numbers: np.ndarray, first: np.ndarray, block: TestBlock) ->
         np.add.at(cover, begin + sizes[c], -1)
         out["pairs"].update((t, i) for t in np.unique(text_of[rows]).tolist() for i in block.members[c])
     out["hit"] = np.cumsum(cover)[:-1] > 0
-    # longest verbatim match of every test suffix that has one: its neighbours at the insertion point
-    tests = block.suffix[np.isin(block.class_of, found)]
-    item_end = np.searchsorted(block.item, block.item[tests], side="right") - 1
-    point = array.bound(tests, item_end - tests, False)
-    left, right = array.common(point - 1, tests, item_end), array.common(point, tests, item_end)
-    best = array.place[np.where(left > right, point - 1, np.minimum(point, len(array.place) - 1))]
-    text = text_of[best]
-    out["longest"] = list(zip(text.tolist(), (word_of[best] - first[text]).tolist(),
-                              np.maximum(left, right).tolist(), block.item[tests].tolist(), strict=True))
+    out["longest"] = _longest_matches(array, lo, hi, found, text_of, word_of, first)
     return out
 
 
+def _longest_matches(array: SuffixArray, lo: np.ndarray, hi: np.ndarray, found: np.ndarray, text_of: np.ndarray,
+                     word_of: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, first word, words, item): the longest verbatim match of every text and item with an occurring window.
+
+    Every suffix in a window's range is extended, so copies of a passage each have
+    theirs.  Where the words before match too, the match that begins there is longer.
+    """
+    block, best = array.block, {}
+    own = np.flatnonzero(np.isin(block.class_of, found))
+    count = (hi - lo)[block.class_of[own]]
+    step = np.searchsorted(np.cumsum(count), np.arange(0, count.sum(), PAIRS), side="left")
+    for a, z in zip(step, [*step[1:], len(own)], strict=True):
+        n = count[a:z]
+        tests = np.repeat(block.suffix[own[a:z]], n)
+        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[block.class_of[own[a:z]]], n)
+        place = array.place[rows]
+        before = np.where((place > 0) & (tests > 0), array.ids[place - 1], 0)
+        start = np.flatnonzero((before == 0) | (before != block.ids[tests - 1]))
+        rows, tests, place = rows[start], tests[start], place[start]
+        words = array.common(rows, tests, np.searchsorted(block.item, block.item[tests], side="right") - 1)
+        text = text_of[place]
+        at = word_of[place] - first[text]
+        for t, i, k, p in zip(text.tolist(), block.item[tests].tolist(), (-words).tolist(), at.tolist(), strict=True):
+            if (k, p) < best.get((t, i), (0, 0)):
+                best[t, i] = k, p
+    return [(t, p, -k, i) for (t, i), (k, p) in best.items()]
+
+
 def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
                      window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[TestBlock]:
-    """Blocks of items, read a partition at a time; the driver holds one block."""
+    """Blocks of items, read a partition at a time."""
     rows, size = [], 0
-    source = benchmark.where(F.col(text).isNotNull()).select(item, text)
+    source = benchmark.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item}`"), F.col(f"`{text}`"))
     for r in source.toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1].encode())
@@ -262,8 +284,11 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
     """``keep`` (default: all columns) of every document and ``_ew_found``: its words, hit runs, items and matches.
 
     ``hits``: maximal runs of hit words; ``items``: ids of the items with an
-    occurring window, as sorted strings; ``longest``: per item the longest
-    verbatim match found by this document's shard.
+    occurring window, as sorted strings; ``longest``: per item with an occurring window
+    the longest verbatim match in the document (the first of equal ones).
+
+    The benchmark passes the driver block by block, and all blocks are broadcast: a
+    benchmark is to fit a worker's memory, documents need not.
     """
     keep = list(docs.columns if keep is None else keep)
     blocks = [docs.sparkSession.sparkContext.broadcast(vars(b))

@@ -3,7 +3,9 @@
 A rule names a host and the start of a path; it fits that host and its
 subdomains, and the longest fitting rule decides.  All other urls are judged by
 a logistic regression on hashed character n-grams of host and path, fitted on a
-small labelled table of urls.
+small labelled table of urls.  There is no such table among the given ones: the
+registered query takes as labels what the rules say of urls that one fits, so its
+model carries the rules over to hosts that none names.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule fits it, and the model judges it (by its intercept alone); repeated rows
@@ -69,18 +71,18 @@ class UrlModel:
         """Add the probability that a url is to be blocked."""
         if self.model is None:
             return urls.withColumn(out, F.lit(self.constant))
-        hashed = HashingTF(numFeatures=self.features, binary=True, inputCol=grams, outputCol="_features")
-        scored = self.model.copy().setFeaturesCol("_features").setProbabilityCol("_probability") \
+        hashed = HashingTF(numFeatures=self.features, binary=True, inputCol=grams, outputCol="_ew_features")
+        scored = self.model.copy().setFeaturesCol("_ew_features").setProbabilityCol("_ew_probability") \
             .setPredictionCol("").setRawPredictionCol("").transform(hashed.transform(urls))
         from pyspark.ml.functions import vector_to_array
-        return scored.withColumn(out, vector_to_array("_probability")[1]).drop("_features", "_probability")
+        return scored.withColumn(out, vector_to_array("_ew_probability")[1]).drop("_ew_features", "_ew_probability")
 
 
 def fit_url_model(labelled: DataFrame, features: int = 1 << 12, reg: float = 1e-3, rounds: int = 25) -> UrlModel:
     """Fit on ``url`` and ``blocked`` (0/1), a small table; rows with a null label are left out."""
-    rows = (labelled.where(F.col("blocked").isNotNull()).withColumn("_h", host_of(F.col("url")))
-            .withColumn("_p", path_of(F.col("url"))).withColumn("_grams", ngrams(F.col("_h"), F.col("_p"))))
-    hashed = HashingTF(numFeatures=features, binary=True, inputCol="_grams", outputCol="features").transform(rows)
+    rows = (labelled.where(F.col("blocked").isNotNull()).withColumn("_ew_h", host_of(F.col("url")))
+            .withColumn("_ew_p", path_of(F.col("url"))).withColumn("_ew_grams", ngrams(F.col("_ew_h"), F.col("_ew_p"))))
+    hashed = HashingTF(numFeatures=features, binary=True, inputCol="_ew_grams", outputCol="features").transform(rows)
     train = materialize(hashed.select("features", F.col("blocked").cast("double").alias("label")).coalesce(2))
     n, share = train.agg(F.count(F.lit(1)), F.avg("label")).first()
     if not n or share in (0.0, 1.0):
@@ -94,10 +96,10 @@ def judge_urls(pages: DataFrame, model: UrlModel, url: str = "url",
     """``pages`` with host, path, rule, verdict and score (probability of block); same-named columns are replaced."""
     added = ("host", "path", "rule", "verdict", "score")
     kept = [f"`{c}`" for c in pages.columns if c not in added]
-    rows = pages.withColumn("_url", F.col(f"`{url}`")).select(
-        *kept, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    rows = pages.withColumn("_ew_url", F.col(f"`{url}`")).select(
+        *kept, host_of(F.col("_ew_url")).alias("host"), path_of(F.col("_ew_url")).alias("path"))
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    scored = model.score(rows.withColumn("_grams", ngrams(F.col("host"), F.col("path"))), "_grams", "score")
+    scored = model.score(rows.withColumn("_ew_grams", ngrams(F.col("host"), F.col("path"))), "_ew_grams", "score")
     own = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(*kept, "host", "path", rule.alias("rule"), F.coalesce(says, own).alias("verdict"), "score")
 

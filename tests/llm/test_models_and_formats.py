@@ -212,6 +212,27 @@ def test_url_model_learns_and_judges_all_pages(spark):
     assert U.fit_url_model(none).constant == 0.0
 
 
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    urls = U.rule_labelled(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), 100_000).withColumn("h", U.host_of(F.col("url")))
+    held = F.crc32("h") % 3 == 0
+    model = U.fit_url_model(urls.where(~held).select("url", "blocked"))
+    seen = {r["h"] for r in urls.where(~held).select("h").distinct().collect()}
+    rows = U.judge_urls(urls.where(held), model, rules=()).collect()
+    assert rows and not seen & {r["host"] for r in rows}
+    assert len({r["blocked"] for r in rows}) == 2
+    assert auc([r["score"] for r in rows], [r["blocked"] for r in rows]) > 0.8
+
+
+def test_judge_urls_with_clashing_names_and_no_rows(spark):
+    rows = [(1, "http://A.org/x", "mine", "mine", "mine", 5.0), (2, None, "", "", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _url string, _features string, _probability string, score double")
+    labelled = spark.createDataFrame([("http://a.com/de/", 1), ("http://b.org/", 0)], "url string, blocked int")
+    out = U.judge_urls(pages, U.fit_url_model(labelled)).orderBy("page_id").collect()
+    assert [(r["page_id"], r["url"], r["_url"], r["_features"], r["_probability"], r["host"]) for r in out] == [
+        (1, "http://A.org/x", "mine", "mine", "mine", "a.org"), (2, None, "", "", "", "")]
+    assert U.judge_urls(pages.limit(0), U.fit_url_model(labelled)).count() == 0
+
+
 # --- chat ----------------------------------------------------------------------------
 
 def test_escapes_round_trip():
