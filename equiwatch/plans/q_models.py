@@ -27,6 +27,7 @@ from ..operators.constants import with_constants
 from ..operators.ordering import global_rank, materialize
 from ..session import scratch_path
 from ..sources.tables import table
+from . import q_labels as QL
 from . import sqltext as S
 from .q_health import docs_labels
 from .registry import finish, register
@@ -218,6 +219,67 @@ def q_prep_pipeline(spark, sf):
     return enc.select(*KEYS, vector_to_array("features").alias("features"))
 
 
+_ML_COLS = ("l_orderkey", "l_linenumber", "performance_score", "fatigue_score", "recovery_days", "acl_risk_score",
+            "load_balance_score", "injury_indicator", "team_contribution", "priority", "status", "ship_ts", "rts", "rtp")
+_ML_NUM = {"recovery_days": "CAST(recovery_days AS DOUBLE)", "acl_risk_score": "acl_risk_score",
+           "injury_indicator": "CAST(injury_indicator AS DOUBLE)", "team_contribution": "team_contribution",
+           "ship_ts": "CAST(epoch(ship_ts) AS DOUBLE)"}
+_ML_TEXT = ("priority", "status")
+
+
+def _prep_sql() -> str:
+    """Every prepared value from the tables: labels, row numbers, stratified split, constants of the training part, slots."""
+    num = ", ".join(f"{e} AS {c}" for c, e in _ML_NUM.items())
+    med = ", ".join(f"median({c}) AS m_{c}" for c in _ML_NUM)
+    full = ", ".join(f"COALESCE({c}, m_{c}) AS {c}" for c in _ML_NUM)
+    moments = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in _ML_NUM)
+    std = ", ".join(f"round((i.{c} - a_{c}) / (CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END), 6) AS {c}"
+                    for c in _ML_NUM)
+    modes = ", ".join(f"COALESCE({c}, (SELECT {c} FROM x WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c} "
+                      f"ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}" for c in _ML_TEXT)
+    slots = ", ".join(f"k_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS slot "
+                      f"FROM (SELECT DISTINCT {c} AS v FROM i WHERE split = 'train'))" for c in _ML_TEXT)
+    return f"""
+WITH r AS ({S.READINESS}) {QL._RTP_Q},
+lab AS (SELECT r.*, CAST({QL._INJ_COND} AS INTEGER) AS rts,
+               CAST(CASE WHEN CAST({QL._INJ_COND} AS INTEGER) = 0 THEN 0 ELSE CAST({QL._RTP_COND} AS INTEGER) END AS INTEGER) AS rtp
+        FROM r, q),
+n AS (SELECT *, row_number() OVER (ORDER BY {", ".join(f"{c} ASC NULLS FIRST" for c in _ML_COLS)}) AS row_id FROM lab),
+c AS (SELECT rts AS cls, count(*) AS cnt FROM n GROUP BY rts),
+t AS (SELECT cls, cnt, sum(cnt) OVER () AS ntot, ceil(CAST(sum(cnt) OVER () AS DOUBLE) * 0.2) AS ntest, count(*) OVER () AS ncls FROM c),
+b AS (SELECT *, floor(CAST(cnt AS DOUBLE) * ntest / CAST(ntot AS DOUBLE)) AS base,
+             CAST(cnt AS DOUBLE) * ntest / CAST(ntot AS DOUBLE) - floor(CAST(cnt AS DOUBLE) * ntest / CAST(ntot AS DOUBLE)) AS rem
+      FROM t),
+u AS (SELECT cls, CASE WHEN ncls = 1 THEN ntest ELSE base + CASE WHEN
+             row_number() OVER (ORDER BY rem DESC, cls ASC) <= ntest - sum(base) OVER () THEN 1 ELSE 0 END END AS quota FROM b),
+x AS (SELECT row_id, {num}, {", ".join(_ML_TEXT)},
+             CASE WHEN row_number() OVER (PARTITION BY rts ORDER BY {S.hash_draw('row_id', 42)}, row_id) <= u.quota
+                  THEN 'test' ELSE 'train' END AS split
+      FROM n JOIN u ON n.rts = u.cls),
+med AS (SELECT {med} FROM x WHERE split = 'train'),
+i AS (SELECT row_id, split, {full}, {modes} FROM x, med),
+s AS (SELECT {moments} FROM i WHERE split = 'train'),
+{slots}
+SELECT i.row_id, {std}, {", ".join(f"k_{c}.slot AS {c}_slot" for c in _ML_TEXT)}
+FROM i CROSS JOIN s {" ".join(f"LEFT JOIN k_{c} ON i.{c} = k_{c}.v" for c in _ML_TEXT)}
+"""
+
+
+@register("prep_values", "PREP-5", _prep_sql())
+def q_prep_values(spark, sf):
+    """The prepared matrix column by column: standardized numbers, and the slot of each text's one."""
+    data, _, prep, models = trained(spark, sf)
+    x = vector_to_array("features")
+    numbers = [F.get(x, F.lit(prep.numeric.index(c))).alias(c) for c in _ML_NUM]
+    at, slots = len(prep.numeric), []
+    for c in prep.categorical:
+        n = len(prep.categories[c])
+        place = F.array_position(F.slice(x, at + 1, n), 1.0)
+        slots.append(F.when(place > 0, place - 1).cast("int").alias(f"{c}_slot"))
+        at += n
+    return finish(models["rts"].encode(data).select(*KEYS, *numbers, *slots))
+
+
 @register("predict", "ML-4")
 def q_predict(spark, sf):
     s = _scored(spark, sf)
