@@ -74,20 +74,26 @@ def refine_types(df: DataFrame) -> DataFrame:
                        else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether all bytes of the file(s) are valid UTF-8: one distributed pass over the raw lines, header included."""
-    lines = spark.read.text(path)
-    return lines.where(~F.is_valid_utf8("value")).limit(1).count() == 0
+def raw_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """(all bytes are valid UTF-8, a quoted cell holds a line end): one distributed pass over the raw lines.
+
+    Quotes inside a cell are doubled, so a line has an odd number of them only where
+    a cell goes on in the next line or comes from the one before.
+    """
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    row = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")), F.bool_or(quotes % 2 == 1)).first()
+    return row[0] is not False, bool(row[1])
 
 
 def read_csv_infer(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                   sampling_ratio: float = 1.0, multiline: bool = True) -> DataFrame:
+                   sampling_ratio: float = 1.0, multiline: bool | None = None) -> DataFrame:
     """Read CSV as UTF-8, or as ISO-8859-1 where its bytes aren't valid UTF-8.
 
-    Quotes inside a quoted cell are doubled.  ``multiline`` lets a quoted cell
-    hold line ends, which keeps a file in one split; turn it off for large files
-    that have none.  ``sampling_ratio`` < 1 limits the type inference pass."""
+    Quotes inside a quoted cell are doubled.  Where a quoted cell holds a line end, a
+    file is read in one split (``multiline``); by default the bytes tell, and files
+    without such cells are split.  ``sampling_ratio`` < 1 limits the type inference pass."""
     check_extension(path)
-    encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
+    utf8, spans = raw_facts(spark, path)
+    encoding, multiline = "UTF-8" if utf8 else "ISO-8859-1", spans if multiline is None else multiline
     out = na_to_null(_read(spark, path, encoding, schema, sampling_ratio, multiline))
     return refine_types(out) if schema is None else out

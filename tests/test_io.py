@@ -93,3 +93,15 @@ def test_quoted_cells_and_replacement_characters(spark, tmp_path):
     bad = tmp_path / "h.csv"
     bad.write_bytes("gr\u00f6\u00dfe\n1\n".encode("latin-1"))  # the only bad bytes are in the header
     assert CSV.read_csv_infer(spark, str(bad)).columns == ["gr\u00f6\u00dfe"]
+
+
+def test_csv_is_split_unless_a_cell_holds_a_line_end(spark, tmp_path):
+    plain, spanning = tmp_path / "plain.csv", tmp_path / "spanning.csv"
+    plain.write_text('a,b\n1,"x ""y"" z"\n2,"q"\n')
+    spanning.write_text('a,b\n1,"x\ny"\n2,"q"\n')
+    assert CSV.raw_facts(spark, str(plain)) == (True, False)
+    assert CSV.raw_facts(spark, str(spanning)) == (True, True)
+    assert [tuple(r) for r in CSV.read_csv_infer(spark, str(plain)).collect()] == [(1, 'x "y" z'), (2, "q")]
+    assert [tuple(r) for r in CSV.read_csv_infer(spark, str(spanning)).collect()] == [(1, "x\ny"), (2, "q")]
+    (tmp_path / "none.csv").write_text("")
+    assert CSV.raw_facts(spark, str(tmp_path / "none.csv")) == (True, False)
