@@ -69,6 +69,13 @@ def warn_high_cardinality(df: DataFrame, protected: Sequence[str], limit: int =
     return wide
 
 
+def group_counts(rates: DataFrame, limit: int = MAX_GROUPS_HINT) -> DataFrame:
+    """attribute, n_groups, too_many (over ``limit``) from the per-group table behind a report: exact, no pass of its own."""
+    seen = rates.groupBy("attribute", "grp").agg(F.count(F.lit(1)).alias("_n"))  # a group is there once a target
+    return seen.groupBy("attribute").agg(F.count(F.lit(1)).alias("n_groups")).withColumn(
+        "too_many", F.col("n_groups") > F.lit(int(limit)))
+
+
 def long_form(df: DataFrame, targets: Sequence[Target], protected: Sequence[str],
               keys: Sequence[str] = (), null_label: str = "Unknown") -> DataFrame:
     """Rows → (*keys, target, attribute, grp, y, y_hat), one per target × attribute.

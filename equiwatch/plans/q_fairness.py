@@ -188,3 +188,11 @@ def q_group_breakdown(spark, sf):
     rows = replay(spark, sf)   # ranked and checkpointed: the last batch is a filter
     rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
     return finish(fz.group_report(rows, protected=ORDERS_PROTECTED, keys=["batch"]).drop("tp", "tn", "fp", "fn"))
+
+
+@register("protected_group_counts", "FILT-1", _ORDERS + """
+SELECT attribute, count(DISTINCT grp) AS n_groups, count(DISTINCT grp) > 5 AS too_many FROM conf GROUP BY attribute
+""")
+def q_protected_group_counts(spark, sf):
+    rates = fz.group_report(orders_scored(spark, sf), protected=ORDERS_PROTECTED)
+    return fz.group_counts(rates, limit=5)

@@ -449,11 +449,11 @@ def q_one_hot_wide(spark, sf):
     return enc.select("o_orderkey", F.col("slot").cast("int").alias("slot"), F.col("slots").cast("int").alias("slots"))
 
 
-def _monitor(spark, sf, kind: str):
-    """The monitored replay with real models: 35% of all rows (seed 7), batches of
-    100 in draw order, both predictions, gating, per-batch fairness by the
+def _monitor(spark, sf, kind: str, split: str | None = None):
+    """The monitored replay with real models: 35% of all rows, or of one part of the
+    split only (seed 7), batches of 100 in draw order, both predictions, gating, per-batch fairness by the
     protected columns (they stay in the features, as in the application)."""
-    s = _scored(spark, sf, kind, split=None)
+    s = _scored(spark, sf, kind, split)
     rows = SM.sample_fraction(s.select(*KEYS, "rts", "rtp", "rts_pred", "rtp_pred", *ML_PROTECTED),
                               "row_id", 0.35, 7)
     b = SM.assign_batches(rows, ["draw", *KEYS], 100)
@@ -467,6 +467,11 @@ def q_monitor_model(spark, sf):
     return _monitor(spark, sf, "gbt")
 
 
+@register("monitor_model_holdout", "FAIR-6 (boosting, rows held out)")
+def q_monitor_model_holdout(spark, sf):
+    return _monitor(spark, sf, "gbt", "test")
+
+
 @register("monitor_model_rf", "FAIR-6 (forest)")
 def q_monitor_model_rf(spark, sf):
     return _monitor(spark, sf, "rf")
