@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_scratch, scratch_path
 
 #: Values of a bracket that its sketch gives one by one; quantiles asked of a sketch (two a value), and its accuracy.
 HELD, QUANTILES, ACCURACY = 1024, 2048, 10_000
@@ -89,10 +89,17 @@ def order_statistics(df: DataFrame, columns: list[Column], ranks) -> tuple[list[
     ``ranks`` maps the counts to the (column, rank from 0) pairs wanted.  NULLs don't
     count; NaN is the greatest value, as in Spark's order.
     """
-    path = scratch_path(df.sparkSession, "selection")
-    df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).write.parquet(path)
-    rows = df.sparkSession.read.schema(", ".join(f"x{i} double" for i in range(len(columns)))).parquet(path)
-    xs = [F.col(f"x{i}") for i in range(len(columns))]
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "selection")
+    try:
+        df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).write.parquet(path)
+        rows = spark.read.schema(", ".join(f"x{i} double" for i in range(len(columns)))).parquet(path)
+        return _search(rows, [F.col(f"x{i}") for i in range(len(columns))], ranks)
+    finally:
+        drop_scratch(spark, path)
+
+
+def _search(rows: DataFrame, xs: list[Column], ranks) -> tuple[list[int], dict[tuple[int, int], float]]:
+    """The passes over the written columns."""
     number = [F.when(~F.isnan(x), x) for x in xs]
     first = rows.agg(*[a for i, x in enumerate(xs) for a in (
         F.count(x).alias(f"n{i}"), F.count_if(F.isnan(x)).alias(f"nan{i}"),

@@ -78,3 +78,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "equiwatch-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a written table of ``scratch_path`` that nothing reads any more."""
+    if "equiwatch-tables" not in path:
+        raise ValueError(f"not a scratch table: {path}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
