@@ -336,7 +336,8 @@ def covered_runs(named: DataFrame, hot: int = HOT) -> DataFrame:
     known = materialize(_anchored(named))
     spots = known.select("t1", "t2", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(
         "t1", "t2", F.col("s.hashes").alias("hash"), "s.places")
-    repeated = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A table of its own: a join of two plain shuffles is one whose hot keys Spark can split.
+    repeated = materialize(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     found = spots.join(repeated, "hash").groupBy("t1", "t2").agg(F.collect_list(F.struct(
         "hash", "places", (F.col("n") > hot).alias("hot"))).alias("s"))
     wanted = materialize(found.select("t1", "t2", F.col("s.hash").alias("hashes"), "s.places", "s.hot"))
