@@ -166,6 +166,43 @@ def test_nearest_odd_vectors(spark):
     assert K.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_goes_on_to_few_cells(spark, monkeypatch):
+    """Clusters, and one vector held by a third of the rows: many cells, few of which a query is sent to."""
+    monkeypatch.setattr(K, "SHARD_ROWS", 100)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 4)
+    sent, send = [], K._sent_on
+    monkeypatch.setattr(K, "_sent_on", lambda queries, boxes, *rest: sent.append((queries, boxes)) or send(queries, boxes, *rest))
+    rng = np.random.default_rng(8)
+    middles = rng.normal(0, 20, (40, 24))
+    vectors = (middles[rng.integers(0, 40, 2000)] + rng.normal(0, 1, (2000, 24))).tolist()
+    rows = list(enumerate(vectors + [vectors[7]] * 1000))
+    rows[60] = (60, [-0.0 if c < 0 else c for c in vectors[60]])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_nearest(rows)
+    got = K.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    true = {(q, i) for q, d in want.items() for _, i in d}
+    assert len(got) == len(true) and len(found & true) >= 0.9 * len(true)
+    copies = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2500]
+    assert copies == [7, *range(2000, 2009)]
+    (queries, boxes), = sent
+    assert len(boxes["cell"]) >= 16
+    routed = send(queries, boxes, K.DIMS, K.CONFIDENCE).count()
+    assert routed <= 0.3 * queries.count() * boxes["parts"].sum()
+
+
+def test_nearest_parts_of_a_cell(monkeypatch, spark):
+    """A cell of more rows than a part holds is searched part by part."""
+    monkeypatch.setattr(K, "SHARD_ROWS", 50)
+    monkeypatch.setattr(K, "CELLS", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, v) for i, v in enumerate(rng.normal(0, 1, (600, 12)).tolist())]
+    want = brute_nearest(rows)
+    got = K.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    true = {(q, i) for q, d in want.items() for _, i in d}
+    assert len(got) == len(true) and len({(r["query_id"], r["vec_id"]) for r in got} & true) >= 0.9 * len(true)
+
+
 def test_chi_square():
     assert K.chi_square_point(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
