@@ -8,8 +8,11 @@ labelled texts that the dictionaries have not seen, gives the score.
 
 What goes into a dictionary: both hold the same base, which zstandard's trainer
 makes from ordinary text, so that only what a class adds can move a window's
-length; before it come the strings of the class's texts that cover its typical
-strings.  A string (6 to 12 bytes, the blank before a word included) is typical
+length.  The toxic one adds what the trainer makes from toxic text: of the runs in
+it that typical toxic strings cover, for whole toxic texts are mostly ordinary
+(nothing where the runs are under 25,600 bytes: too few to train on).
+Both add, beside the trainer's work, the strings of the class's texts that cover
+its typical strings.  A string (6 to 12 bytes, the blank before a word included) is typical
 by how often it occurs inside the class's texts, against how often it does so in
 the other's; pieces of ordinary text that hold a typical toxic string are kept
 out of the base, where they would hide it.
@@ -53,7 +56,14 @@ RATIO = {1: 8, 0: 20}
 GRAM = 6
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BASE_BYTES = 32 << 10
+#: Pieces of the sample's ordinary texts that the base is trained on, drawn with a seed.
+BASE_PIECES = 20_000
 OWN_BYTES = 16 << 10
+#: What the trainer makes of toxic runs: bytes at most, bytes of runs to one byte of it (the trainer's manual
+#: advises about 100), and at least (the trainer's own minimum: from fewer runs it learns noise);
+#: its segments' and strings' bytes, runs in one sample, and room for the header cut off.
+TRAINED_BYTES, RUN_BYTES_TO_ONE, LEAST_TRAINED = 4 << 10, 100, 256
+SEGMENT, SEGMENT_STRING, RUNS_IN_SAMPLE, HEADER_BYTES = 16, 6, 8, 300
 THRESHOLDS = (2, 4, 6, 8)
 
 
@@ -144,6 +154,29 @@ def _own_strings(texts: list[bytes], typical: dict[int, tuple[np.ndarray, np.nda
     return b"".join(reversed(out))
 
 
+def _covered(text: bytes, typical: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    """The longest runs of the text that typical strings cover."""
+    steps = np.zeros(len(text) + 1, np.int64)
+    for n, (strings, _) in typical.items():
+        at, _ = _places(text, n, strings)
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + n, -1)
+    edges = np.flatnonzero(np.diff(np.r_[0, np.cumsum(steps) > 0, 0])).tolist()
+    return [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _trained(runs: list[bytes]) -> bytes:
+    """What zstandard's trainer makes from the runs, without its header; nothing from too few of them."""
+    size = min(TRAINED_BYTES, sum(map(len, runs)) // RUN_BYTES_TO_ONE)
+    samples = [b"".join(runs[i:i + RUNS_IN_SAMPLE]) for i in range(0, len(runs), RUNS_IN_SAMPLE)]
+    if size < LEAST_TRAINED:
+        return b""
+    try:
+        return zs.train_dictionary(size + HEADER_BYTES, samples, k=SEGMENT, d=SEGMENT_STRING).as_bytes()[-size:]
+    except zs.ZstdError:  # too little text to train on
+        return b""
+
+
 @dataclass
 class ToxicityModel:
     toxic: bytes
@@ -190,12 +223,13 @@ def _dictionaries(own: dict[int, list[bytes]], seed: int) -> ToxicityModel:
     strings = {v: _own_strings(own[v], typical[v], OWN_BYTES) for v in own}
     pieces = [w for t in own[0] for w in windows(t, 256)]
     random.Random(seed).shuffle(pieces)
-    pieces = [w for w in pieces[:20000] if not any(len(_places(w, n, x)[0]) for n, (x, _) in typical[1].items())]
+    pieces = [w for w in pieces[:BASE_PIECES] if not any(len(_places(w, n, x)[0]) for n, (x, _) in typical[1].items())]
     try:
         base = zs.train_dictionary(BASE_BYTES, pieces).as_bytes()[1024:]
     except zs.ZstdError:  # too little text to train on
         base = b"".join(pieces)[:BASE_BYTES]
-    return ToxicityModel(strings[1] + base, strings[0] + base, np.zeros(0), np.zeros(0), np.ones(0))
+    trained = _trained([r for t in own[1] for r in _covered(t, typical[1])])
+    return ToxicityModel(strings[1] + trained + base, strings[0] + base, np.zeros(0), np.zeros(0), np.ones(0))
 
 
 def fit_toxicity(texts: list[bytes], labels: list[int], seed: int = 5) -> ToxicityModel:

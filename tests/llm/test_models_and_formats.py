@@ -70,6 +70,34 @@ def test_toxicity_held_out_in_every_language(spark):
     assert sum(r[2] == 1 and r[1] >= 0.5 for r in rows) >= 0.7 * sum(r[2] == 1 for r in rows)
 
 
+def test_toxic_runs_and_what_is_trained_on_them():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(3, 9)))
+    plain = [" ".join(word() for _ in range(60)).encode() for _ in range(300)]
+    insults = [b" dreadful nitwit", b" worthless clown", b" useless muppet"]
+    toxic = [p[:120] + insults[i % 3] + p[120:] + insults[(i + 1) % 3] for i, p in enumerate(plain[:150])]
+    typical = {n: T._typical(toxic, plain[150:], n, T.LEAST_TEXTS, T.RATIO[1]) for n in T.LENGTHS[1]}
+    runs = [r for t in toxic for r in T._covered(t, typical)]
+    assert {r.strip() for r in runs} >= {i.strip() for i in insults}
+    assert all(any(i.strip() in r for i in insults) for r in runs)
+    for t in toxic[:20]:  # against a plain reading of every place
+        mark = bytearray(len(t))
+        for n, (strings, _) in typical.items():
+            known = set(strings.tolist())
+            for at in range(len(t) - n + 1):
+                if int(T.grams(t[at:at + n], n)[0]) in known:
+                    mark[at:at + n] = b"\1" * n
+        want = "".join(chr(c) if m else "\n" for c, m in zip(t, mark)).split("\n")
+        assert [r.decode() for r in T._covered(t, typical)] == [w for w in want if w]
+    assert T._trained(runs) == b""  # under the trainer's minimum
+    runs *= 10
+    made = T._trained(runs)
+    assert T.LEAST_TRAINED <= len(made) <= sum(map(len, runs)) // T.RUN_BYTES_TO_ONE
+    assert any(i[1:9] in made for i in insults)
+    assert T._trained([]) == T._trained([b"x"]) == b"" and T._covered(b"", typical) == []
+
+
 def test_toxic_stems_with_varied_endings(spark):
     rng = random.Random(4)
     plain = [b" ".join(rng.choice((b"ort", b"lante", b"misch", b"quelle", b"dorn")) + bytes(rng.choices(b"abcdefgh", k=4))
