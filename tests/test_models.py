@@ -179,3 +179,39 @@ def test_money_text_trains_as_a_number_and_a_reloaded_bundle_scores_raw_rows(spa
     assert a == b
     with pytest.raises(ValueError, match="not binary"):
         MD.fit_target(df.withColumn("label", F.col("id")), "T", "label", ["x"], max_iter=1)
+
+
+def test_rows_of_a_cell_are_scored_and_attributed_once(spark, data, monkeypatch):
+    """Copies and near copies of a row share its cell: attributions are worked out per cell, and scores stay the model's own."""
+    from equiwatch.operators.cells import cell, grid_of
+
+    for kind, size in (("gbt", {"max_iter": 4}), ("rf", {"num_trees": 5, "max_depth": 6})):
+        tm = MD.fit_target(data, "T", "label", ["a", "b", "c", "cat"], kind=kind, **size)
+        many = data.limit(300).crossJoin(spark.range(4).select(F.col("id").alias("copy")))
+        near = many.withColumn("c", F.col("c") + F.col("copy") * 1e-13)
+        enc = tm.encode(near)
+        grid = grid_of(X.tree_nodes(tm.model), tm.model.numFeatures)
+        assert enc.select(cell("features", grid).alias("x")).distinct().count() <= 310
+        rows = X.tree_attributions(enc, tm.model, ["id", "copy"])
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("CoGroup")  # the cogroups come before the rows do
+        got = {(r["id"], r["copy"]): r for r in rows.collect()}
+        own = {(r["id"], r["copy"]): (int(r["prediction"]), float(r["probability"][1])) for r in tm.model.transform(enc).select(
+            "id", "copy", "prediction", "probability").collect()}
+        pred = {(r["id"], r["copy"]): (r["pred"], r["prob"]) for r in tm.predict(near).select("id", "copy", "pred", "prob").collect()}
+        assert pred == own and len(got) == 1200
+        xs = np.array([r[0] for r in enc.orderBy("id", "copy").select(vector_to_array("features")).collect()])
+        phi, _, output = X.ensemble_attributions(xs, _trees(tm.model))
+        assert np.allclose([got[k]["attributions"] for k in sorted(got)], phi, atol=1e-12)
+        assert np.allclose([got[k]["model_output"] for k in sorted(got)], output, atol=1e-12)
+
+
+def test_grid_codes_tell_apart_what_splits_do():
+    from equiwatch.operators.cells import Grid
+
+    grid = Grid(4, [0, 2], [np.array([-1.0, 0.5]), np.array([0.0, 1.0, 2.0])], [False, True])
+    x = np.array([[-1.0, 9, 0, 9], [-0.9, 8, 1, 8], [0.5, 7, 2, 7], [0.6, 0, 5, 0], [np.nan, 0, -3, 0], [np.inf, 0, 0.5, 0]])
+    codes = grid.codes(x)
+    assert codes.tolist() == [[0, 0], [1, 1], [1, 2], [2, 3], [2, 3], [2, 3]]
+    back = grid.values(codes)
+    assert (grid.codes(back) == codes).all() and back.shape == x.shape
