@@ -25,6 +25,7 @@ def _feed(df, path: str, order, by: str | None = None, n_steps: int = N_STEPS) -
     """Write ``df`` in ``n_steps`` append jobs in the order of ``order`` (a number;
     NULL first), so that a file source sees it in that order.  Within a job the
     rows are dealt by ``by``, whose values then lie in one file each."""
+    df = materialize(df)  # every step reads it
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     lo, hi = (lo, hi) if lo is not None else (0, 0)
     step = F.coalesce(F.least(F.floor((order - F.lit(lo)) * n_steps / F.lit(hi - lo + 1)), F.lit(n_steps - 1)), F.lit(0))
