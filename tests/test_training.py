@@ -137,3 +137,20 @@ def test_a_forest_of_too_many_cells_is_fitted_on_the_rows(spark, rows, monkeypat
     monkeypatch.setattr(MD, "MAX_CELLS", 10)
     tm = MD.fit_target(rows, "T", "label", ["a", "kind"], kind="rf", num_trees=3, max_depth=4)
     assert tm.model.transform(tm.encode(rows)).where("probability IS NOT NULL").count() == 5000 and not isinstance(tm.model, FO.ForestModel)
+
+
+def test_attributions_by_grids_equal_the_walk(spark, rows, monkeypatch):
+    for kind, size in (("rf", {"num_trees": 6}), ("gbt", {"max_iter": 5})):
+        tm = MD.fit_target(rows, "T", "label", ["a", "b", "c", "kind"], kind=kind, **size)
+        some = tm.encode(rows).where("id % 10 = 0")
+        walked = {r["id"]: r for r in X.tree_attributions(some, tm.model, "id").collect()}
+        with monkeypatch.context() as m:
+            m.setattr(X, "LEAST_WALK", 0)
+            m.setattr(X, "GRID_NODES", 200)
+            m.setattr(X, "GRID_ROWS", 300)
+            m.setattr(X, "ensemble_attributions", None)  # not called
+            for r in X.tree_attributions(some, tm.model, "id").collect():
+                w = walked.pop(r["id"])
+                assert np.allclose(r["attributions"], w["attributions"], atol=1e-12)
+                assert abs(r["expected_value"] - w["expected_value"]) + abs(r["model_output"] - w["model_output"]) < 1e-12
+        assert not walked
